@@ -34,10 +34,8 @@ def incremental_features(
     marks = store.groupBy(*keys).agg(
         (F.max(T) - F.expr(f"INTERVAL {int(late_hours)} HOURS")).alias("_mark")
     )
-    recent = dense.join(marks, keys, "left") if keys else dense.join(marks)
-    recent = recent.where(
-        F.col("_mark").isNull() | (F.col(T) > F.col("_mark") - F.expr(f"INTERVAL {int(context_hours)} HOURS"))
-    ).drop("_mark")
-    fresh = feature_store(recent, keys)
-    known = fresh.join(marks, keys, "left") if keys else fresh.join(marks)
-    return known.where(F.col("_mark").isNull() | (F.col(T) > F.col("_mark"))).drop("_mark")
+    with_mark = lambda df: df.join(marks, keys, "left") if keys else df.withColumn("_mark", F.lit(marks.first()["_mark"]))
+    context_start = F.col("_mark") - F.expr(f"INTERVAL {int(context_hours)} HOURS")
+    recent = with_mark(dense).where(F.col("_mark").isNull() | (F.col(T) > context_start)).drop("_mark")
+    fresh = with_mark(feature_store(recent, keys))
+    return fresh.where(F.col("_mark").isNull() | (F.col(T) > F.col("_mark"))).drop("_mark")
