@@ -323,8 +323,7 @@ def wet_hour_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = align({
         "click": _cells(spark, sf_dir, "click", "precipitation", "v"), "view": _cells(spark, sf_dir, "view", "precipitation", "v"),
     }, [T])
-    newest = both.agg(F.max(T).alias("t")).first()["t"]
-    recent = both.where(F.col(T) >= F.lit(newest) - F.expr("INTERVAL 12 MONTHS"))
+    recent = both.where(F.col(T) >= both.agg(F.max(T)).scalar() - F.expr("INTERVAL 12 MONTHS"))
     entry = lambda m, s, c: F.struct(F.lit(m).alias("metrica"), F.lit(s).alias("fonte"), F.round(share(c), 6).alias("valor"), COUNT().alias("n"))
     return recent.agg(F.array(
         entry("horas_chuva_frac_12m", "click", F.col("click") >= 0.2), entry("horas_chuva_frac_12m", "view", F.col("view") >= 0.2),

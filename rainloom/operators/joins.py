@@ -57,8 +57,8 @@ def all_but_own(totals: DataFrame, key: str, measures: list[str]) -> DataFrame:
     Replaces a join of every station with every other; needs additive measures.
     """
     own = totals.groupBy(key).agg(*[F.sum(m).alias(m) for m in measures])
-    everyone = Window.partitionBy()
-    return own.select(key, *[(F.sum(m).over(everyone) - F.col(m)).alias(m) for m in measures])
+    grand = own.agg(F.struct(*[F.sum(m).alias(m) for m in measures])).scalar()
+    return own.select(key, *[(grand[m] - F.col(m)).alias(m) for m in measures])
 
 
 def gauge_days(

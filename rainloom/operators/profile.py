@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions.numeric import guarded_corr, ratio, share
 
 
 def class_balance(df: DataFrame, label: str, digits: int = 1) -> DataFrame:
-    """Rows and percentage per class; the total runs over the few class rows only."""
+    """Rows and percentage per class."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / total, digits))
 
 
@@ -65,17 +65,14 @@ def correlations(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Counts in bins of equal width from the minimum to the maximum, the last bin closed.
-    The two edges are the only data the driver sees."""
-    lo, hi = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
+    """Counts in bins of equal width from the minimum to the maximum, the last bin closed."""
     known = df.where(F.col(column).isNotNull())
-    if lo is None:
-        lo = hi = 0.0
-    width = (hi - lo) / bins
-    position = F.floor((F.col(column) - F.lit(lo)) / F.lit(width)) if width else F.lit(0)
+    lo = known.agg(F.min(column).cast("double")).scalar()
+    width = known.agg(((F.max(column) - F.min(column)) / bins).cast("double")).scalar()
+    position = F.coalesce(F.floor(F.try_divide(F.col(column) - lo, width)), F.lit(0))
     counted = known.groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    lower = F.lit(lo) + F.col("bin") * F.lit(width)
-    return counted.select("bin", lower.alias("lower"), (lower + F.lit(width)).alias("upper"), "n")
+    lower = lo + F.col("bin") * width
+    return counted.select("bin", lower.alias("lower"), (lower + width).alias("upper"), "n")
 
 
 def group_facts(df: DataFrame, key: str, time_col: str, attributes: list[str]) -> DataFrame:

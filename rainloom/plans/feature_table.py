@@ -34,7 +34,7 @@ def incremental_features(
     marks = store.groupBy(*keys).agg(
         (F.max(T) - F.expr(f"INTERVAL {int(late_hours)} HOURS")).alias("_mark")
     )
-    with_mark = lambda df: df.join(marks, keys, "left") if keys else df.withColumn("_mark", F.lit(marks.first()["_mark"]))
+    with_mark = lambda df: df.join(marks, keys, "left") if keys else df.withColumn("_mark", marks.scalar())
     context_start = F.col("_mark") - F.expr(f"INTERVAL {int(context_hours)} HOURS")
     recent = with_mark(dense).where(F.col("_mark").isNull() | (F.col(T) > context_start)).drop("_mark")
     fresh = with_mark(feature_store(recent, keys))
