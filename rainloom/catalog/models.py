@@ -26,7 +26,7 @@ from rainloom.operators.models import (
 )
 from rainloom.operators.profile import best_per_group, weighted_mean
 from rainloom.operators.splits import split_at
-from rainloom.plans.evaluation import ablation, decided, evaluate, evaluate_by_station, leave_one_out, out_of_fold, source_matrix, stack, transfer
+from rainloom.plans.evaluation import ablation, decided, evaluate, evaluate_by_station, lead_comparison, leave_one_out, out_of_fold, source_matrix, stack, transfer
 from rainloom.plans.serving import publish, score_ensemble, score_hours, serving_frame
 from rainloom.plans.training import retrain, train_ensemble, train_regional
 from rainloom.session import materialize, scratch_path
@@ -36,7 +36,7 @@ KEY = ["station_id"]
 Y = "target_will_rain"
 CUTS = ("2024-01-18 00:00:00", "2024-01-24 00:00:00")
 NAMES = ("train", "calibrate", "test")
-SMALL = dict(trees=12, depth=5, leaf=5)
+SMALL = dict(trees=8, depth=4, leaf=5)
 forest = partial(fit_forest, **SMALL)
 boosted = partial(fit_boosted, rounds=10, step=0.2, depth=3)
 _moment = lambda text: F.lit(text).cast("timestamp_ntz")
@@ -133,7 +133,7 @@ def feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def champion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold from the calibration rows, metrics on the test rows."""
     rows = training_rows(spark, sf_dir)
-    tested = decided(champion_of(rows), part(rows, "test"), "champion")
+    tested = materialize(decided(champion_of(rows), part(rows, "test"), "champion"), "tested")
     return evaluate(tested, ["abordagem", "threshold"], Y)
 
 
@@ -141,8 +141,8 @@ def champion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hurdle_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-stage amounts and their errors on all and on wet hours."""
     rows = training_rows(spark, sf_dir)
-    amount = fit_amount(part(rows, "train"), BASE_FEATURES, "target_rain_next_1h", trees=12, depth=5)
-    predicted = predict_amount(champion_of(rows), amount, part(rows, "test"))
+    amount = fit_amount(part(rows, "train"), BASE_FEATURES, "target_rain_next_1h", trees=8, depth=4)
+    predicted = predict_amount(champion_of(rows), amount, part(rows, "test")).select("target_rain_next_1h", "amount")
     return regression_metrics(predicted, [], "target_rain_next_1h", "amount")
 
 
@@ -158,7 +158,7 @@ def gbt_mos(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rainloom.operators.metrics import best_threshold, threshold_sweep
 
     threshold = best_threshold(threshold_sweep(oof, [], "score", "y", grid(*SWEEP_ENSEMBLE)), []).first()["threshold"]
-    scored = decided(replace(boosted(train, names, "y"), threshold=threshold), test, "mos")
+    scored = materialize(decided(replace(boosted(train, names, "y"), threshold=threshold), test, "mos"), "tested")
     out = evaluate(scored, ["abordagem", "threshold"], "y")
     return out.withColumn("brier", scored.agg(brier("score", "y")).scalar())
 
@@ -186,7 +186,7 @@ def approach_comparison_with_model(spark: SparkSession, sf_dir: str) -> DataFram
         "votos": (vote_count() >= votes_needed, vote_count() / 6.0),
         "mos": (F.col("prob") >= model.threshold, F.col("prob")),
     })
-    return evaluate(long, ["abordagem"], "y")
+    return evaluate(materialize(long, "approaches"), ["abordagem"], "y")
 
 
 @query()
@@ -254,21 +254,16 @@ def transfer_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def champion_on_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The champion fed with forecast series of leads 0, 1 and 2 against the raw forecast."""
+    """Raw forecast and champion at leads 0, 1 and 2, phase-shift models at leads 1 and 2, all
+    on identical hours. An older run is stood in by the series of as many hours before."""
     rows = training_rows(spark, sf_dir)
     champion = champion_of(rows)
-    dense = dense_observations(spark, sf_dir)
-    truth = dense.select(*KEY, T, event(F.col("precipitation")).alias("y")).dropna()
-    parts = []
-    for lead in (0, 1, 2):
-        series = over_blocks(dense, KEY, T, lead, 0, lambda w: {c: F.lag(c, lead).over(w) for c in RAW_COLUMNS}) if lead else dense
-        vectors = shifted_features(series, KEY).dropna().join(truth, [*KEY, T])
-        amount = series.select(*KEY, T, F.col("precipitation").alias("api"))
-        scored = predict(champion, vectors, "prob").join(amount, [*KEY, T]).dropna(subset=["api"])
-        parts.append(long_decisions(scored, ["y"], {
-            f"api_d{lead}": (F.col("api") > 0, F.col("api")), f"champion_d{lead}": (F.col("prob") >= champion.threshold, F.col("prob")),
-        }))
-    return evaluate(materialize(stack(parts), "leads"), ["abordagem"], "y")
+    dense = materialize(dense_observations(spark, sf_dir), "dense")
+    truth = dense.select(*KEY, T, event(F.col("precipitation")).alias("y"))
+    runs = {0: dense} | {
+        n: over_blocks(dense, KEY, T, n, 0, lambda w: {c: F.lag(c, n).over(w) for c in RAW_COLUMNS}) for n in (1, 2)
+    }
+    return evaluate(lead_comparison(runs, truth, KEY, champion, forest, CUTS, grid(*SWEEP_RETRAIN)), ["abordagem"], "y")
 
 
 @query()

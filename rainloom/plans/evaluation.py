@@ -7,10 +7,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rainloom.constants import MIN_TEST_ROWS
+from rainloom.constants import MIN_TEST_ROWS, VENDOR_RENAMES
+from rainloom.operators.baselines import long_decisions
+from rainloom.operators.ensemble_features import phase_features
+from rainloom.operators.features import shifted_features
 from rainloom.operators.metrics import auc, classification_metrics, pooled_too, rolled_up_metrics
 from rainloom.operators.models import Fitted, calibrated, predict
-from rainloom.operators.splits import assign_folds, large_enough
+from rainloom.operators.splits import assign_folds, large_enough, split_at
+from rainloom.session import materialize
 
 MAX_FITS = 64
 
@@ -66,7 +70,7 @@ def leave_one_out(
 
 def out_of_fold(df: DataFrame, group: list[str], folds: int, features: list[str], label: str, fit: Fit) -> DataFrame:
     """Score of every row by a model fitted on the other folds; whole groups per fold."""
-    folded = assign_folds(df, group, folds)
+    folded = materialize(assign_folds(df, group, folds), "folds")
     parts = []
     for number in groups_of(folded, "fold"):
         model = fit(folded.where(F.col("fold") != number), features, label)
@@ -75,16 +79,18 @@ def out_of_fold(df: DataFrame, group: list[str], folds: int, features: list[str]
 
 
 def evaluate(predictions: DataFrame, group: list[str], label: str, score: str = "score", pred: str = "pred") -> DataFrame:
-    """Confusion metrics and AUC per group from one frame of predictions."""
+    """Confusion metrics and AUC per group; the AUC is null for groups without scores.
+    Reads the predictions more than once: materialize them if they come from a model."""
     metrics = classification_metrics(predictions, group, label, pred)
     areas = auc(predictions, group, score, label)
-    return metrics.join(areas, group) if group else metrics.withColumn("auc_roc", areas.scalar())
+    return metrics.join(areas, group, "left") if group else metrics.withColumn("auc_roc", areas.scalar())
 
 
 def evaluate_by_station(predictions: DataFrame, group: list[str], station: str, label: str) -> DataFrame:
     """Per station and for all stations together."""
     metrics = rolled_up_metrics(predictions, group, station, label, "pred")
-    return metrics.join(auc(pooled_too(predictions, station), [*group, station], "score", label), [*group, station])
+    areas = auc(pooled_too(predictions, station), [*group, station], "score", label)
+    return metrics.join(areas, [*group, station], "left")
 
 
 def ablation(split: DataFrame, label: str, variants: dict[str, list[str]], fit: Fit, thresholds: list[float]) -> DataFrame:
@@ -127,3 +133,48 @@ def transfer(model: Fitted, rows: DataFrame, labels: dict[str, str], persistence
         entries.append(entry(f"persistencia__{last[0]}", last[1], F.col(persistence), F.lit(None)))
     keep = [c for c in ("station_id",) if c in rows.columns]
     return scored.select(*keep, F.inline(F.array(*entries)))
+
+
+TABLE_NAMES = VENDOR_RENAMES | {"wind_speed_10m": "windspeed"}
+
+
+def lead_comparison(
+    runs: dict[int, DataFrame], truth: DataFrame, keys: list[str], champion: Fitted, fit: Fit, cuts: tuple[str, str],
+    thresholds: list[float],
+) -> DataFrame:
+    """Approaches by lead on the same hours, as long ``(y, abordagem, pred, score)`` rows.
+
+    ``runs`` maps a lead to the dense forecast series of that lead. For each lead: the raw
+    forecast and the champion on the features of the forecast series; for leads above 0
+    also a model of the forecast of the hour and its neighbours. Only hours on which every
+    approach has its inputs are kept, for fitting and for testing.
+    """
+    time_col = "observation_time"
+    hour = [*keys, time_col]
+    name = lambda variable: TABLE_NAMES.get(variable, variable)
+    prefixed = lambda df, p: df.select(*hour, *[F.col(c).alias(f"{p}{c}") for c in df.columns if c not in hour])
+    wide = materialize(truth.dropna(), "truth")
+    phase_names: list[str] = []
+    for lead, series in runs.items():
+        # Written one by one: a single plan over all leads would be too large to optimize.
+        phase = phase_features(series, keys, name)
+        phase_names = [c for c in phase.columns if c not in hour]
+        for frame, prefix in ((phase, f"m{lead}_"), (shifted_features(series, keys), f"c{lead}_")):
+            wide = wide.join(materialize(prefixed(frame, prefix), f"run-{prefix}"), hour)
+    wide = wide.where(F.forall(F.array(*[F.col(c).isNotNull() for c in wide.columns]), lambda known: known))
+    split = materialize(split_at(wide, *cuts, ("train", "calibrate", "test")), "lead-rows")
+    named = lambda df, p, columns: df.withColumns({c: F.col(f"{p}{c}") for c in columns})
+    tested = split.where("split = 'test'")
+    for lead in runs:
+        tested = predict(champion, named(tested, f"c{lead}_", champion.features), f"_c{lead}").drop(*champion.features)
+    approaches = {}
+    for lead in runs:
+        amount = F.col(f"m{lead}_precipitation")
+        approaches[f"api_d{lead}"] = (amount > 0, amount)
+        approaches[f"champion_d{lead}"] = (F.col(f"_c{lead}") >= champion.threshold, F.col(f"_c{lead}"))
+        if lead > 0:
+            part = lambda s: named(split.where(F.col("split") == s), f"m{lead}_", phase_names)
+            model = calibrated(fit(part("train"), phase_names, "y"), part("calibrate"), "y", thresholds)
+            tested = predict(model, named(tested, f"m{lead}_", phase_names), f"_m{lead}").drop(*phase_names)
+            approaches[f"mos_d{lead}"] = (F.col(f"_m{lead}") >= model.threshold, F.col(f"_m{lead}"))
+    return materialize(long_decisions(tested, ["y"], approaches), "leads")

@@ -35,6 +35,7 @@ def retrain(
     )
     contenders = {"new": model} | ({"champion": champion} if champion else {})
     tested = stack([decided(m, part("test"), n).select(label, "score", "pred", "abordagem") for n, m in contenders.items()])
+    tested = materialize(tested, "tested")
     metrics = {r["abordagem"]: r for r in evaluate(tested, ["abordagem"], label).collect()}
     f1_champion = metrics["champion"]["f1"] if champion else None
     promoted = should_promote(metrics["new"]["f1"], f1_champion, tolerance=0.0)
