@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions.numeric import ratio, ratio_or_zero
-from rainloom.operators.prefix import exact_quantiles, quantile_splits, running_totals
+from rainloom.operators.prefix import exact_quantiles, running_totals
 from rainloom.operators.profile import best_per_group
 
 COUNTS = ["vp", "fp", "fn", "vn"]
@@ -64,14 +64,13 @@ def score_counts(df: DataFrame, group: list[str], score: str, label: str) -> Dat
 
 
 def _ranked(df: DataFrame, group: list[str], score: str, label: str, splits: list[float] | None) -> DataFrame:
-    splits = quantile_splits(df, score) if splits is None else splits
     return running_totals(score_counts(df, group, score, label), group, score, ["pos", "neg"], splits)
 
 
 def auc(df: DataFrame, group: list[str], score: str, label: str, splits: list[float] | None = None) -> DataFrame:
     """Exact area under the ROC curve with ties at half weight; null with one class only.
 
-    ``splits`` only balances the work; by default taken from the data.
+    ``splits`` only balances the work; by default taken from the scores.
     """
     pairs = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     p, n = F.max("pos_all").cast("double"), F.max("neg_all").cast("double")

@@ -10,49 +10,59 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rainloom.session import materialize
+
 SLICES = 256
 SLICE = "_slice"
+SINGLE_SLICE_ROWS = 50_000
 
 
-def quantile_splits(df: DataFrame, column: str, slices: int = SLICES) -> list[float]:
-    """At most ``slices`` - 1 inner cut points, from one approximate pass.
+def quantile_splits(values: DataFrame, column: str, slices: int = SLICES) -> list[float]:
+    """At most ``slices`` - 1 inner cut points, from one approximate pass; none for few values.
 
     They only balance the work: results are exact whatever the cut points are.
     """
     probs = [i / slices for i in range(1, slices)]
-    row = df.select(F.percentile_approx(F.col(column).cast("double"), probs, 4 * slices).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    row = values.agg(
+        F.count(column).alias("n"), F.percentile_approx(F.col(column).cast("double"), probs, 4 * slices).alias("q")
+    ).first()
+    return [] if row["n"] <= SINGLE_SLICE_ROWS else sorted(set(row["q"]))
 
 
 def sliced(df: DataFrame, column: str, splits: list[float]) -> DataFrame:
     """Number the slice of each value; slices are ordered like the values."""
-    if not splits:
-        return df.withColumn(SLICE, F.lit(0.0))
     edges = [float("-inf"), *splits, float("inf")]
     cast = df.withColumn("_position", F.col(column).cast("double"))
     return Bucketizer(splits=edges, inputCol="_position", outputCol=SLICE).transform(cast).drop("_position")
 
 
 def running_totals(
-    counts: DataFrame, group: list[str], column: str, measures: list[str], splits: list[float], grand: bool = True
+    counts: DataFrame, group: list[str], column: str, measures: list[str], splits: list[float] | None = None
 ) -> DataFrame:
     """``counts`` has one row per (group, value). Adds ``<m>_before`` (sum over smaller
-    values) and, if wanted, ``<m>_all`` (sum over the group) for each measure."""
+    values) and ``<m>_all`` (sum over the group) for each measure.
+
+    Without ``splits`` the counts are written once and cut by their own quantiles.
+    """
+    if splits is None:
+        counts = materialize(counts, "counts")
+        splits = quantile_splits(counts, column)
+    zero = F.lit(0).cast("long")
+    whole = Window.partitionBy(*group)
+    below = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if not splits:
+        totals = {f"{m}_before": F.coalesce(F.sum(m).over(below(group, column)), zero) for m in measures}
+        return counts.withColumns(totals | {f"{m}_all": F.sum(m).over(whole) for m in measures})
     cut = sliced(counts, column, splits)
     per_slice = cut.groupBy(*group, SLICE).agg(*[F.sum(m).alias(m) for m in measures])
-    lower = Window.partitionBy(*group).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    zero = F.lit(0).cast("long")
     offsets = per_slice.select(
         *group,
         SLICE,
-        *[F.coalesce(F.sum(m).over(lower), zero).alias(f"_{m}_slice") for m in measures],
-        *([F.sum(m).over(whole).alias(f"{m}_all") for m in measures] if grand else []),
+        *[F.coalesce(F.sum(m).over(below(group, SLICE)), zero).alias(f"_{m}_slice") for m in measures],
+        *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
     )
-    inside = Window.partitionBy(*group, SLICE).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    before = {
-        f"{m}_before": F.col(f"_{m}_slice") + F.coalesce(F.sum(m).over(inside), zero) for m in measures
-    }
+    inside = below([*group, SLICE], column)
+    before = {f"{m}_before": F.col(f"_{m}_slice") + F.coalesce(F.sum(m).over(inside), zero) for m in measures}
     return (
         cut.join(offsets, [*group, SLICE])
         .withColumns(before)
@@ -63,17 +73,33 @@ def running_totals(
 def exact_quantiles(
     df: DataFrame, group: list[str], column: str, probs: list[float], splits: list[float] | None = None
 ) -> DataFrame:
-    """Interpolated quantiles per group, one row per (group, p)."""
+    """Interpolated quantiles per group, one row per (group, p).
+
+    Only the slices that hold a wanted rank are sorted.
+    """
     known = df.where(F.col(column).isNotNull())
-    splits = quantile_splits(known, column) if splits is None else splits
     counts = known.groupBy(*group, column).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, group, column, ["n"], splits)
+    if splits is None:
+        counts = materialize(counts, "counts")
+        splits = quantile_splits(counts, column)
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     rank = F.col("p") * (F.col("n_all") - 1)
+    ranks = {"_lo": F.floor(rank), "_hi": F.ceil(rank), "_part": rank - F.floor(rank)}
+    if splits:
+        cut = sliced(counts, column, splits)
+        per_slice = running_totals(cut.groupBy(*group, SLICE).agg(F.sum("n").alias("n")), group, SLICE, ["n"], splits=[])
+        reached = per_slice.withColumn("p", wanted).withColumns(ranks).where(
+            (F.col("n_before") <= F.col("_hi")) & (F.col("n_before") + F.col("n") > F.col("_lo"))
+        )
+        offset = reached.select(*group, SLICE, "p", "_lo", "_hi", "_part", F.col("n_before").alias("_offset"))
+        inside = Window.partitionBy(*group, "p", SLICE).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long"))
+        ranked = cut.join(offset, [*group, SLICE]).withColumn("n_before", before)
+    else:
+        ranked = running_totals(counts, group, column, ["n"], splits=[]).withColumn("p", wanted).withColumns(ranks)
     holds = lambda position: (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))
     return (
-        ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumns({"_lo": F.floor(rank), "_hi": F.ceil(rank), "_part": rank - F.floor(rank)})
-        .where(holds(F.col("_lo")) | holds(F.col("_hi")))
+        ranked.where(holds(F.col("_lo")) | holds(F.col("_hi")))
         .groupBy(*group, "p")
         .agg(
             F.max(F.when(holds(F.col("_lo")), F.col(column))).alias("_v_lo"),
