@@ -112,11 +112,14 @@ MODEL_SOURCES = {
 }
 
 
-def model_forecasts(spark: SparkSession, sf_dir: str, name) -> DataFrame:
-    """Wide hourly forecasts of six models on a continuous grid, plus the amount ``chuva``
-    seen by all models' mean two hours later as a stand-in for truth."""
-    rows = event_rows(spark, sf_dir)
-    member = lambda e, c: F.when(F.col("station_id") == e, c)
+def model_forecasts(spark: SparkSession, sf_dir: str, name, stations: int | None = None) -> DataFrame:
+    """Wide hourly forecasts of six models on a continuous grid: one series, or one for each
+    of ``stations`` groups of users."""
+    rows = event_rows(spark, sf_dir).withColumnRenamed("station_id", "model")
+    keys = ["station_id"] if stations else []
+    if stations:
+        rows = rows.withColumn("station_id", F.concat(F.lit("s"), F.col("user_id") % stations))
+    member = lambda e, c: F.when(F.col("model") == e, c)
     mean = lambda c: exact_mean(c)
     amount = lambda m: F.when(m.isNotNull(), F.greatest(m - F.lit(WET_CUT), F.lit(0.0)))
     value, k = F.col("value"), F.col("k")
@@ -131,7 +134,7 @@ def model_forecasts(spark: SparkSession, sf_dir: str, name) -> DataFrame:
     cells[name("cloud_cover", MEAN_MODEL)] = ratio(F.sum(k), F.count(k))
     cells[name("relative_humidity_2m", MEAN_MODEL)] = F.min(value)
     cells[name("cape", MEAN_MODEL)] = F.when(F.count(value) > 0, F.count(value).cast("double"))
-    return dense_hourly(rows, [], "ts", cells)
+    return dense_hourly(rows, keys, "ts", cells)
 
 
 def _models_sql() -> str:

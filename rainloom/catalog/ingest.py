@@ -8,9 +8,10 @@ from rainloom.catalog.bindings import (
     CELLS_SQL, GRID_SQL, REGION_SQL, SCORED_SQL, dense_observations, event_rows, observations, r6, region_orders,
 )
 from rainloom.catalog.registry import query
-from rainloom.functions.numeric import exact_sum, missing_to_null
-from rainloom.functions.timeparts import hour_floor, month_floor
+from rainloom.functions.numeric import exact_mean, exact_sum, missing_to_null
+from rainloom.functions.timeparts import hour_floor, month_floor, utc_to_zone
 from rainloom.operators.grid import densify, hourly_cells, keep_one, merge_repeated_hours, months_between
+from rainloom.operators.profile import top
 from rainloom.sources.planner import missing_periods
 from rainloom.sources.series_json import pack_series, unpack_series
 from rainloom.sources.tables import from_source, from_sql, horizon, read_table, required, since, up_to
@@ -201,3 +202,30 @@ def source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")
     )
+
+
+@query("""
+SELECT event_id, ts - INTERVAL 3 HOUR AS local_time, CAST(hour(ts - INTERVAL 3 HOUR) AS INTEGER) AS local_hour FROM events""")
+def zone_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTC times as local times (three hours behind, no summer time in that month)."""
+    local = utc_to_zone(F.col("ts"), "America/Sao_Paulo")
+    return read_table(spark, sf_dir, "events").select("event_id", local.alias("local_time"), F.hour(local).alias("local_hour"))
+
+
+@query("""
+SELECT event_type AS station_id, event_id, value FROM events ORDER BY ts, event_id LIMIT 100""")
+def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred rows in time, for a model signature."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("station_id"), "event_id", "value", "ts")
+    return top(rows, 100, F.asc("ts"), F.asc("event_id")).drop("ts")
+
+
+@query("""
+SELECT MIN(ts) AS first_time, MAX(ts) AS last_time, COUNT(*) AS n, ROUND(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE), 2) AS total,
+       ROUND(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(value), 6) AS mean FROM events""")
+def global_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent, size, total and mean of the whole table in one pass."""
+    return read_table(spark, sf_dir, "events").agg(
+        F.min("ts").alias("first_time"), F.max("ts").alias("last_time"), F.count(F.lit(1)).alias("n"),
+        F.round(exact_sum(F.col("value")), 2).alias("total"), F.round(exact_mean(F.col("value")), 6).alias("mean"),
+    )

@@ -19,7 +19,8 @@ from rainloom.operators.profile import best_per_group
 from rainloom.operators.verification import (
     accuracy_by_lead, accuracy_hourly, contingency, lag_scores, latest_before_target, shifted_join,
 )
-from rainloom.sources.tables import read_table
+from rainloom.sinks.tables import register_view
+from rainloom.sources.tables import from_sql, read_table
 
 KEY = ["station_id"]
 T = "observation_time"
@@ -357,3 +358,13 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, ts, user_id, value FROM events""")
 def projection_minus_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * EXCEPT (event_type, props) FROM {events}", events=read_table(spark, sf_dir, "events"))
+
+
+@query(_LEAD_SQL + """
+SELECT faixa_antecedencia, COUNT(*) AS n, SUM(CAST(choveu = pred_vai_chover AS INTEGER)) AS acertos FROM lead GROUP BY 1""")
+def sql_over_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verification result as a view, queried in SQL."""
+    register_view(accuracy_by_lead_view(spark, sf_dir), "rain_model_accuracy_by_lead")
+    return from_sql(spark, """
+        SELECT faixa_antecedencia, count(*) AS n, sum(CAST(choveu = pred_vai_chover AS INT)) AS acertos
+        FROM rain_model_accuracy_by_lead GROUP BY faixa_antecedencia""")

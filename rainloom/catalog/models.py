@@ -26,7 +26,10 @@ from rainloom.operators.models import (
 )
 from rainloom.operators.profile import best_per_group, weighted_mean
 from rainloom.operators.splits import split_at
-from rainloom.plans.evaluation import ablation, decided, evaluate, evaluate_by_station, lead_comparison, leave_one_out, out_of_fold, source_matrix, stack, transfer
+from rainloom.plans.evaluation import (
+    ablation, approaches_station_out, decided, evaluate, evaluate_by_station, lead_comparison, leave_one_out, out_of_fold,
+    source_matrix, transfer, weighted_by_hours,
+)
 from rainloom.plans.serving import publish, score_ensemble, score_hours, serving_frame
 from rainloom.plans.training import retrain, train_ensemble, train_regional
 from rainloom.session import materialize, scratch_path
@@ -189,6 +192,21 @@ def approach_comparison_with_model(spark: SparkSession, sf_dir: str) -> DataFram
     return evaluate(materialize(long, "approaches"), ["abordagem"], "y")
 
 
+@query()
+def approaches_by_held_out_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four approaches with each station left out, and their means weighted by test hours."""
+    wide = ensemble_features(model_forecasts(spark, sf_dir, live_name, stations=3), KEY, live_name)
+    ahead = lambda w: {"y": (F.lead("p_best_match", 2).over(w) > 0).cast("int")}
+    rows = materialize(over_blocks(wide, KEY, T, 0, 2, ahead).dropna(subset=["y", "p_best_match"]), "stations")
+    small = partial(fit_boosted, rounds=3, step=0.3, depth=2)
+    long = materialize(approaches_station_out(
+        rows, "station_id", "y", ensemble_feature_names(), _moment(CUTS[1]), small, grid(*SWEEP_ENSEMBLE), folds=2, at_least=10
+    ), "approaches")
+    per_station = evaluate(long, ["abordagem", "station_id"], "y").select("abordagem", "station_id", "f1", "n")
+    means = weighted_by_hours(per_station, ["abordagem"]).withColumn("station_id", F.lit("todas"))
+    return per_station.unionByName(means)
+
+
 @query()
 def loso_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each station tested by models that never saw it, with and without the champion's

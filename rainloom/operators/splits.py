@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 T = "observation_time"
+LISTED_GROUPS = 10_000
 
 
 def _moment(value: str | Column) -> Column:
@@ -67,9 +68,14 @@ def new_rows_gate(df: DataFrame, trained_until: Column, as_of: Column, at_least:
     return df.agg(fresh.alias("novos")).select("novos", (F.col("novos") >= at_least).alias("retreinar"))
 
 
-def assign_folds(df: DataFrame, group: list[str], folds: int) -> DataFrame:
-    """Whole groups to folds in turn, by the order of the groups. Never more folds than groups."""
+def assign_folds(df: DataFrame, group: list[str], folds: int, most_listed: int = LISTED_GROUPS) -> DataFrame:
+    """Whole groups to folds in turn, by the order of the groups. Never more folds than groups.
+
+    Beyond ``most_listed`` groups a hash of the group decides, so that no task has to number them all.
+    """
     groups = df.select(*group).distinct()
+    if groups.limit(most_listed + 1).count() > most_listed:
+        return df.withColumn("fold", F.pmod(F.xxhash64(*group), F.lit(folds)).cast("int"))
     numbered = groups.withColumn("_no", F.row_number().over(Window.partitionBy().orderBy(*group)) - 1)
     used = F.least(F.lit(folds), groups.agg(F.count(F.lit(1))).scalar())
     return df.join(numbered.select(*group, (F.col("_no") % used).cast("int").alias("fold")), group)

@@ -7,12 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rainloom.constants import MIN_TEST_ROWS, VENDOR_RENAMES
-from rainloom.operators.baselines import long_decisions
+from rainloom.constants import ENSEMBLE_MODELS, MIN_TEST_ROWS, VENDOR_RENAMES
+from rainloom.operators.baselines import best_vote_count, long_decisions, single_model_f1, vote_count
 from rainloom.operators.ensemble_features import phase_features
 from rainloom.operators.features import shifted_features
-from rainloom.operators.metrics import auc, classification_metrics, pooled_too, rolled_up_metrics
+from rainloom.operators.metrics import (
+    auc, best_threshold, classification_metrics, pooled_too, rolled_up_metrics, threshold_sweep,
+)
 from rainloom.operators.models import Fitted, calibrated, predict
+from rainloom.operators.profile import best_per_group, weighted_mean
 from rainloom.operators.splits import assign_folds, large_enough, split_at
 from rainloom.session import materialize
 
@@ -178,3 +181,38 @@ def lead_comparison(
             tested = predict(model, named(tested, f"m{lead}_", phase_names), f"_m{lead}").drop(*phase_names)
             approaches[f"mos_d{lead}"] = (F.col(f"_m{lead}") >= model.threshold, F.col(f"_m{lead}"))
     return materialize(long_decisions(tested, ["y"], approaches), "leads")
+
+
+def approaches_station_out(
+    rows: DataFrame, station: str, label: str, features: list[str], cut: Column, fit: Fit, thresholds: list[float],
+    folds: int = 4, at_least: int = MIN_TEST_ROWS,
+) -> DataFrame:
+    """Raw forecast, best single model, votes and a fitted model for every held-out station.
+
+    All choices (model, votes, threshold) come from the other stations before ``cut``;
+    the model's threshold from scores out of fold. Long rows with station, label,
+    approach, decision and score.
+    """
+    time_col = "observation_time"
+    tested, _ = large_enough(rows.where(F.col(time_col) >= cut), [station], at_least)
+    score = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    parts = []
+    for held_out in groups_of(tested, station):
+        train = materialize(rows.where((F.col(station) != F.lit(held_out)) & (F.col(time_col) < cut)), "train")
+        single = best_per_group(single_model_f1(train, [], label), [], "f1", [F.col("rank_no")]).first()["modelo"]
+        needed = best_vote_count(train, [], label).first()["threshold"]
+        oof = materialize(out_of_fold(train, [station], folds, features, label, fit), "oof")
+        threshold = best_threshold(threshold_sweep(oof, [], "score", label, thresholds), []).first()["threshold"]
+        test = predict(fit(train, features, label), tested.where(F.col(station) == F.lit(held_out)), "_prob")
+        parts.append(long_decisions(test, [station, label], {
+            "api": (score("p_best_match") > 0, score("p_best_match")),
+            "melhor_1": (score(f"p_{single}") > 0, score(f"p_{single}")),
+            "votos": (vote_count() >= needed, vote_count() / float(len(ENSEMBLE_MODELS))),
+            "mos": (F.col("_prob") >= F.lit(threshold), F.col("_prob")),
+        }))
+    return stack(parts)
+
+
+def weighted_by_hours(metrics: DataFrame, group: list[str], metric: str = "f1") -> DataFrame:
+    """Mean of a metric over stations, weighted by their test hours."""
+    return metrics.groupBy(*group).agg(weighted_mean(metric, "n").alias(metric), F.sum("n").alias("n"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainloom.constants import RAW_COLUMNS
 from rainloom.operators.features import LOOKBACK, feature_store
-from rainloom.operators.grid import densify
+from rainloom.operators.grid import densify, keep_one
+from rainloom.session import materialize
+from rainloom.sinks import tables as sink
 from rainloom.sources.tables import required, up_to
 
 T = "observation_time"
@@ -39,3 +41,28 @@ def incremental_features(
     recent = with_mark(dense).where(F.col("_mark").isNull() | (F.col(T) > context_start)).drop("_mark")
     fresh = with_mark(feature_store(recent, keys))
     return fresh.where(F.col("_mark").isNull() | (F.col(T) > F.col("_mark"))).drop("_mark")
+
+
+def update_feature_table(
+    spark: SparkSession, observations: DataFrame, store_path: str, keys: list[str], as_of: Column | None = None,
+    context_hours: int = CONTEXT_HOURS,
+) -> None:
+    """Append the new hours of every station to the feature table, or build it if it is absent.
+
+    For known stations the scan starts at the oldest mark less the context, as a
+    literal that reaches the parquet reader; unknown stations are read in full.
+    """
+    rows = required(up_to(observations, T, as_of), CRITICAL).select(*keys, T, *RAW_COLUMNS)
+    if not sink.exists(spark, store_path):
+        sink.append(feature_store(densify(rows, keys, T), keys), store_path)
+        return
+    store = sink.read_evolved(spark, store_path)
+    marks = materialize(store.groupBy(*keys).agg(F.max(T).alias("_mark")), "marks")
+    oldest = marks.agg(F.min("_mark")).first()[0]
+    known = rows.where(F.col(T) > F.lit(oldest) - F.expr(f"INTERVAL {int(context_hours)} HOURS"))
+    if keys:
+        unknown = rows.join(marks.select(*keys), keys, "left_anti")
+        known = known.join(marks.select(*keys), keys, "left_semi").unionByName(unknown)
+    one_each = keep_one(known, [*keys, T], [F.struct(*RAW_COLUMNS)])
+    fresh = incremental_features(densify(one_each, keys, T), marks.withColumnRenamed("_mark", T), keys, context_hours)
+    sink.append(fresh, store_path)

@@ -110,6 +110,8 @@ def test_splits_and_folds(spark):
     folds = assign_folds(df, ["station_id"], 5)
     assert folds.select("station_id", "fold").distinct().count() == 2
     assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {0, 1}
+    hashed = assign_folds(df, ["station_id"], 5, most_listed=1)
+    assert hashed.count() == df.count() and hashed.select("station_id", "fold").distinct().count() == 2
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ from rainloom.constants import ALL_FEATURES, BASE_FEATURES
 from rainloom.operators.blocks import forward_fill, over_blocks
 from rainloom.operators.features import add_features, feature_store, lag_columns, rolling_columns
 from rainloom.operators.grid import densify, keep_one, merge_repeated_hours, normalise_missing
-from rainloom.plans.feature_table import incremental_features
+from rainloom.plans.feature_table import incremental_features, update_feature_table
 from tests.series import T, as_set, at, hourly
 
 KEY = ["station_id"]
@@ -108,3 +108,14 @@ def test_keep_one_first_and_latest(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 3, None)], "k string, o int, v string")
     assert keep_one(df, ["k"], [F.col("o")]).first()["v"] == "y"
     assert keep_one(df, ["k"], [F.col("o")], latest=True).first()["v"] is None
+
+
+def test_update_feature_table_in_steps(spark, tmp_path):
+    table, path = hourly(spark, 150, ("a", "b"), drop=(60, 61)), str(tmp_path / "store")
+    early = table.where("station_id = 'a'")
+    for cut in ("2023-12-27 05:00:00", "2023-12-29 00:00:00", "2023-12-29 00:00:00"):
+        update_feature_table(spark, early.where(F.col(T) <= at(cut)), path, KEY)
+    update_feature_table(spark, table, path, KEY)
+    got = spark.read.parquet(path)
+    assert as_set(got) == as_set(feature_store(densify(table, KEY, T), KEY))
+    assert got.count() == got.select("station_id", T).distinct().count()
