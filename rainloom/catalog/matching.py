@@ -114,16 +114,17 @@ def semi_join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH" + FORECASTS_SQL + """
 SELECT station_id, target_time, inferencia_local, prob_chuva, l_orderkey, l_linenumber FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY station_id, target_time ORDER BY inferencia_local DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY station_id, target_time ORDER BY inferencia_local DESC, l_orderkey DESC, l_linenumber DESC, prob_chuva DESC) AS rn
   FROM fc WHERE inferencia_local < target_time) WHERE rn = 1""")
 def latest_before_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of match: the last forecast issued before its target."""
+    """As-of match: the last forecast issued before its target. Line numbers repeat within an
+    order, so the probability completes the order."""
     history = forecast_history(spark, sf_dir).drop("pred_vai_chover", "api_precip_alvo")
-    return latest_before_target(history, ["station_id"], ["l_orderkey", "l_linenumber"])
+    return latest_before_target(history, ["station_id"], ["l_orderkey", "l_linenumber", "prob_chuva"])
 
 
 @query("WITH" + FORECASTS_SQL + """,
-u AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY station_id, target_time ORDER BY inferencia_local DESC, l_orderkey DESC, l_linenumber DESC) AS rn
+u AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY station_id, target_time ORDER BY inferencia_local DESC, l_orderkey DESC, l_linenumber DESC, prob_chuva DESC, api_precip_alvo DESC) AS rn
       FROM fc WHERE inferencia_local < target_time)
 SELECT station_id, target_time, inferencia_local, prob_chuva, pred_vai_chover, api_precip_alvo,
        CAST(api_precip_alvo > 0 AS INTEGER) AS api_vai_chover, precipitation AS chuva_real_mm, CAST(precipitation > 0 AS INTEGER) AS choveu,
@@ -136,7 +137,8 @@ def accuracy_hourly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last forecast before each target against the observation, with outcome labels."""
     as_of = F.lit("2001-06-30 00:00:00").cast("timestamp_ntz")
     return accuracy_hourly(
-        forecast_history(spark, sf_dir), daily_truth(spark, sf_dir), ["station_id"], ["l_orderkey", "l_linenumber"], as_of=as_of
+        forecast_history(spark, sf_dir), daily_truth(spark, sf_dir), ["station_id"],
+        ["l_orderkey", "l_linenumber", "prob_chuva", "api_precip_alvo"], as_of=as_of
     ).drop("l_orderkey", "l_linenumber")
 
 

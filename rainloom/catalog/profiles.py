@@ -12,7 +12,7 @@ from rainloom.catalog.feature_sets import FEATURED_SQL
 from rainloom.catalog.registry import query
 from rainloom.constants import BASE_FEATURES, MIN_HOURS_PER_MONTH
 from rainloom.functions.labels import alert_level
-from rainloom.functions.numeric import exact_sum, guarded_corr, share
+from rainloom.functions.numeric import exact_mean, exact_sum, guarded_corr, share
 from rainloom.functions.timeparts import month_floor
 from rainloom.operators.features import feature_store
 from rainloom.operators.prefix import exact_quantiles
@@ -74,13 +74,13 @@ def rate_pivot_station_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + CELLS_SQL + """
-SELECT station_id, strftime(observation_time, '%Y-%m-%d') AS ds, ROUND(CAST(SUM(CAST(precipitation AS DECIMAL(18,6))) AS DOUBLE), 4) AS y,
+SELECT station_id, strftime(observation_time, '%Y-%m-%d') AS ds, CAST(SUM(CAST(precipitation AS DECIMAL(18,9))) AS DOUBLE) AS y,
        MAX(CASE WHEN precipitation > 0 THEN 1 ELSE 0 END) AS teve_chuva FROM cells GROUP BY 1, 2""")
 def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily amount and any-rain flag."""
     hours = observations(spark, sf_dir, narrow=True)
     return hours.groupBy("station_id", F.date_format(T, "yyyy-MM-dd").alias("ds")).agg(
-        F.round(exact_sum(F.col("precipitation"), 6), 4).alias("y"),
+        exact_sum(F.col("precipitation"), 9).alias("y"),
         F.max(F.when(F.col("precipitation") > 0, 1).otherwise(0)).alias("teve_chuva"),
     )
 
@@ -126,19 +126,19 @@ def station_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH" + GRID_SQL + f"""
 SELECT station_id, strftime(observation_time, '%Y-%m') AS month, COUNT(temperature_2m) AS known,
        CASE WHEN COUNT(temperature_2m) >= {MIN_HOURS_PER_MONTH}
-            THEN ROUND(CAST(SUM(CAST(precipitation AS DECIMAL(18,6))) AS DOUBLE), 4) END AS total FROM grid GROUP BY 1, 2""")
+            THEN CAST(SUM(CAST(precipitation AS DECIMAL(18,9))) AS DOUBLE) END AS total FROM grid GROUP BY 1, 2""")
 def monthly_min_count_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly totals, null for months with too few hours."""
-    dense = dense_observations(spark, sf_dir, narrow=True).withColumn("p", F.col("precipitation").cast("decimal(18,6)"))
+    dense = dense_observations(spark, sf_dir, narrow=True).withColumn("p", F.col("precipitation").cast("decimal(18,9)"))
     total = sum_if_enough("p", MIN_HOURS_PER_MONTH).cast("double")
     return dense.groupBy("station_id", F.date_format(T, "yyyy-MM").alias("month")).agg(
-        F.count("temperature_2m").alias("known"), F.round(total, 4).alias("total")
+        F.count("temperature_2m").alias("known"), total.alias("total")
     )
 
 
 @query("""
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS date,
-       ROUND(CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(o_totalprice), 4) AS chuva,
+       CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(o_totalprice) AS chuva,
        COUNT(o_totalprice) AS postos
 FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate >= TIMESTAMP '1996-06-01 00:00:00'
   AND o_totalprice IS NOT NULL GROUP BY 1""")
@@ -149,7 +149,7 @@ def gauge_mean_with_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         & (F.col("o_orderdate") >= F.lit("1996-06-01").cast("timestamp_ntz")) & F.col("o_totalprice").isNotNull()
     )
     return rows.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).agg(
-        F.round(exact_sum(F.col("o_totalprice")) / F.count("o_totalprice"), 4).alias("chuva"),
+        exact_mean(F.col("o_totalprice")).alias("chuva"),
         F.count("o_totalprice").alias("postos"),
     )
 
@@ -220,12 +220,12 @@ def quantiles_wet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_returnflag, ROUND(CAST(median(CAST(l_extendedprice AS DOUBLE)) AS DOUBLE), 4) AS median,
-       ROUND(CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*), 4) AS mean FROM lineitem GROUP BY 1""")
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS mean FROM lineitem GROUP BY 1""")
 def mean_and_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
     medians = exact_quantiles(rows, ["l_returnflag"], "l_extendedprice", [0.5])
     means = rows.groupBy("l_returnflag").agg(
-        F.round(exact_sum(F.col("l_extendedprice")) / F.count("l_extendedprice"), 4).alias("mean")
+        exact_mean(F.col("l_extendedprice")).alias("mean")
     )
     return means.join(medians, "l_returnflag").select("l_returnflag", F.round("quantile", 4).alias("median"), "mean")
 
