@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.catalog.bindings import GRID_SQL, MODELS_SQL, REGION_DAYS_SQL, dense_observations, model_forecasts, sround
+from rainloom.catalog.bindings import GRID_SQL, MODELS_SQL, dense_observations, model_forecasts, sround
 from rainloom.catalog.registry import query
 from rainloom.catalog.scores import METRICS_SQL, _auc_sql, counts_sql, rounded
-from rainloom.constants import ARCHIVE_VARIABLES, CAPE_MODELS, ENSEMBLE_MODELS
-from rainloom.functions.ensemble import archived_name, archived_single_name, live_name, row_count
+from rainloom.constants import CAPE_MODELS, ENSEMBLE_MODELS
+from rainloom.functions.ensemble import archived_name, archived_single_name, live_name
 from rainloom.functions.numeric import stable_round
 from rainloom.operators.baselines import best_vote_count, long_decisions, single_model_f1, vote_count
 from rainloom.operators.blocks import over_blocks
 from rainloom.operators.ensemble_features import ensemble_features, phase_features
-from rainloom.operators.features import cycle_columns
 from rainloom.operators.metrics import auc, classification_metrics
 from rainloom.operators.profile import best_per_group
 

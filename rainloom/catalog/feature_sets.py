@@ -11,8 +11,8 @@ from rainloom.functions.labels import event
 from rainloom.functions.numeric import round_half_even
 from rainloom.operators.blocks import forward_fill, over_blocks
 from rainloom.operators.features import (
-    add_features, calendar_columns, centred, cycle_columns, delta_columns, feature_store, framed, lag_columns,
-    rolling_columns, shifted_features, target_columns, wind_columns,
+    calendar_columns, centred, cycle_columns, delta_columns, feature_store, framed, lag_columns, rolling_columns,
+    shifted_features, target_columns, wind_columns,
 )
 from rainloom.functions.timeparts import calendar_flags
 from rainloom.plans.feature_table import incremental_features

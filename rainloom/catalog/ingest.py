@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.catalog.bindings import (
-    CELLS_SQL, GRID_SQL, REGION_SQL, SCORED_SQL, dense_observations, event_rows, observations, r6, region_orders,
+    CELLS_SQL, GRID_SQL, REGION_SQL, dense_observations, event_rows, observations, region_orders,
 )
 from rainloom.catalog.registry import query
 from rainloom.functions.numeric import exact_mean, exact_sum, missing_to_null
 from rainloom.functions.timeparts import hour_floor, month_floor, utc_to_zone
-from rainloom.operators.grid import densify, hourly_cells, keep_one, merge_repeated_hours, months_between
+from rainloom.operators.grid import densify, keep_one, merge_repeated_hours
 from rainloom.operators.profile import top
 from rainloom.sources.planner import missing_periods
 from rainloom.sources.series_json import pack_series, unpack_series

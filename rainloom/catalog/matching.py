@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.catalog.bindings import (
     CELLS_SQL, FORECASTS_SQL, GRID_SQL, REGION_DAYS_SQL, daily_truth, dense_observations, forecast_history,
-    observations, region_days, sround,
+    observations, region_days,
 )
 from rainloom.catalog.registry import query
 from rainloom.functions.labels import event
-from rainloom.functions.numeric import exact_sum, guarded_corr, ratio, ratio_or_zero, share, stable_round
+from rainloom.functions.numeric import exact_sum, guarded_corr, ratio, share
 from rainloom.functions.timeparts import month_floor
 from rainloom.operators.joins import (
     align, all_but_own, attach, common_keys, gauge_days, monthly_index_filled, only_common, with_monthly_index,

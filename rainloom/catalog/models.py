@@ -6,25 +6,24 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.catalog.bindings import GRID_SQL, REGION_DAYS_SQL, dense_observations, model_forecasts, observations, region_days
+from rainloom.catalog.bindings import GRID_SQL, dense_observations, model_forecasts, observations, region_days
 from rainloom.catalog.ensembles import labelled
 from rainloom.catalog.feature_sets import CALENDAR_SQL, CYCLE_SQL, DELTA_SQL, EXTRA_SQL, FLAG_SQL, LAG_SQL, W, WIND_SQL, rolling_sql
 from rainloom.catalog.profiles import store
 from rainloom.catalog.registry import query
 from rainloom.constants import (
-    ALL_FEATURES, BASE_FEATURES, EXTRA_FEATURES, RAW_COLUMNS, SWEEP_ENSEMBLE, SWEEP_REGIONAL, SWEEP_RETRAIN,
+    ALL_FEATURES, BASE_FEATURES, RAW_COLUMNS, SWEEP_ENSEMBLE, SWEEP_REGIONAL, SWEEP_RETRAIN,
 )
 from rainloom.functions.ensemble import live_name
 from rainloom.functions.labels import event
 from rainloom.operators.baselines import best_vote_count, long_decisions, single_model_f1, vote_count
 from rainloom.operators.blocks import over_blocks
 from rainloom.operators.ensemble_features import ensemble_feature_names, ensemble_features
-from rainloom.operators.features import add_features, feature_store, shifted_features
 from rainloom.operators.metrics import brier, grid, regression_metrics
 from rainloom.operators.models import (
     calibrated, fit_amount, fit_boosted, fit_forest, fit_seasonal, importances, predict, predict_amount, predict_seasonal,
 )
-from rainloom.operators.profile import best_per_group, weighted_mean
+from rainloom.operators.profile import best_per_group
 from rainloom.operators.splits import split_at
 from rainloom.plans.evaluation import (
     ablation, approaches_station_out, decided, evaluate, evaluate_by_station, lead_comparison, leave_one_out, out_of_fold,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.catalog.bindings import (
     CELLS_SQL, FORECASTS_SQL, GRID_SQL, REGION_DAYS_SQL, SCORED_SQL, dense_observations, forecast_history,
-    observations, region_days, region_orders, scored_labels,
+    observations, region_days, scored_labels,
 )
 from rainloom.catalog.feature_sets import FEATURED_SQL
 from rainloom.catalog.registry import query

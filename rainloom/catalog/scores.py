@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.catalog.bindings import CELLS_SQL, REGION_DAYS_SQL, SCORED_SQL, observations, region_days, scored_labels
+from rainloom.catalog.bindings import REGION_DAYS_SQL, SCORED_SQL, region_days, scored_labels
 from rainloom.catalog.feature_sets import FEATURED_SQL
 from rainloom.catalog.matching import _LEAD_SQL
 from rainloom.catalog.profiles import store

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.catalog.bindings import FORECASTS_SQL, SCORED_SQL, forecast_history, scored_labels
+from rainloom.catalog.bindings import FORECASTS_SQL, forecast_history
 from rainloom.catalog.registry import query
 from rainloom.catalog.scores import METRICS_SQL, PERSIST_SQL, _auc_sql, counts_sql, persistence
 from rainloom.constants import PROMOTION_TOLERANCE
 from rainloom.functions.labels import alert_level
-from rainloom.operators.ledger import experiment_rows, promote, promotion_reason, ranking, validation_rows
+from rainloom.operators.ledger import experiment_rows, promote, ranking, validation_rows
 from rainloom.operators.metrics import auc, classification_metrics
 from rainloom.session import scratch_path
 from rainloom.sinks import tables as sink

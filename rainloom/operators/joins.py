@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rainloom.functions.numeric import share
 from rainloom.functions.timeparts import gauge_day, month_floor
 from rainloom.operators.grid import months_between
 from rainloom.operators.profile import sum_if_enough

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.constants import (
     ENSEMBLE_VERSIONS_DDL, MODEL_VERSIONS_DDL, REGIONAL_VERSIONS_DDL, SWEEP_ENSEMBLE, SWEEP_REGIONAL, SWEEP_RETRAIN,
 )
 from rainloom.operators.ledger import conform, should_promote
 from rainloom.operators.metrics import best_threshold, brier, grid, median_threshold, threshold_sweep
-from rainloom.operators.models import Fitted, calibrated, predict
-from rainloom.operators.splits import months_before, rolling_split
+from rainloom.operators.models import Fitted, calibrated
+from rainloom.operators.splits import rolling_split
 from rainloom.plans.evaluation import Fit, decided, evaluate, groups_of, leave_one_out, out_of_fold, stack
 from rainloom.session import materialize
 
