@@ -60,7 +60,7 @@ def check(spark, con, sf_dir: str, name: str, fn, sql: str) -> str | None:
 
 
 if __name__ == "__main__":
-    from rainloom.catalog import oracle_sql, queries
+    from __spark_entry__ import oracle_sql, queries
     from rainloom.session import local_session
 
     sf = f"/root/testdata/sf{sys.argv[1]}"
