@@ -103,7 +103,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, usable, samp
 
 
 def quality_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
+    """The ``keep`` columns with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
 
     Null and empty texts are scored like any other; without labelled rows every score is 0.5.
     Equal texts get equal scores up to float rounding. The broadcast is bounded by the sample.
