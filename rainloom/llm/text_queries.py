@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.llm import host_rules, quality_knn
+from rainloom.llm import host_rules, quality_knn, tree_lm
 from rainloom.llm.registry import query
 from rainloom.llm.textblocks import crc_fold
 
@@ -68,3 +68,11 @@ def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_knn.fit(quality_knn.labelled_sample(docs, labels, "quality", crc_fold("doc_id", 5) != 0))
     held = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     return quality_knn.quality_scores(docs, model, ["doc_id"]).select("doc_id", held, "score", "predicted")
+
+
+@query()
+def op3_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_fold("doc_id", 5) == 1, F.lit(False))
+    scored = tree_lm.language_scores(docs.withColumn("held_out", held), docs.where(crc_fold("doc_id", 5) != 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
