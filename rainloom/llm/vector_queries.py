@@ -1 +1,14 @@
 """Queries over vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rainloom.llm import kmeans_tree
+from rainloom.llm.registry import query
+
+
+@query()
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return kmeans_tree.nearest_vectors(vectors, F.col("vec_id") % 50 == 0)
