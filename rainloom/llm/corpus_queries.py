@@ -5,11 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.llm import banded_join, piece_codec, soft_mix
+from rainloom.llm import banded_join, grammar_store, piece_codec, soft_mix
 from rainloom.llm.registry import query
 from rainloom.llm.text_queries import table
 
-PIECES = "piece_bpe_32k.model"
+PIECES, BYTE_PAIRS = "piece_bpe_32k.model", "byte_bpe_50k.json"
+
+
+@query()
+def op2_grammar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return grammar_store.stored_ids(docs, public_tokenizers.path(BYTE_PAIRS)).drop("ids")
 
 
 @query()
