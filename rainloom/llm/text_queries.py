@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.llm import host_rules, quality_knn, tree_lm
+from rainloom.llm import byte_cnn, host_rules, quality_knn, tree_lm
 from rainloom.llm.registry import query
 from rainloom.llm.textblocks import crc_fold
 
@@ -76,3 +76,11 @@ def op3_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_fold("doc_id", 5) == 1, F.lit(False))
     scored = tree_lm.language_scores(docs.withColumn("held_out", held), docs.where(crc_fold("doc_id", 5) != 1))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query()
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = byte_cnn.fit(docs.where(crc_fold("doc_id", 4) != 2).select(F.col("doc_id").alias("key"), "lang", "text"))
+    held = F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False))
+    return byte_cnn.predicted(docs.select("doc_id", held.alias("held_out"), "text"), network)
