@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.llm import banded_join, grammar_store, piece_codec, soft_mix
+from rainloom.llm import banded_join, grammar_store, label_shards, piece_codec, soft_mix
 from rainloom.llm.registry import query
 from rainloom.llm.text_queries import table
 
@@ -33,6 +33,11 @@ def op5_banded_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return banded_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op9_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_shards.sharded_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op10_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
