@@ -1,15 +1,15 @@
 """Language-model scores by context-tree weighting over bytes, learned from the whole corpus.
 
 A text is its bytes with A-Z lowered, closed by a byte that UTF-8 never has. A byte is binary
-decisions: six for its class (the most frequent bytes have a class each, the rest share one)
-and, in the shared class, eight for the byte itself. Every decision has a context tree of its
+decisions: those of a Huffman code for its class (the most frequent bytes have a class each, the
+rest share one) and, in the shared class, eight for the byte itself. Every decision has a context tree of its
 own over the classes of the bytes before it, ``DEPTH`` deep (two for the last eight), and mixes
 Krichevsky-Trofimov estimates of all depths by their weighted probabilities. Where a decision
 wasn't met in a context, the next shorter context decides.
 
 The counts of all training texts are added up by Spark, and the trees are worked out in tasks
 that each hold all contexts ending in the same two classes. The mixed predictions of the
-``CONTEXTS`` most frequent contexts, 134 MB at most, are broadcast; other contexts predict as
+``CONTEXTS`` most frequent contexts, at most 67 MB when opened, are broadcast; other contexts predict as
 their longest ending among these. The tables are the same whatever the order of the texts.
 
 The word baseline beside it is exact: the counts of the ``COMMON`` most frequent words are
@@ -18,6 +18,7 @@ broadcast, every other word of a document is matched with its count by a join.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from rainloom.llm.textblocks import FOLD, blocks, distinct_per_text, flat, owners, span_hashes, sums, word_bounds
 from rainloom.session import materialize
 
-CLASS_BITS, CLASSES, DEPTH = 6, 64, 6
+CLASSES, DEPTH = 64, 6
 NODES = CLASSES - 1
-CONTEXTS = 1 << 18
+CONTEXTS = 1 << 17
+#: Least frequency that a class's code is built for, as a share of all bytes.
+RAREST = 1 / 4096
 #: The class of the end and of what is before a text, and the class that rare bytes share.
 EDGE, SHARED = 0, CLASSES - 1
 END = 255
@@ -77,6 +80,49 @@ def symbol_logs(ones: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+class ClassCode:
+    """The class of every byte and its decisions: ``length`` pairs of a node (1 to 63) and a bit."""
+
+    def __init__(self, frequency: np.ndarray):
+        """Classes by frequency of the byte; ties go to the smaller byte."""
+        self.class_of = np.full(256, SHARED, np.int32)
+        order = np.lexsort((np.arange(256), -frequency))
+        order = order[order != END]
+        self.class_of[order[: SHARED - 1]] = 1 + np.arange(SHARED - 1)
+        self.class_of[END] = EDGE
+        weight = np.bincount(self.class_of, frequency, CLASSES) + max(frequency.sum(), 1) * RAREST
+        heap = [(w, k, k) for k, w in enumerate(weight.tolist())]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            low, high = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (low[0] + high[0], CLASSES + len(heap), (low[2], high[2])))
+        paths, number, level = {}, 0, [(heap[0][2], ())]
+        while level:
+            deeper = []
+            for tree, path in level:
+                if isinstance(tree, int):
+                    paths[tree] = path
+                else:
+                    number += 1
+                    deeper += [(child, (*path, (number, bit))) for bit, child in enumerate(tree)]
+            level = deeper
+        self.length = np.array([len(paths[k]) for k in range(CLASSES)])
+        self.node = np.zeros((CLASSES, int(self.length.max())), np.int64)
+        self.bit = np.zeros_like(self.node)
+        for k, path in paths.items():
+            self.node[k, : len(path)], self.bit[k, : len(path)] = zip(*path)
+
+    def logs(self, ones: np.ndarray) -> np.ndarray:
+        """log10 probability of each class from the probabilities of a one at nodes 1 to 63."""
+        one, zero = np.log10(ones), np.log10(1 - ones)
+        out = np.zeros((*ones.shape[:-1], CLASSES))
+        for level in range(self.node.shape[1]):
+            some = np.flatnonzero(self.length > level)
+            at = self.node[some, level] - 1
+            out[..., some] += np.where(self.bit[some, level] == 1, one[..., at], zero[..., at])
+        return out
+
+
 class Node:
     """Nodes of one depth: KT estimate and ln of the probability, own and weighted."""
 
@@ -91,7 +137,7 @@ class Node:
         return self.stop * self.estimate + (1 - self.stop) * deeper
 
 
-def subtrees(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """Trees of all decisions from depth two down, for contexts that are complete in the input.
 
     Yields every context of two classes and every deeper one seen ``least`` times or more: its
@@ -99,11 +145,12 @@ def subtrees(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int)
     weighted ln probability.
     """
     keys, zeros, ones = [], [], []
-    for level in range(CLASS_BITS):
-        bit = symbol >> (CLASS_BITS - 1 - level) & 1
-        keys.append(context * CLASSES + (1 << level) + (symbol >> (CLASS_BITS - level)))
-        zeros.append(np.where(bit, 0, n))
-        ones.append(np.where(bit, n, 0))
+    for level in range(code.node.shape[1]):
+        some = np.flatnonzero(code.length[symbol] > level)
+        bit = code.bit[symbol[some], level]
+        keys.append(context[some] * CLASSES + code.node[symbol[some], level])
+        zeros.append(np.where(bit, 0, n[some]))
+        ones.append(np.where(bit, n[some], 0))
     key, zeros, ones = np.concatenate(keys), np.concatenate(zeros).astype(float), np.concatenate(ones).astype(float)
     weighted, levels, above = None, {}, {}
     for depth in range(DEPTH, 1, -1):
@@ -140,7 +187,7 @@ def subtrees(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int)
 TREES = "depth int, code long, n long, nodes array<int>, p array<float>, zeros array<double>, ones array<double>, weighted array<double>"
 
 
-def context_trees(grams: DataFrame, least: int) -> DataFrame:
+def context_trees(classes: ClassCode, grams: DataFrame, least: int) -> DataFrame:
     """``grams``: (code, n). The rows of ``subtrees``, contexts with the same two last classes in one task."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,9 +205,9 @@ def context_trees(grams: DataFrame, least: int) -> DataFrame:
                 yield held_code, held_n
 
         for code, n in steps():
-            yield from subtrees(code // CLASSES, code % CLASSES, n, least)
+            yield from subtrees(classes, code // CLASSES, code % CLASSES, n, least)
 
-    low = F.pmod(F.shiftright("code", CLASS_BITS), F.lit(CLASSES**2))
+    low = F.pmod(F.shiftright("code", CLASSES.bit_length() - 1), F.lit(CLASSES**2))
     return grams.select("code", "n", low.alias("low")).repartition("low").sortWithinPartitions("low").select("code", "n").mapInArrow(grow, TREES)
 
 
@@ -184,22 +231,20 @@ def context_codes(classes: np.ndarray, where: np.ndarray) -> np.ndarray:
     return code
 
 
-def class_map(docs: DataFrame) -> np.ndarray:
-    """Class of every byte, by frequency in all of ``docs``; ties go to the smaller byte."""
+def class_code(docs: DataFrame) -> ClassCode:
+    """Classes and code by the frequency of every byte in all of ``docs``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for part in blocks(batches):
-            total += np.bincount(FOLD[flat(part.column("text"))[0]], minlength=256)
+            data, offsets = flat(part.column("text"))
+            total += np.bincount(FOLD[data], minlength=256)
+            total[END] += len(offsets) - 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
-    total = np.zeros(256, np.int64)
+    total = np.zeros(256)
     for row in docs.select("text").mapInArrow(count, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         total[row["byte"]] = row["n"]
-    class_of = np.full(256, SHARED, np.int32)
-    for k, byte in enumerate(np.lexsort((np.arange(256), -total))[: SHARED - 1]):
-        class_of[byte] = k + 1
-    class_of[END] = EDGE
-    return class_of
+    return ClassCode(total)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,14 +295,17 @@ def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
 
 
 class TreeModel:
-    """log10 probabilities per kept context (``logs``), in the shared class (``bytes``), and the
-    row of each context's extension by one class (``longer``, -1 for none)."""
+    """The kept contexts with their predictions, as they are broadcast; ``open`` makes the tables.
 
-    def __init__(self, class_of: np.ndarray, counts: DataFrame, contexts: int = CONTEXTS):
-        self.class_of = class_of
+    ``logs``: log10 probability of every class per context, ``bytes``: of every byte in the
+    shared class, ``longer``: the row of a context's extension by one class, -1 for none.
+    """
+
+    def __init__(self, code: ClassCode, counts: DataFrame, contexts: int = CONTEXTS):
+        self.code, self.class_of = code, code.class_of
         grams = counts.where(F.col("kind") == GRAMS)
         total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        trees = materialize(context_trees(grams, -(-total // (8 * contexts))), "trees")
+        trees = materialize(context_trees(code, grams, -(-total // (8 * contexts))), "trees")
         second = trees.where("depth = 2").toArrow().combine_chunks()
         at = second.column("code").to_numpy().repeat(pa.compute.list_value_length(second.column("nodes")).to_numpy())
         node = second.column("nodes").combine_chunks().flatten().to_numpy() - 1 if len(at) else np.zeros(0, np.int64)
@@ -273,30 +321,45 @@ class TreeModel:
         base = root.stop * root.estimate
         met = zeros + ones > 0
         near = np.where(met, base + (1 - root.stop) * first.estimate, root.estimate)
-        base, share = base + (1 - root.stop) * first.stop * first.estimate, (1 - root.stop) * (1 - first.stop)
-        kept = trees.select("depth", "code", "n", "nodes", "p").orderBy(F.desc("n"), "depth", "code").limit(contexts).toArrow().combine_chunks()
-        depth, code = kept.column("depth").to_numpy(), kept.column("code").to_numpy()
-        self.longer = np.full((1 + CLASSES + len(code), CLASSES), -1, np.int32)
-        self.longer[0] = 1 + np.arange(CLASSES)
-        p = np.concatenate((root.estimate[None], near, np.zeros((len(code), NODES)))).astype(np.float32)
-        lengths = pa.compute.list_value_length(kept.column("nodes")).to_numpy() if len(code) else np.zeros(0, np.int64)
-        starts = np.cumsum(lengths) - lengths
-        nodes = kept.column("nodes").combine_chunks().flatten().to_numpy() - 1 if len(code) else np.zeros(0, np.int64)
-        below = kept.column("p").combine_chunks().flatten().to_numpy() if len(code) else np.zeros(0)
+        self.root, self.near = root.estimate, near
+        self.base = base + (1 - root.stop) * first.stop * first.estimate
+        self.share = (1 - root.stop) * (1 - first.stop)
+        kept = trees.select("depth", "code", "nodes", "p").orderBy(F.desc("n"), "depth", "code").limit(contexts).toArrow().combine_chunks()
+        self.depth, self.codes = kept.column("depth").to_numpy(), kept.column("code").to_numpy()
+        some = len(self.codes) > 0
+        self.lengths = pa.compute.list_value_length(kept.column("nodes")).to_numpy() if some else np.zeros(0, np.int64)
+        self.nodes = (kept.column("nodes").combine_chunks().flatten().to_numpy() - 1 if some else np.zeros(0)).astype(np.uint8)
+        self.below = kept.column("p").combine_chunks().flatten().to_numpy() if some else np.zeros(0, np.float32)
+        self.bytes = self.byte_table(counts)
+        self.logs = None
+
+    def open(self) -> TreeModel:
+        """Make the tables, once per worker: a context starts as its ending and takes what it knows itself."""
+        if self.logs is not None:
+            return self
+        size = len(self.codes)
+        longer = np.full((1 + CLASSES + size, CLASSES), -1, np.int32)
+        longer[0] = 1 + np.arange(CLASSES)
+        p = np.concatenate((self.root[None], self.near, np.zeros((size, NODES)))).astype(np.float32)
+        starts = np.cumsum(self.lengths) - self.lengths
         known, rows = np.arange(CLASSES), 1 + np.arange(CLASSES)
         for d in range(2, DEPTH + 1):
-            here = np.flatnonzero(depth == d)
-            here = here[np.argsort(code[here])]
-            parent = rows[np.searchsorted(known, code[here] % CLASSES ** (d - 1))] if len(here) else here
-            row = 1 + CLASSES + here
-            self.longer[parent, code[here] // CLASSES ** (d - 1)] = row
+            here = np.flatnonzero(self.depth == d)
+            here = here[np.argsort(self.codes[here])]
+            if not len(here):
+                break
+            parent = rows[np.searchsorted(known, self.codes[here] % CLASSES ** (d - 1))]
+            row, lengths = 1 + CLASSES + here, self.lengths[here]
+            longer[parent, self.codes[here] // CLASSES ** (d - 1)] = row
             p[row] = p[parent]
-            entry = np.repeat(starts[here] - (np.cumsum(lengths[here]) - lengths[here]), lengths[here]) + np.arange(int(lengths[here].sum()))
-            last = np.repeat(code[here] % CLASSES, lengths[here])
-            p[np.repeat(row, lengths[here]), nodes[entry]] = base[last, nodes[entry]] + share[last, nodes[entry]] * below[entry]
-            known, rows = code[here], row
-        self.logs = np.concatenate([symbol_logs(p[low : low + 4096].astype(float), CLASS_BITS).astype(np.float32) for low in range(0, len(p), 4096)])
-        self.bytes = self.byte_table(counts)
+            entry = np.repeat(starts[here] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+            last, node = np.repeat(self.codes[here] % CLASSES, lengths), self.nodes[entry]
+            p[np.repeat(row, lengths), node] = self.base[last, node] + self.share[last, node] * self.below[entry]
+            known, rows = self.codes[here], row
+        self.longer, self.logs = longer, np.empty((len(p), CLASSES), np.float32)
+        for low in range(0, len(p), 4096):
+            self.logs[low : low + 4096] = self.code.logs(p[low : low + 4096].astype(float))
+        return self
 
     def rows(self, classes: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Row of the longest kept context before each place."""
@@ -341,14 +404,14 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON)
     training texts every decision is even. Repeated rows are scored alike; columns of
     ``docs`` with the name of a result are replaced.
     """
-    class_of = class_map(training)
-    counts = materialize(training_counts(training, class_of), "counts")
+    code = class_code(training)
+    counts = materialize(training_counts(training, code.class_of), "counts")
     words = counts.where(F.col("kind") == WORDS).select(F.col("code").alias("word"), "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = words.orderBy(F.desc("n"), "word").limit(common).toArrow()
     keys, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
-    held = docs.sparkSession.sparkContext.broadcast((TreeModel(class_of, counts), keys[order], n[order]))
+    held = docs.sparkSession.sparkContext.broadcast((TreeModel(code, counts), keys[order], n[order]))
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_row", "_rare", "text"]
     names = [c for c in docs.columns if c not in results]
     whole = distinct <= common
@@ -371,7 +434,7 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON)
             row += part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(k) for k in names], pa.array(rows), pa.array(np.diff(firsts)), pa.array(sums(hit.astype(np.int64), firsts)),
-                 pa.array(sums(log_c, firsts)), pa.array(model.scores(data, offsets)), pa.array(np.diff(offsets)), rare],
+                 pa.array(sums(log_c, firsts)), pa.array(model.open().scores(data, offsets)), pa.array(np.diff(offsets)), rare],
                 names=[*names, "_row", "n_tokens", "_known", "_log", "score", "_bytes", "_rare"],
             )
 
