@@ -35,7 +35,7 @@ def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple
     best = None
     for rows in range(1, 33):
         met = threshold**rows
-        bands = 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - met))
+        bands = 1 if met >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-met))
         if bands * rows <= most:
             best = bands, rows
     if best is None:

@@ -4,25 +4,33 @@ Documents of one group are linked with one another. Rounds of joins move documen
 where most of their neighbours are, as far as the quotas of bytes allow; what a shard gives away
 counts towards what it may take. At the end the shards are made even: the documents, in order of
 shard and group, are cut into runs of equal bytes, which parts one group at each border at most.
-A group larger than a shard spreads over several.
+A group larger than a shard fills the room that the others leave.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rainloom.session import materialize
 
-SHARDS, ROUNDS = 16, 5
+SHARDS, ROUNDS = 16, 8
+#: Bytes that a shard may hold during the rounds, as a multiple of its even share.
+SLACK = 1.05
 #: Share of a shard's bytes up to which a group moves as a whole or not at all.
 WHOLE = 1 / 8
 
 
 def accepted_shares(loads: list[float], flows: dict[tuple[int, int], float], capacity: float) -> list[float]:
-    """Share of the wish to enter each shard that its quota allows, what leaves it included."""
+    """Share of the wish to enter each shard that its quota allows, what leaves it included.
+
+    The largest shares that agree with one another: all wishes are granted at first, and cut
+    where a shard would overflow until nothing changes, so exchanges between full shards go through.
+    """
     n = len(loads)
-    into, share = [sum(v for (_, t), v in flows.items() if t == k) for k in range(n)], [0.0] * n
-    for _ in range(50):
+    into, share = [sum(v for (_, t), v in flows.items() if t == k) for k in range(n)], [1.0] * n
+    for _ in range(200):
         leaving = [sum(v * share[t] for (s, t), v in flows.items() if s == k) for k in range(n)]
         share = [min(1.0, max(0.0, (capacity - loads[k] + leaving[k]) / into[k])) if into[k] else 1.0 for k in range(n)]
     return share
@@ -33,19 +41,37 @@ def draw(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / float(1 << 30)
 
 
+def filled(giants: DataFrame, sizes: dict[int, float], rooms: list[float]) -> DataFrame:
+    """Deal the documents of groups larger than a shard over the free room, each group over neighbouring shards."""
+    bounds, whole = list(accumulate(rooms))[:-1], max(sum(rooms), 1e-9)
+    ends = list(accumulate(sizes.values()))
+    start, share = F.lit(0.0), F.lit(0.0)
+    for group, end in zip(sizes, ends):
+        here = F.col("group") == group
+        start, share = F.when(here, (end - sizes[group]) / ends[-1]).otherwise(start), F.when(here, sizes[group] / ends[-1]).otherwise(share)
+    place = (start + share * draw(F.col("row"))) * whole
+    return giants.withColumn("shard", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= place)).cast("int"))
+
+
 def propagated(items: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``items``: (row, group, size). Adds ``shard`` after the rounds; one join and one write each.
 
-    Only shard totals and flows between shards reach the driver.
+    Groups larger than a shard, fewer than there are shards, can't come together; they leave the
+    room to the others and fill what is left. Only these groups' ids, shard totals and flows
+    between shards reach the driver.
     """
-    state = materialize(items.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int")), "shards")
-    total = state.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    capacity = total / shards
+    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    large = items.groupBy("group").agg(F.sum("size").alias("size")).where(F.col("size") > total / shards).orderBy("group")
+    sizes = {r["group"]: float(r["size"]) for r in large.collect()}
+    giant = F.col("group").isin([*sizes]) if sizes else F.lit(False)
+    start = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int")
+    state = materialize(items.where(~giant).withColumn("shard", start), "shards")
+    capacity = total / shards * SLACK
     for turn in range(rounds):
         counts = state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
         best = counts.groupBy("group").agg(
-            F.sum("n").alias("members"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("top")
-        ).where(F.col("members") > F.col("top.n")).select("group", "bytes", (-F.col("top.low")).alias("target"))
+            F.sum("n").alias("members"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("top")
+        ).where(F.col("members") > F.col("top.n")).select("group", "bytes", F.col("top.shard").alias("target"))
         wishes = materialize(state.join(best, "group", "left"), "wishes")
         wants = F.coalesce(F.col("target") != F.col("shard"), F.lit(False))
         flows = {(r["shard"], r["target"]): float(r["size"]) for r in wishes.where(wants).groupBy("shard", "target").agg(F.sum("size").alias("size")).collect()}
@@ -56,7 +82,11 @@ def propagated(items: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         luck = F.when(F.col("bytes") <= capacity * WHOLE, draw(F.col("group"), F.lit(turn))).otherwise(draw(F.col("row"), F.lit(turn)))
         goes = wants & (luck < F.get(F.array(*[F.lit(x) for x in shares]), F.col("target")))
         state = wishes.select("row", "group", "size", F.when(goes, F.col("target")).otherwise(F.col("shard")).cast("int").alias("shard"))
-    return state
+    if not sizes:
+        return state
+    loads = {r["shard"]: float(r["size"]) for r in state.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    rooms = [max(0.0, total / shards - loads.get(k, 0.0)) for k in range(shards)]
+    return state.unionByName(filled(items.where(giant), sizes, rooms))
 
 
 def evened(placed: DataFrame, shards: int = SHARDS) -> DataFrame:
