@@ -15,12 +15,13 @@ from rainloom.functions.labels import alert_level
 from rainloom.functions.numeric import exact_mean, exact_sum, guarded_corr, share
 from rainloom.functions.timeparts import month_floor
 from rainloom.operators.features import feature_store
-from rainloom.operators.prefix import exact_quantiles
+from rainloom.operators.prefix import exact_quantiles, quantile_splits, quantiles_of_counts
 from rainloom.operators.profile import (
     agreement, best_per_group, class_balance, column_profile, correlations, event_rate, group_facts, histogram,
     mean_of_group_rates, null_report, rate_table, sum_if_enough, top, volume_ratio, weighted_mean,
 )
 from rainloom.operators.verification import forecast_report, summary_by_alert
+from rainloom.session import materialize
 from rainloom.sources.tables import read_table
 
 KEY = ["station_id"]
@@ -223,13 +224,23 @@ SELECT l_returnflag, ROUND(CAST(median(CAST(l_extendedprice AS DOUBLE)) AS DOUBL
        CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*) AS mean FROM lineitem GROUP BY 1""")
 def mean_and_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    medians = exact_quantiles(rows, ["l_returnflag"], "l_extendedprice", [0.5])
-    means = rows.groupBy("l_returnflag").agg(
-        exact_mean(F.col("l_extendedprice")).alias("mean")
-    )
+    counts = materialize(rows.groupBy("l_returnflag", "l_extendedprice").agg(F.count(F.lit(1)).alias("n")), "counts")
+    medians = quantiles_of_counts(counts, ["l_returnflag"], "l_extendedprice", [0.5], quantile_splits(counts, "l_extendedprice"))
+    total = F.sum(F.col("l_extendedprice").cast("decimal(18,2)") * F.col("n")).cast("double")
+    means = counts.groupBy("l_returnflag").agg((total / F.sum("n")).alias("mean"))
     return means.join(medians, "l_returnflag").select("l_returnflag", F.round("quantile", 4).alias("median"), "mean")
 
 
+@query("""
+SELECT g, p, ROUND(CASE p WHEN 0.1 THEN quantile_cont(x, 0.1) ELSE quantile_cont(x, 0.9) END, 6) AS quantile
+FROM (SELECT NULLIF(l_returnflag, 'N') AS g, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem),
+     (SELECT UNNEST([0.1, 0.9]::DOUBLE[]) AS p) GROUP BY g, p""")
+def quantiles_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of more distinct values than a slice holds, one group being null."""
+    rows = read_table(spark, sf_dir, "lineitem").select(F.nullif("l_returnflag", F.lit("N")).alias("g"), F.col("l_extendedprice").cast("double").alias("x"))
+    return exact_quantiles(rows, ["g"], "x", [0.1, 0.9]).withColumn("quantile", F.round("quantile", 6))
+
+
 @query("WITH" + SCORED_SQL + """
 SELECT lang, ROUND(AVG(CAST(quality = toxic AS INTEGER)), 6) AS agreement, COUNT(*) AS n FROM sl GROUP BY 1""")
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from rainloom.catalog.matching import _LEAD_SQL
 from rainloom.catalog.profiles import store
 from rainloom.catalog.registry import query
 from rainloom.constants import SWEEP_ENSEMBLE, SWEEP_EVALUATION, SWEEP_RETRAIN
+from rainloom.sources.tables import read_table
 from rainloom.operators.metrics import (
     apply_group_threshold, auc, balanced_weights, best_threshold, brier, classification_metrics, grid,
     median_threshold, pooled_too, regression_metrics, roc_points, rolled_up_metrics, threshold_sweep,
@@ -82,6 +83,16 @@ auc AS (SELECT {group}, ROUND(CAST(SUM(pos * (below + neg / 2.0)) AS DOUBLE) / N
         FROM ab GROUP BY ALL)"""
 
 
+@query("WITH src AS (SELECT NULLIF(l_linestatus, 'O') AS g, CAST(l_extendedprice AS DOUBLE) AS score, CAST(l_quantity > 25 AS INTEGER) AS y FROM lineitem),"
+       + _auc_sql("src", "g", "y") + " SELECT * FROM auc")
+def auc_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More distinct scores than a slice holds, one group being null."""
+    rows = read_table(spark, sf_dir, "lineitem").select(
+        F.nullif("l_linestatus", F.lit("O")).alias("g"), F.col("l_extendedprice").cast("double").alias("score"), (F.col("l_quantity") > 25).cast("int").alias("y")
+    )
+    return rounded(auc(rows, ["g"], "score", "y"), "auc_roc")
+
+
 @query("WITH" + SCORED_SQL + "," + _auc_sql("sl", "lang", "quality") + " SELECT * FROM auc")
 def auc_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact tie-aware AUC per group; null for one class."""

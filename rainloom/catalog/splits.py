@@ -131,11 +131,12 @@ def retrain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + REGION_DAYS_SQL + """,
-g AS (SELECT DISTINCT strftime(observation_time, '%Y-%m') AS period FROM rd),
-f AS (SELECT period, CAST((ROW_NUMBER() OVER (ORDER BY period) - 1) % 4 AS INTEGER) AS fold FROM g)
+g AS (SELECT strftime(observation_time, '%Y-%m') AS period, COUNT(*) AS n FROM rd GROUP BY 1),
+o AS (SELECT period, ROW_NUMBER() OVER (ORDER BY n DESC, period) - 1 AS no FROM g),
+f AS (SELECT period, CAST(CASE WHEN (no // 4) % 2 = 0 THEN no % 4 ELSE 3 - no % 4 END AS INTEGER) AS fold FROM o)
 SELECT period, fold, COUNT(*) AS n FROM rd JOIN f ON strftime(observation_time, '%Y-%m') = period GROUP BY 1, 2""")
 def group_fold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months to four folds."""
+    """Months to four folds of near-equal size."""
     days = region_days(spark, sf_dir).withColumn("period", F.date_format(T, "yyyy-MM"))
     return assign_folds(days, ["period"], 4).groupBy("period", "fold").agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from rainloom.functions.timeparts import hour_index
+from rainloom.operators.keys import join_on
 
 BLOCK = "_block"
 HOME = "_home"
@@ -81,4 +82,4 @@ def forward_fill(
     carried = ends.select(*keys, BLOCK, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
     so_far = Window.partitionBy(*keys, BLOCK).orderBy(time_col).rowsBetween(Window.unboundedPreceding, 0)
     filled = F.coalesce(F.last(value, ignorenulls=True).over(so_far), F.col("_carried"))
-    return blocked.join(carried, [*keys, BLOCK], "left").withColumn(value, filled).select(*df.columns)
+    return join_on(blocked, carried, [*keys, BLOCK], "left").withColumn(value, filled).select(*df.columns)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions.numeric import missing_to_null
 from rainloom.functions.timeparts import hour_floor, hour_from_index, hour_index
+from rainloom.operators.keys import join_on
 
 CHUNK_HOURS = 24 * 32
 
@@ -72,7 +73,7 @@ def dense_hourly(
 def densify(cells: DataFrame, keys: list[str], time_col: str) -> DataFrame:
     """Put an hourly table with unique (keys, hour) on a continuous grid; gaps become nulls."""
     frame = hours_between(span(cells, keys, time_col), keys, time_col)
-    return frame.join(cells, [*keys, time_col], "left")
+    return join_on(frame, cells, [*keys, time_col], "left")
 
 
 def normalise_missing(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rainloom.functions.numeric import ratio, ratio_or_zero
+from rainloom.operators.keys import join_on
 from rainloom.operators.prefix import exact_quantiles, running_totals
 from rainloom.operators.profile import best_per_group
 
@@ -149,7 +150,7 @@ def median_threshold(best: DataFrame) -> DataFrame:
 def apply_group_threshold(df: DataFrame, best: DataFrame, group: list[str], score: str, predicted: str) -> DataFrame:
     """Decide each row at the threshold of its group."""
     chosen = best.select(*group, F.col("threshold").alias("_t"))
-    joined = df.join(chosen, group) if group else df.withColumn("_t", chosen.select("_t").scalar())
+    joined = join_on(df, chosen, group) if group else df.withColumn("_t", chosen.select("_t").scalar())
     return joined.withColumn(predicted, (F.col(score) >= F.col("_t")).cast("int")).drop("_t")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from rainloom.operators.keys import join_on
+from rainloom.operators.prefix import positions
 
 T = "observation_time"
-LISTED_GROUPS = 10_000
 
 
 def _moment(value: str | Column) -> Column:
@@ -41,7 +43,7 @@ def trailing_per_group(df: DataFrame, keys: list[str], months: int, time_col: st
     The ends come from an aggregate joined back, so no group is held in one task.
     """
     ends = df.groupBy(*keys).agg(F.max(time_col).alias("_end"))
-    return df.join(ends, keys).where(F.col(time_col) > months_before(F.col("_end"), months)).drop("_end")
+    return join_on(df, ends, keys).where(F.col(time_col) > months_before(F.col("_end"), months)).drop("_end")
 
 
 def newer_than_sink(df: DataFrame, sink: DataFrame, time_col: str = T) -> DataFrame:
@@ -58,7 +60,7 @@ def complete_in_all(df: DataFrame, *column_sets: list[str]) -> DataFrame:
 def large_enough(df: DataFrame, keys: list[str], at_least: int) -> tuple[DataFrame, DataFrame]:
     """Rows of groups with enough rows, and the groups left out with their sizes."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    kept = df.join(sizes.where(F.col("rows") >= at_least).select(*keys), keys, "left_semi")
+    kept = join_on(df, sizes.where(F.col("rows") >= at_least).select(*keys), keys, "left_semi")
     return kept, sizes.where(F.col("rows") < at_least)
 
 
@@ -68,14 +70,16 @@ def new_rows_gate(df: DataFrame, trained_until: Column, as_of: Column, at_least:
     return df.agg(fresh.alias("novos")).select("novos", (F.col("novos") >= at_least).alias("retreinar"))
 
 
-def assign_folds(df: DataFrame, group: list[str], folds: int, most_listed: int = LISTED_GROUPS) -> DataFrame:
-    """Whole groups to folds in turn, by the order of the groups. Never more folds than groups.
+def assign_folds(df: DataFrame, group: list[str], folds: int) -> DataFrame:
+    """Whole groups to folds of near-equal size. Never more folds than groups; a null group is one.
 
-    Beyond ``most_listed`` groups a hash of the group decides, so that no task has to number them all.
+    Groups in descending order of their rows are dealt to the folds there and back, so each fold
+    gets one large and one small group of every two turns. The numbering works on ranges of the
+    groups, the same way for any number of them.
     """
-    groups = df.select(*group).distinct()
-    if groups.limit(most_listed + 1).count() > most_listed:
-        return df.withColumn("fold", F.pmod(F.xxhash64(*group), F.lit(folds)).cast("int"))
-    numbered = groups.withColumn("_no", F.row_number().over(Window.partitionBy().orderBy(*group)) - 1)
-    used = F.least(F.lit(folds), groups.agg(F.count(F.lit(1))).scalar())
-    return df.join(numbered.select(*group, (F.col("_no") % used).cast("int").alias("fold")), group)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = positions(sizes, [F.desc("_rows"), *[F.asc_nulls_first(g) for g in group]], "_no")
+    used = F.least(F.lit(folds), numbered.agg(F.count(F.lit(1))).scalar())
+    turn, place = F.floor(F.col("_no") / used), F.col("_no") % used
+    fold = F.when(turn % 2 == 0, place).otherwise(used - 1 - place).cast("int")
+    return join_on(df, numbered.select(*group, fold.alias("fold")), group)

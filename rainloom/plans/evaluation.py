@@ -19,8 +19,6 @@ from rainloom.operators.profile import best_per_group, weighted_mean
 from rainloom.operators.splits import assign_folds, large_enough, split_at
 from rainloom.session import materialize
 
-MAX_FITS = 64
-
 Fit = Callable[[DataFrame, list[str], str], Fitted]
 
 
@@ -28,17 +26,11 @@ def stack(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def groups_of(df: DataFrame, column: str, most: int = MAX_FITS) -> list:
-    """The values of a grouping column. One model is fitted per value, so the number is limited."""
-    values = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"more than {most} groups in {column}; assign them to folds first")
-    return sorted(values)
-
-
-def station_folds(df: DataFrame, station: str, folds: int) -> DataFrame:
-    """Stations joined into folds where there are too many to leave out one by one."""
-    return assign_folds(df, [station], folds)
+def groups_of(df: DataFrame, column: str) -> list:
+    """The values of a grouping column, null last. One model is fitted per value; where there are
+    many stations, pass the column that ``assign_folds`` adds instead."""
+    values = [r[0] for r in df.select(column).distinct().collect()]
+    return sorted(v for v in values if v is not None) + [None] * (None in values)
 
 
 def decided(model: Fitted, rows: DataFrame, approach: str) -> DataFrame:
@@ -62,8 +54,8 @@ def leave_one_out(
     tested, _ = large_enough(split.where("split = 'test'"), [station], at_least)
     parts = []
     for held_out in groups_of(tested, station):
-        others = split.where(F.col(station) != F.lit(held_out))
-        target = tested.where(F.col(station) == F.lit(held_out))
+        others = split.where(~F.col(station).eqNullSafe(F.lit(held_out)))
+        target = tested.where(F.col(station).eqNullSafe(F.lit(held_out)))
         for name, features in variants.items():
             model = fit(others.where("split = 'train'"), features, label)
             model = calibrated(model, others.where("split = 'calibrate'"), label, thresholds)
@@ -198,12 +190,12 @@ def approaches_station_out(
     score = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     parts = []
     for held_out in groups_of(tested, station):
-        train = materialize(rows.where((F.col(station) != F.lit(held_out)) & (F.col(time_col) < cut)), "train")
+        train = materialize(rows.where((~F.col(station).eqNullSafe(F.lit(held_out))) & (F.col(time_col) < cut)), "train")
         single = best_per_group(single_model_f1(train, [], label), [], "f1", [F.col("rank_no")]).first()["modelo"]
         needed = best_vote_count(train, [], label).first()["threshold"]
         oof = materialize(out_of_fold(train, [station], folds, features, label, fit), "oof")
         threshold = best_threshold(threshold_sweep(oof, [], "score", label, thresholds), []).first()["threshold"]
-        test = predict(fit(train, features, label), tested.where(F.col(station) == F.lit(held_out)), "_prob")
+        test = predict(fit(train, features, label), tested.where(F.col(station).eqNullSafe(F.lit(held_out))), "_prob")
         parts.append(long_decisions(test, [station, label], {
             "api": (score("p_best_match") > 0, score("p_best_match")),
             "melhor_1": (score(f"p_{single}") > 0, score(f"p_{single}")),

@@ -91,8 +91,8 @@ def train_ensemble(
     out-of-fold scores of the training rows, whole stations per fold."""
     parts = []
     for held_out in groups_of(rows, station):
-        train = rows.where((F.col(station) != F.lit(held_out)) & (F.col(T) < cut))
-        test = rows.where((F.col(station) == F.lit(held_out)) & (F.col(T) >= cut))
+        train = rows.where((~F.col(station).eqNullSafe(F.lit(held_out))) & (F.col(T) < cut))
+        test = rows.where((F.col(station).eqNullSafe(F.lit(held_out))) & (F.col(T) >= cut))
         if test.limit(at_least).count() < at_least:
             continue
         oof = out_of_fold(train, [station], folds, features, label, fit)

@@ -110,8 +110,21 @@ def test_splits_and_folds(spark):
     folds = assign_folds(df, ["station_id"], 5)
     assert folds.select("station_id", "fold").distinct().count() == 2
     assert {r["fold"] for r in folds.select("fold").distinct().collect()} == {0, 1}
-    hashed = assign_folds(df, ["station_id"], 5, most_listed=1)
-    assert hashed.count() == df.count() and hashed.select("station_id", "fold").distinct().count() == 2
+
+
+def test_folds_are_even_and_keep_null_groups(spark):
+    rows = [(None if k == 0 else f"s{k}", i) for k in range(200) for i in range(1 + k % 17)]
+    folds = assign_folds(spark.createDataFrame(rows, "s string, i int"), ["s"], 4)
+    sizes = [r["n"] for r in folds.groupBy("fold").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and len(sizes) == 4 and max(sizes) - min(sizes) <= 17
+    assert folds.groupBy("s").agg(F.countDistinct("fold").alias("k")).where("k > 1").count() == 0
+
+
+def test_null_stations_are_kept(spark):
+    rows = [(None, datetime(2023, m, 1), m) for m in range(1, 5)] + [("a", datetime(2023, m, 1), m) for m in range(1, 5)]
+    df = spark.createDataFrame(rows, f"station_id string, {T} timestamp_ntz, n int")
+    assert trailing_per_group(df, ["station_id"], 2).where("station_id is null").count() == 2
+    assert large_enough(df, ["station_id"], 3)[0].count() == 8
 
 
 @pytest.fixture(scope="module")
