@@ -119,3 +119,24 @@ def test_update_feature_table_in_steps(spark, tmp_path):
     got = spark.read.parquet(path)
     assert as_set(got) == as_set(feature_store(densify(table, KEY, T), KEY))
     assert got.count() == got.select("station_id", T).distinct().count()
+
+
+def test_update_of_an_empty_table_and_repeated_hours(spark, tmp_path):
+    table, path = hourly(spark, 80, ("a", "b")), str(tmp_path / "store")
+    twice = table.unionByName(table)
+    feature_store(densify(table, KEY, T), KEY).limit(0).write.parquet(path)
+    update_feature_table(spark, twice.where(F.col(T) <= at("2023-12-26 10:00:00")), path, KEY)
+    closed = twice.where((F.col("station_id") == "b") | (F.col(T) <= at("2023-12-26 10:00:00")))
+    for _ in range(2):
+        update_feature_table(spark, closed, path, KEY)
+    update_feature_table(spark, twice, path, KEY)
+    got = spark.read.parquet(path)
+    assert got.count() == got.select("station_id", T).distinct().count()
+    assert as_set(got) == as_set(feature_store(densify(table, KEY, T), KEY))
+
+
+def test_update_without_station_keys(spark, tmp_path):
+    table, path = hourly(spark, 80, ("a",)).drop("station_id"), str(tmp_path / "store")
+    for cut in ("2023-12-26 10:00:00", "2023-12-27 10:00:00", "2024-02-01 00:00:00"):
+        update_feature_table(spark, table.where(F.col(T) <= at(cut)), path, [])
+    assert as_set(spark.read.parquet(path)) == as_set(feature_store(densify(table, [], T), []))
