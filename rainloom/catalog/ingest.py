@@ -68,11 +68,10 @@ def columnar_json_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, lang, source FROM documents WHERE source LIKE '%src1%' AND lang IN ('en', 'de') AND n_chars >= 100")
+@query("SELECT doc_id, lang, source FROM documents WHERE source LIKE '%src1%'")
 def provenance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    chosen = docs.where(F.col("lang").isin("en", "de") & (F.col("n_chars") >= 100))
-    return from_source(chosen, "%src1%", "source").drop("n_chars")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return from_source(docs, "%src1%", "source")
 
 
 @query("WITH" + GRID_SQL + """

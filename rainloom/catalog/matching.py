@@ -41,14 +41,14 @@ def join_on_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + CELLS_SQL + """,
-obs AS (SELECT o_orderdate AS d, COUNT(*) AS n_orders FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+obs AS (SELECT o_orderdate AS d, COUNT(*) AS n_orders FROM orders GROUP BY 1)
 SELECT station_id, observation_time, n_orders FROM (
   SELECT event_type AS station_id, date_trunc('hour', ts) AS observation_time, CAST(date_trunc('day', ts) AS TIMESTAMP) - INTERVAL 8766 HOUR * 4 AS d
   FROM events GROUP BY ALL) LEFT JOIN obs USING (d)""")
 def join_left_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours with a daily value attached where there is one (four years earlier)."""
     daily = (
-        read_table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+        read_table(spark, sf_dir, "orders")
         .groupBy(F.col("o_orderdate").alias("d")).agg(COUNT().alias("n_orders"))
     )
     hours = observations(spark, sf_dir, narrow=True).select("station_id", T).withColumn(
@@ -58,13 +58,13 @@ def join_left_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + CELLS_SQL + """,
-u AS (SELECT event_type AS station_id, date_trunc('hour', ts) AS observation_time, COUNT(DISTINCT user_id) AS users FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2)
+u AS (SELECT event_type AS station_id, date_trunc('hour', ts) AS observation_time, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1, 2)
 SELECT station_id, observation_time, temperature_2m, users FROM cells JOIN u USING (station_id, observation_time)""")
 def join_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rainloom.functions.timeparts import hour_floor
 
     users = (
-        read_table(spark, sf_dir, "events").where("user_id % 2 = 0")
+        read_table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("station_id"), hour_floor(F.col("ts")).alias(T))
         .agg(F.count_distinct("user_id").alias("users"))
     )
@@ -73,15 +73,15 @@ def join_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH" + GRID_SQL + """,
-lab AS (SELECT event_type AS station_id, date_trunc('hour', ts) AS observation_time, COUNT(*) AS big FROM events WHERE value > 150 GROUP BY 1, 2)
+lab AS (SELECT event_type AS station_id, date_trunc('hour', ts) AS observation_time, COUNT(*) FILTER (WHERE value > 150) AS big FROM events GROUP BY 1, 2)
 SELECT station_id, observation_time, big FROM frame LEFT JOIN lab USING (station_id, observation_time)""")
 def label_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station labels on the feature grid, null where there is none."""
     from rainloom.functions.timeparts import hour_floor
 
     labels = (
-        read_table(spark, sf_dir, "events").where("value > 150")
-        .groupBy(F.col("event_type").alias("station_id"), hour_floor(F.col("ts")).alias(T)).agg(COUNT().alias("big"))
+        read_table(spark, sf_dir, "events")
+        .groupBy(F.col("event_type").alias("station_id"), hour_floor(F.col("ts")).alias(T)).agg(F.count_if(F.col("value") > 150).alias("big"))
     )
     return attach(dense_observations(spark, sf_dir, narrow=True).select("station_id", T), labels, ["station_id", T])
 
@@ -335,24 +335,25 @@ def wet_hour_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'observed' AS origin, event_id, value, NULL AS weekday FROM events WHERE event_type = 'view'
-UNION ALL SELECT 'forecast', event_id, NULL, CAST(dayofweek(ts) + 1 AS INTEGER) FROM events WHERE event_type = 'click'""")
+SELECT 'observed' AS origin, event_id, value, NULL AS weekday FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'
+UNION ALL SELECT 'forecast', event_id, NULL, CAST(dayofweek(ts) + 1 AS INTEGER) FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'""")
 def union_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History and forecast with different columns stacked by name."""
     rows = read_table(spark, sf_dir, "events")
-    observed = rows.where("event_type = 'view'").select(F.lit("observed").alias("origin"), "event_id", "value")
-    forecast = rows.where("event_type = 'click'").select(F.lit("forecast").alias("origin"), "event_id", F.dayofweek("ts").alias("weekday"))
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    observed = rows.where(F.col("ts") < cut).select(F.lit("observed").alias("origin"), "event_id", "value")
+    forecast = rows.where(F.col("ts") >= cut).select(F.lit("forecast").alias("origin"), "event_id", F.dayofweek("ts").alias("weekday"))
     return observed.unionByName(forecast, allowMissingColumns=True)
 
 
 @query("""
-SELECT event_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00' AND user_id % 2 = 0
+SELECT event_id, event_type, value FROM events WHERE ts < TIMESTAMP '2024-01-10 00:00:00'
 UNION ALL SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'""")
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context and new rows with the same columns in another order."""
     rows = read_table(spark, sf_dir, "events")
     cut = F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")
-    context = rows.where((F.col("ts") < cut) & (F.col("user_id") % 2 == 0)).select("event_id", "event_type", "value")
+    context = rows.where(F.col("ts") < cut).select("event_id", "event_type", "value")
     return context.unionByName(rows.where(F.col("ts") >= cut).select("value", "event_id", "event_type"))
 
 

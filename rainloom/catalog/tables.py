@@ -35,20 +35,20 @@ def merge_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, event_type AS station_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND user_id % 2 = 1""")
+SELECT event_id, event_type AS station_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND value > 50""")
 def anti_join_new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("station_id"), "ts", "user_id")
-    history = rows.where((F.col("ts") < _moment("2024-01-20 00:00:00")) | (F.col("user_id") % 2 == 0))
+    rows = read_table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("station_id"), "ts", "value")
+    history = rows.where((F.col("ts") < _moment("2024-01-20 00:00:00")) | ~(F.col("value") > 50))
     return sink.not_yet_present(rows, history, ["event_id", "ts"], pruned_by="ts").select("event_id", "station_id")
 
 
 @query("""
 SELECT s_suppkey, s_name, CASE WHEN n IS NULL THEN s_acctbal WHEN n > 620 THEN NULL ELSE CAST(n AS DOUBLE) END AS s_acctbal
-FROM supplier LEFT JOIN (SELECT l_suppkey, COUNT(*) AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1) ON s_suppkey = l_suppkey""")
+FROM supplier LEFT JOIN (SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey""")
 def merge_update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching rows take the new value, also where that is null; the rest stays."""
     target = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    counts = read_table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+    counts = read_table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
     updates = counts.select("s_suppkey", F.when(F.col("n") <= 620, F.col("n").cast("double")).alias("s_acctbal"))
     return sink.updated_where_matched(target, updates, ["s_suppkey"], ["s_acctbal"])
 

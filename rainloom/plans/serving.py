@@ -63,7 +63,7 @@ def score_hours(frame: DataFrame, champion: Fitted, as_of: Column, second: Fitte
         F.round(p2, 4).alias("prob_chuva_medida"),
         (p2 >= (second.threshold if second else 0.0)).cast("double").alias("pred_chuva_medida"),
         F.lit(second.threshold if second else None).cast("double").alias("threshold_regional"),
-        F.lit(second.label if second else "").alias("modelo_regional"),
+        F.lit(second.label if second else "").alias("modelo_regional"), F.current_timestamp().alias("inferencia_at"),
     )
 
 
@@ -74,8 +74,9 @@ def score_ensemble(features: DataFrame, model: Fitted, as_of: Column, length_hou
     scored = predict(model, coming, "_p")
     from rainloom.functions.timeparts import lead_hours
 
+    keys = [c for c in ("station_id",) if c in scored.columns]
     return scored.select(
-        F.col(T).alias("target_time"), lead_hours(F.col(T), start).alias("antecedencia_h"),
+        *keys, F.col(T).alias("target_time"), lead_hours(F.col(T), start).alias("antecedencia_h"),
         F.round("_p", 4).alias("prob_chuva_medida"), (F.col("_p") >= model.threshold).cast("int").alias("pred_chuva_medida"),
         F.lit(model.threshold).alias("threshold"), vote_count().cast("double").alias("modelos_com_chuva"),
         stable_round(F.col("ens_media"), 2).alias("chuva_media_modelos_mm"),
@@ -85,8 +86,9 @@ def score_ensemble(features: DataFrame, model: Fitted, as_of: Column, length_hou
 
 
 def publish(predictions: DataFrame, latest_path: str, history_path: str, keys: list[str] | None = None) -> None:
-    """Replace the latest predictions and add new ones to the history, once each."""
+    """Replace the latest predictions and add new ones to the history, once each (per station, where there is one)."""
     sink.overwrite(predictions, latest_path)
     stored = predictions.sparkSession.read.parquet(latest_path)
     sink.create_if_absent(stored, history_path)
-    sink.merge_insert_only(stored, history_path, keys or HISTORY_KEYS, pruned_by="target_time")
+    station = [c for c in ("station_id",) if c in stored.columns]
+    sink.merge_insert_only(stored, history_path, keys or [*station, *HISTORY_KEYS], pruned_by="target_time")
