@@ -157,7 +157,7 @@ def replayed(p: np.ndarray, slopes: np.ndarray) -> np.ndarray:
 
 
 def domain_totals(weighed: DataFrame, slopes: np.ndarray) -> np.ndarray:
-    """Expected tokens per domain under the rates of these steps, then the curvature's entries.
+    """Expected tokens per domain under the rates of these steps, then the entries of the curvature.
 
     Partitions add up their rows; only K + K * K numbers of each reach the driver.
     """
@@ -168,7 +168,7 @@ def domain_totals(weighed: DataFrame, slopes: np.ndarray) -> np.ndarray:
             p = part.column("posterior").flatten().to_numpy().reshape(len(tokens), -1)
             rate = replayed(p, slopes)
             total_of = (p * (rate * tokens)[:, None]).sum(axis=0)
-            own = np.concatenate((total_of, (p.T @ (p * (tokens * ((rate > 0) & (rate < MOST_RATE)))[:, None])).ravel()))
+            own = np.concatenate((total_of, (p.T @ (p * tokens[:, None])).ravel()))
             total = own if total is None else total + own
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "value"])
@@ -180,12 +180,13 @@ def domain_totals(weighed: DataFrame, slopes: np.ndarray) -> np.ndarray:
 def solve(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
     """Slopes of all steps and the totals reached, within ``tolerance`` of all tokens or after ``steps``.
 
-    Least squares on the totals. Rates are scaled by the documents' lengths, so a long text
-    isn't changed more than a short one. Damping keeps the rates finite where a domain has no
-    text to reach its target with; the error is then as small as the text allows.
+    Least squares on the totals, in the metric of the inverse curvature (the sum of tokens times
+    products of posteriors). With rates scaled by the documents' lengths that function's largest
+    curvature is 1, so a full gradient step, cut to the allowed rates, always descends. Damping
+    keeps the metric finite where a domain has no text to reach its target with.
     """
     k = len(targets)
-    slopes, reached = np.zeros((0, k)), np.zeros(k)
+    slopes, reached, metric = np.zeros((0, k)), np.zeros(k), None
     for step in range(steps + 1):
         both = domain_totals(weighed, slopes)
         if not len(both):
@@ -193,8 +194,9 @@ def solve(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance
         reached, curve = both[:k], both[k:].reshape(k, k)
         if step == steps or np.abs(reached - targets).max() <= tolerance * targets.sum():
             break
-        damped = curve + DAMPING * max(np.trace(curve) / k, 1e-9) * np.eye(k)
-        slopes = np.vstack([slopes, np.linalg.solve(damped, reached - targets)])
+        if metric is None:
+            metric = np.linalg.inv(curve + DAMPING * max(np.trace(curve) / k, 1e-9) * np.eye(k))
+        slopes = np.vstack([slopes, metric @ (reached - targets)])
     return slopes, reached
 
 

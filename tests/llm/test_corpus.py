@@ -247,7 +247,7 @@ def test_steps_equal_a_direct_solution(spark):
     p = rng.dirichlet([1, 1, 1], 300)
     tokens = rng.integers(1, 500, 300)
     rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p)], "n_tokens long, posterior array<double>")
-    targets = np.array([0.7, 0.25, 0.05]) * tokens.sum()
+    targets = np.array([0.6, 0.25, 0.15]) * tokens.sum()
     slopes, reached = soft_mix.solve(rows, targets)
     rate = soft_mix.replayed(p, slopes)
     assert np.allclose((p * (rate * tokens)[:, None]).sum(axis=0), targets, rtol=1e-3) and np.allclose(reached, targets, rtol=1e-3)
