@@ -15,7 +15,7 @@ PIECES, BYTE_PAIRS = "piece_bpe_32k.model", "byte_bpe_50k.json"
 @query()
 def op2_grammar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return grammar_store.stored_ids(docs, public_tokenizers.path(BYTE_PAIRS)).drop("ids")
+    return grammar_store.stored_ids(docs, public_tokenizers.path(BYTE_PAIRS), with_ids=False)
 
 
 @query()

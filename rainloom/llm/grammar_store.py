@@ -32,7 +32,7 @@ END = 0
 SHARD_IDS = 1 << 20
 #: Rounds, rules per round, and occurrences that make a rule worth its place.
 ROUNDS, RULES, FREQUENT = 6, 4096, 8
-HASH_BITS = 21
+HASH_BITS = 19
 MOST_WORDS, MOST_CHARS = 1_200_000, 24_000_000
 #: Spaces that could belong to a longer run: such texts are cut with care.
 RUN = re.compile(r"\s (\s|$)")
@@ -159,37 +159,33 @@ def reduce_ids(ids: np.ndarray, offsets: np.ndarray, first: int) -> tuple[np.nda
     document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     rules, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
     number = first
+    # pairs are counted per bucket of a hash; where two meet, one stands for the bucket and the other waits
+    named, rule_of = np.zeros(1 << HASH_BITS, np.int64), np.full(1 << HASH_BITS, -1, np.int32)
     for _ in range(ROUNDS):
         if len(symbols) < 2:
             break
-        key = symbols[:-1] << 32 | symbols[1:]
-        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-        inside = ~last[:-1]
-        full = np.bincount(bucket[inside], minlength=1 << HASH_BITS) >= FREQUENT
-        likely = np.flatnonzero(full[bucket] & inside)
-        ordered = np.sort(key[likely])
-        if not len(ordered):
-            break
-        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.concatenate((heads, [len(ordered)])))
+        key, inside = symbols[:-1] << 32 | symbols[1:], ~last[:-1]
+        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+        named[bucket[inside]] = key[inside]
+        same = (named[bucket] == key) & inside
+        count = np.bincount(bucket[same], minlength=1 << HASH_BITS)
         often = np.flatnonzero(count >= FREQUENT)
         if not len(often):
             break
         if len(often) > RULES:
-            often = often[np.argsort(-count[often], kind="stable")[:RULES]]
-        chosen = np.sort(ordered[heads[often]])
-        of = np.zeros(1 << HASH_BITS, bool)
-        of[(chosen.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)] = True
-        place = likely[of[bucket[likely]]]
-        at = np.minimum(np.searchsorted(chosen, key[place]), len(chosen) - 1)
-        hit = chosen[at] == key[place]
-        place, at = place[hit], at[hit]
+            often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES]])
+        rule_of[:] = -1
+        rule_of[often] = np.arange(len(often))
+        at = rule_of[bucket]
+        place = np.flatnonzero(same & (at >= 0))
+        at = at[place]
         run = np.concatenate(([True], place[1:] != place[:-1] + 1))
         first_of = (np.arange(len(place)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
         place, at = place[first_of], at[first_of]
-        used = np.flatnonzero(np.bincount(at, minlength=len(chosen)))
-        rule = np.searchsorted(used, at)
-        pairs = np.column_stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF))
+        used = np.bincount(at, minlength=len(often)) > 0
+        rule = (np.cumsum(used) - 1)[at]
+        chosen = named[often[used]]
+        pairs = np.column_stack((chosen >> 32, chosen & 0xFFFFFFFF))
         size = lambda s: np.where(s < first, 1, lengths[np.maximum(s - first, 0)]) if len(lengths) else np.ones(len(s), np.int64)
         lengths = np.concatenate((lengths, size(pairs[:, 0]) + size(pairs[:, 1])))
         rules.append(pairs)
@@ -272,8 +268,8 @@ def write_ids(docs: DataFrame, path: str, folder: str) -> None:
     ranged.sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.parquet(folder)
 
 
-def read_ids(spark, folder: str) -> DataFrame:
-    """One row per document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``, ``ids``.
+def read_ids(spark, folder: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` and, if wanted, ``ids``.
 
     ``start`` counts the ids of all documents before it, over all shards.
     """
@@ -293,21 +289,22 @@ def read_ids(spark, folder: str) -> DataFrame:
                     some = offsets[low : low + 1025]
                     n = len(some) - 1
                     crc = [zlib.crc32(ids[a:b].data) for a, b in zip(some[:-1], some[1:])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard["part"]] * n, pa.int32()), pa.array([shard["shard"]] * n, pa.int64()), batch.column("doc_ids")[i].values.slice(low, n),
-                         pa.array(some[:-1]), pa.array(np.diff(some)), pa.array(crc, pa.int64()),
-                         pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(ids[some[0] : some[-1]].astype(np.int32)))],
-                        names=["part", "shard", "doc_id", "place", "n_tokens", "ids_crc32", "ids"],
-                    )
+                    out = {
+                        "part": pa.array([shard["part"]] * n, pa.int32()), "shard": pa.array([shard["shard"]] * n, pa.int64()), "doc_id": batch.column("doc_ids")[i].values.slice(low, n),
+                        "place": pa.array(some[:-1]), "n_tokens": pa.array(np.diff(some)), "ids_crc32": pa.array(crc, pa.int64()),
+                    }
+                    if with_ids:
+                        out["ids"] = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(ids[some[0] : some[-1]].astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(out)
 
     documents = shards.select("part", "shard", "first_rule", "rules", "symbols", "doc_starts", "doc_ids").mapInArrow(
-        read, "part int, shard long, doc_id long, place long, n_tokens long, ids_crc32 long, ids array<int>"
+        read, "part int, shard long, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     )
-    return documents.join(firsts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return documents.join(firsts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
-def stored_ids(docs: DataFrame, path: str) -> DataFrame:
+def stored_ids(docs: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
     """Write ``docs`` to a new folder of the shared store and read it back."""
     folder = scratch_path(docs.sparkSession, "grammar-ids")
     write_ids(docs, path, folder)
-    return read_ids(docs.sparkSession, folder)
+    return read_ids(docs.sparkSession, folder, with_ids)
