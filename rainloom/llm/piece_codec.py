@@ -28,7 +28,7 @@ NO_PAIR = np.int32(np.iinfo(np.int32).max)
 #: Words of more symbols are merged with a heap, as rounds over one long run could be many.
 LONG = 4096
 #: The table of known words starts anew beyond so many words or characters.
-MOST_WORDS, MOST_CHARS = 400_000, 8_000_000
+MOST_WORDS, MOST_CHARS = 250_000, 5_000_000
 WORD = re.compile(r" *[^ ]+| +")
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))

@@ -7,14 +7,13 @@ its own. A null text counts as an empty one. Words are ``[^\\x20\\x09-\\x0D]+``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def crc_fold(key: str, folds: int) -> Column:
@@ -80,15 +79,16 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 FOLD = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
-@lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    steps = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, base, np.uint64))), dtype=np.uint64)
-    return steps(BASE), steps(pow(BASE, -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64, at least ``size`` of each."""
-    return _powers(1 << max(22, int(size).bit_length()))
+    """Powers of an odd base and of its inverse modulo 2^64, at least ``size`` of each; the longest are held."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        n = 1 << int(size).bit_length()
+        steps = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))), dtype=np.uint64)
+        _POWERS[:] = steps(BASE), steps(pow(BASE, -1, 1 << 64))
+    return _POWERS[0], _POWERS[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
