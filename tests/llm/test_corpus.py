@@ -6,11 +6,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rainloom.llm import banded_join, components, corpus_queries, grammar_store, label_shards, piece_codec, soft_mix
-from tests.llm.helpers import ROWS, SF, documents, grams, odd_documents
+from tests.llm.helpers import ROWS, documents, grams, odd_documents
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 PAIRS = public_tokenizers.path("byte_bpe_50k.json")
