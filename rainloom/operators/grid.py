@@ -33,11 +33,6 @@ def hours_between(bounds: DataFrame, keys: list[str], time_col: str) -> DataFram
     return hour_no.select(*keys, hour_from_index(F.col("_index")).alias(time_col))
 
 
-def days_between(bounds: DataFrame, keys: list[str], day_col: str) -> DataFrame:
-    days = F.sequence(F.to_date("_first"), F.to_date("_last"), F.expr("INTERVAL 1 DAY"))
-    return bounds.select(*keys, F.explode(days).alias(day_col))
-
-
 def months_between(bounds: DataFrame, keys: list[str], month_col: str) -> DataFrame:
     months = F.sequence(F.trunc(F.to_date("_first"), "MM"), F.trunc(F.to_date("_last"), "MM"), F.expr("INTERVAL 1 MONTH"))
     return bounds.select(*keys, F.explode(months).alias(month_col))

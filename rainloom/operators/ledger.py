@@ -43,16 +43,6 @@ def promote(
     return keeps_up if f1_baseline is None else keeps_up & (f1_new > f1_baseline)
 
 
-def promotion_reason(f1_new: Column, f1_champion: Column, f1_baseline: Column | None = None) -> Column:
-    shown = lambda c: F.format_string("%.4f", c)
-    versus = F.when(f1_champion.isNull(), F.lit("primeira versão")).otherwise(
-        F.concat(F.lit("F1 "), shown(f1_new), F.lit(" vs champion "), shown(f1_champion))
-    )
-    if f1_baseline is None:
-        return versus
-    return F.when(f1_new > f1_baseline, versus).otherwise(F.concat(F.lit("não bate a API: "), versus))
-
-
 def should_promote(f1_new: float, f1_champion: float | None, f1_baseline: float | None = None, tolerance: float = PROMOTION_TOLERANCE) -> bool:
     """The same rule on the numbers of one training run."""
     beats = f1_baseline is None or f1_new > f1_baseline

@@ -29,10 +29,6 @@ def rate_table(df: DataFrame, row: str, column: str, values: list, label: str, p
     return wide.withColumnsRenamed({str(v): f"{prefix}{v}" for v in values})
 
 
-def to_long(wide: DataFrame, keep: list[str], columns: list[str], name: str, value: str) -> DataFrame:
-    return wide.unpivot(keep, columns, name, value)
-
-
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls, mean, sample deviation, minimum and maximum per column, from one pass."""
     def stats(c: str) -> Column:

@@ -30,12 +30,12 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
     A machine-local folder is chosen only where the setting is absent and the
-    master is local; on a cluster a missing setting is an error.
+    master is known to be local; anywhere else a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not (spark.conf.get("spark.master", None) or "unknown").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return _local_root()
 

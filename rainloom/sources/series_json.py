@@ -51,13 +51,13 @@ def read_series(
 ) -> DataFrame:
     """All series files under ``path`` as rows; ``station`` prunes by file name prefix.
 
-    The station comes from the file name, the origin is kept in ``_source_file``.
+    The station is the file name up to its last ``_``, the origin is kept in ``_source_file``.
     """
     reader = (spark.readStream if stream else spark.read).schema(document_schema(variables, envelope))
     reader = reader.option("multiLine", True).option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", f"{station}_*.json" if station else "*.json")
     files = reader.json(path).withColumns({
-        "station_id": F.split_part(F.col("_metadata.file_name"), F.lit("_"), F.lit(1)),
+        "station_id": F.regexp_extract(F.col("_metadata.file_name"), r"^(.+)_[^_]*$", 1),
         "_source_file": F.col("_metadata.file_path"),
     })
     payload = F.struct(*[F.col(f"{envelope}.{c}" if envelope else c).alias(c) for c in ["time", *variables]])
