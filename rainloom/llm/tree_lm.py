@@ -40,10 +40,12 @@ END = 255
 COMMON = 1 << 20
 END_WORD = np.uint64(1)
 WORDS, GRAMS, BYTES = 0, 1, 2
-#: Partial counts are added up in a task beyond so many.
-HELD = 4_000_000
+#: A task adds its partial counts up beyond so many, and hands them on beyond so many different ones.
+HELD, DIFFERENT = 1_500_000, 500_000
+#: Bytes of text worked on at once.
+TEXT = 1 << 20
 #: Grams whose trees are worked out at once, beyond which a group of contexts ends a step.
-STEP = 300_000
+STEP = 200_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -272,7 +274,14 @@ def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
                 n = np.bincount(at, np.concatenate([n for _, n in held[kind]]), len(keys)).astype(np.int64)
                 held[kind] = [(keys, n)]
 
-        for part in blocks(batches):
+        def handed_on(kind: int) -> Iterator[pa.RecordBatch]:
+            for keys, n in held[kind]:
+                for low in range(0, len(keys), 1 << 16):
+                    some = slice(low, low + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[some]), kind, np.int32)), pa.array(keys[some]), pa.array(n[some])], names=["kind", "code", "n"])
+            held[kind] = []
+
+        for part in blocks(batches, limit=TEXT):
             data, offsets = flat(part.column("text"))
             add(WORDS, word_hashes(data, offsets)[0].view(np.int64))
             symbols, classes, here = framed(data, offsets, class_of)
@@ -282,14 +291,13 @@ def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
             rare = np.flatnonzero(classes[where] == SHARED)
             add(BYTES, codes[rare] % CLASSES**2 * 256 + symbols[where[rare]])
             for kind in held:
-                if sum(len(k) for k, _ in held[kind][1:]) > HELD:
+                if sum(len(k) for k, _ in held[kind]) > HELD:
                     join(kind)
+                    if len(held[kind][0][0]) > DIFFERENT:
+                        yield from handed_on(kind)
         for kind in held:
             join(kind)
-            for keys, n in held[kind]:
-                for low in range(0, len(keys), 1 << 16):
-                    some = slice(low, low + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[some]), kind, np.int32)), pa.array(keys[some]), pa.array(n[some])], names=["kind", "code", "n"])
+            yield from handed_on(kind)
 
     return docs.select("text").mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
@@ -419,7 +427,7 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, n = held.value
         row = TaskContext.get().partitionId() << 33
-        for part in blocks(batches):
+        for part in blocks(batches, limit=TEXT):
             data, offsets = flat(part.column("text"))
             hashes, firsts = word_hashes(data, offsets)
             at = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
