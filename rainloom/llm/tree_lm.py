@@ -8,7 +8,8 @@ Krichevsky-Trofimov estimates of all depths by their weighted probabilities. Whe
 wasn't met in a context, the next shorter context decides.
 
 The counts of all training texts are added up by Spark, and the trees are worked out in tasks
-that each hold all contexts ending in the same two classes. The mixed predictions of the
+that each hold all contexts ending in the same ``TOP`` classes; the sums at shorter contexts are
+added up by Spark. The mixed predictions of the
 ``CONTEXTS`` most frequent contexts, at most 67 MB when opened, are broadcast; other contexts predict as
 their longest ending among these. The tables are the same whatever the order of the texts.
 
@@ -30,6 +31,10 @@ from rainloom.llm.textblocks import FOLD, blocks, distinct_per_text, flat, owner
 from rainloom.session import materialize
 
 CLASSES, DEPTH = 64, 6
+#: Contexts of so many last classes are worked out together; those of fewer on the driver.
+TOP = 3
+#: Steps a unit in which ln probabilities are added up, exactly whatever their order.
+UNIT = 1 << 24
 NODES = CLASSES - 1
 CONTEXTS = 1 << 17
 #: Least frequency that a class's code is built for, as a share of all bytes.
@@ -140,11 +145,11 @@ class Node:
 
 
 def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """Trees of all decisions from depth two down, for contexts that are complete in the input.
+    """Trees of all decisions from depth ``TOP`` down, for contexts that are complete in the input.
 
-    Yields every context of two classes and every deeper one seen ``least`` times or more: its
-    decisions with their predictions as seen from depth two, and at depth two their counts and
-    weighted ln probability.
+    Yields every context seen ``least`` times or more: its decisions with their predictions as
+    seen from depth ``TOP``; and for decisions of the next shorter context (rows of depth
+    ``TOP`` - 1, with context and node as code) the sums of counts and weighted ln probabilities.
     """
     keys, zeros, ones = [], [], []
     for level in range(code.node.shape[1]):
@@ -155,7 +160,7 @@ def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.nda
         ones.append(np.where(bit, n[some], 0))
     key, zeros, ones = np.concatenate(keys), np.concatenate(zeros).astype(float), np.concatenate(ones).astype(float)
     weighted, levels, above = None, {}, {}
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, TOP - 1, -1):
         key = key // CLASSES % CLASSES**depth * CLASSES + key % CLASSES
         key, into = np.unique(key, return_inverse=True)
         zeros, ones = np.bincount(into, zeros), np.bincount(into, ones)
@@ -164,52 +169,60 @@ def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.nda
             above[depth + 1] = into
         weighted = node.weighted
         levels[depth] = key, zeros, ones, node
+    short, into = np.unique(key // CLASSES % CLASSES ** (TOP - 1) * CLASSES + key % CLASSES, return_inverse=True)
+    none = lambda kind: pa.nulls(len(short), kind)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(short), TOP - 1, np.int32)), pa.array(short), none(pa.int64()), none(pa.list_(pa.int32())), none(pa.list_(pa.float32())),
+         *[pa.array(np.bincount(into, x).astype(np.int64)) for x in (zeros, ones)], pa.array(np.bincount(into, np.round(weighted * UNIT)).astype(np.int64))],
+        names=NAMES,
+    )
     base, share = np.zeros(len(key)), np.ones(len(key))
-    for depth in range(2, DEPTH + 1):
+    for depth in range(TOP, DEPTH + 1):
         key, zeros, ones, node = levels[depth]
-        if depth > 2:
+        if depth > TOP:
             parent, into = levels[depth - 1][3], above[depth]
             base = (base + share * parent.stop * parent.estimate)[into]
             share = (share * (1 - parent.stop))[into]
         heads = np.flatnonzero(key % CLASSES == 1)
         total = (zeros + ones)[heads]
         sizes = np.diff(np.concatenate((heads, [len(key)])))
-        wide = np.repeat(total >= (least if depth > 2 else 0), sizes)
-        firsts = np.concatenate(([0], np.cumsum(sizes[total >= (least if depth > 2 else 0)]))).astype(np.int32)
-        heads = heads[total >= (least if depth > 2 else 0)]
+        wide = np.repeat(total >= least, sizes)
+        firsts = np.concatenate(([0], np.cumsum(sizes[total >= least]))).astype(np.int32)
+        heads = heads[total >= least]
         lists = lambda x: pa.ListArray.from_arrays(pa.array(firsts), pa.array(x[wide]))
-        own = [lists(x) if depth == 2 else pa.nulls(len(heads), pa.list_(pa.float64())) for x in (zeros, ones, node.weighted)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(heads), depth, np.int32)), pa.array(key[heads] // CLASSES), pa.array((zeros + ones)[heads].astype(np.int64)),
-             lists((key % CLASSES).astype(np.int32)), lists((base + share * node.estimate).astype(np.float32)), *own],
-            names=["depth", "code", "n", "nodes", "p", "zeros", "ones", "weighted"],
+             lists((key % CLASSES).astype(np.int32)), lists((base + share * node.estimate).astype(np.float32)), *[pa.nulls(len(heads), pa.int64())] * 3],
+            names=NAMES,
         )
 
 
-TREES = "depth int, code long, n long, nodes array<int>, p array<float>, zeros array<double>, ones array<double>, weighted array<double>"
+NAMES = ["depth", "code", "n", "nodes", "p", "zeros", "ones", "weighted"]
+TREES = "depth int, code long, n long, nodes array<int>, p array<float>, zeros long, ones long, weighted long"
 
 
 def context_trees(classes: ClassCode, grams: DataFrame, least: int) -> DataFrame:
-    """``grams``: (code, n). The rows of ``subtrees``, contexts with the same two last classes in one task."""
+    """``grams``: (code, n). The rows of ``subtrees``, contexts with the same ``TOP`` last classes in one task."""
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held_code, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for batch in batches:
-                held_code = np.concatenate((held_code, batch.column("code").to_numpy()))
-                held_n = np.concatenate((held_n, batch.column("n").to_numpy()))
-                if len(held_code) > STEP:
-                    low = held_code // CLASSES % CLASSES**2
-                    cut = int(np.flatnonzero(low == low[-1])[0])
-                    if cut:
-                        yield held_code[:cut], held_n[:cut]
-                        held_code, held_n = held_code[cut:], held_n[cut:]
-            if len(held_code):
-                yield held_code, held_n
+            held, size, group = [], 0, -1
+            for batch in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
+                code, n = batch.column("code").to_numpy(), batch.column("n").to_numpy()
+                low = code // CLASSES % CLASSES**TOP
+                cut = int(np.searchsorted(low, group, "right"))
+                if size and size + cut > STEP and cut < len(code):
+                    yield tuple(map(np.concatenate, zip(*held, (code[:cut], n[:cut]))))
+                    held, size, code, n = [], 0, code[cut:], n[cut:]
+                if len(code):
+                    held.append((code, n))
+                    size, group = size + len(code), low[-1]
+            if held:
+                yield tuple(map(np.concatenate, zip(*held)))
 
         for code, n in steps():
             yield from subtrees(classes, code // CLASSES, code % CLASSES, n, least)
 
-    low = F.pmod(F.shiftright("code", CLASSES.bit_length() - 1), F.lit(CLASSES**2))
+    low = F.pmod(F.shiftright("code", CLASSES.bit_length() - 1), F.lit(CLASSES**TOP))
     return grams.select("code", "n", low.alias("low")).repartition("low").sortWithinPartitions("low").select("code", "n").mapInArrow(grow, TREES)
 
 
@@ -314,25 +327,34 @@ class TreeModel:
         grams = counts.where(F.col("kind") == GRAMS)
         total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         trees = materialize(context_trees(code, grams, -(-total // (8 * contexts))), "trees")
-        second = trees.where("depth = 2").toArrow().combine_chunks()
-        at = second.column("code").to_numpy().repeat(pa.compute.list_value_length(second.column("nodes")).to_numpy())
-        node = second.column("nodes").combine_chunks().flatten().to_numpy() - 1 if len(at) else np.zeros(0, np.int64)
-        sums_of = []
-        for name in ("zeros", "ones", "weighted"):
-            grid = np.zeros((CLASSES, NODES))
-            if len(at):
-                np.add.at(grid, (at % CLASSES, node), second.column(name).combine_chunks().flatten().to_numpy())
-            sums_of.append(grid)
-        zeros, ones, weighted = sums_of
-        first = Node(zeros, ones, weighted)
-        root = Node(zeros.sum(axis=0), ones.sum(axis=0), first.weighted.sum(axis=0))
+        sums_of = [np.zeros((CLASSES**2, CLASSES)) for _ in range(3)]
+        got = trees.where(F.col("depth") == TOP - 1).groupBy("code").agg(*[F.sum(c).alias(c) for c in NAMES[-3:]]).toArrow()
+        for grid, name in zip(sums_of, NAMES[-3:]):
+            grid.ravel()[got.column("code").to_numpy()] = got.column(name).to_numpy()
+        zeros, ones, below = (grid[:, 1:] for grid in sums_of)
+        second = Node(zeros, ones, below / UNIT)
+        fold = lambda x: x.reshape(CLASSES, CLASSES, NODES).sum(axis=0)
+        seen = zeros + ones > 0
+        first = Node(fold(zeros), fold(ones), fold(np.where(seen, second.weighted, 0)))
+        met = fold(seen) > 0
+        root = Node(zeros.sum(axis=0), ones.sum(axis=0), np.where(met, first.weighted, 0).sum(axis=0))
         base = root.stop * root.estimate
-        met = zeros + ones > 0
         near = np.where(met, base + (1 - root.stop) * first.estimate, root.estimate)
         self.root, self.near = root.estimate, near
-        self.base = base + (1 - root.stop) * first.stop * first.estimate
-        self.share = (1 - root.stop) * (1 - first.stop)
-        kept = trees.select("depth", "code", "nodes", "p").orderBy(F.desc("n"), "depth", "code").limit(contexts).toArrow().combine_chunks()
+        last = np.arange(CLASSES**2) % CLASSES
+        base, share = (base + (1 - root.stop) * first.stop * first.estimate)[last], ((1 - root.stop) * (1 - first.stop))[last]
+        self.two = np.where(seen, base + share * second.estimate, near[last])
+        self.base, self.share = base + share * second.stop * second.estimate, share * (1 - second.stop)
+        kept = trees.where(F.col("depth") >= TOP).select("depth", "code", "n", "nodes", "p").orderBy(F.desc("n"), "depth", "code").limit(contexts).toArrow()
+        pairs = np.flatnonzero(seen[:, 0])
+        kept = pa.concat_tables([
+            pa.table([
+                pa.array(np.full(len(pairs), 2, np.int32)), pa.array(pairs), pa.array((zeros + ones)[pairs, 0].astype(np.int64)),
+                *[pa.array([[]] * len(pairs), kept.schema.field(c).type) for c in ("nodes", "p")],
+            ], schema=kept.schema), kept,
+        ]).combine_chunks()
+        order = np.lexsort((kept.column("code").to_numpy(), kept.column("depth").to_numpy(), -kept.column("n").to_numpy()))
+        kept = kept.take(pa.array(order[:contexts])).combine_chunks()
         self.depth, self.codes = kept.column("depth").to_numpy(), kept.column("code").to_numpy()
         some = len(self.codes) > 0
         self.lengths = pa.compute.list_value_length(kept.column("nodes")).to_numpy() if some else np.zeros(0, np.int64)
@@ -359,9 +381,9 @@ class TreeModel:
             parent = rows[np.searchsorted(known, self.codes[here] % CLASSES ** (d - 1))]
             row, lengths = 1 + CLASSES + here, self.lengths[here]
             longer[parent, self.codes[here] // CLASSES ** (d - 1)] = row
-            p[row] = p[parent]
+            p[row] = self.two[self.codes[here]] if d == 2 else p[parent]
             entry = np.repeat(starts[here] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-            last, node = np.repeat(self.codes[here] % CLASSES, lengths), self.nodes[entry]
+            last, node = np.repeat(self.codes[here] % CLASSES**2, lengths), self.nodes[entry]
             p[np.repeat(row, lengths), node] = self.base[last, node] + self.share[last, node] * self.below[entry]
             known, rows = self.codes[here], row
         self.longer, self.logs = longer, np.empty((len(p), CLASSES), np.float32)

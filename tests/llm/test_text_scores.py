@@ -172,6 +172,22 @@ def test_tree_probabilities_add_up_to_one(spark):
     assert np.allclose((10.0 ** model.bytes.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_trees_of_one_ending_are_worked_out_in_several_steps(spark, monkeypatch):
+    """A frequent ending of two classes isn't one group; the model is the same however the steps fall."""
+    docs = documents(spark)
+    code = tree_lm.class_code(docs)
+    counts = tree_lm.training_counts(docs, code.class_of)
+    whole = tree_lm.TreeModel(code, counts)
+    monkeypatch.setattr(tree_lm, "STEP", 100)
+    grams = counts.where(F.col("kind") == tree_lm.GRAMS).select("code", "n").toPandas()
+    low = grams["code"] // tree_lm.CLASSES % tree_lm.CLASSES**2
+    hot = grams[low == low.mode()[0]]
+    steps = tree_lm.context_trees(code, spark.createDataFrame(hot, "code long, n long"), 1).where("depth = 2")
+    assert steps.count() > steps.select("code").distinct().count()
+    cut = tree_lm.TreeModel(code, counts)
+    assert (cut.codes == whole.codes).all() and (cut.two == whole.two).all() and (cut.below == whole.below).all()
+
+
 def test_language_scores_of_odd_rows(spark):
     docs = odd_documents(spark)
     rows = tree_lm.language_scores(docs, docs).collect()
