@@ -9,9 +9,11 @@ wasn't met in a context, the next shorter context decides.
 
 The counts of all training texts are added up by Spark, and the trees are worked out in tasks
 that each hold all contexts ending in the same ``TOP`` classes; the sums at shorter contexts are
-added up by Spark. The mixed predictions of the
-``CONTEXTS`` most frequent contexts, at most 67 MB when opened, are broadcast; other contexts predict as
-their longest ending among these. The tables are the same whatever the order of the texts.
+added up by Spark. All counted contexts take part in the scores: the mixed predictions of the
+``CONTEXTS`` most frequent contexts, at most 67 MB when opened, are broadcast and decide where a
+whole context of ``DEPTH`` classes is among them. What follows any other context is put together
+per block of texts and goes to the tasks that work out the trees of its bucket of endings.
+The tables are the same whatever the order of the texts.
 
 The word baseline beside it is exact: the counts of the ``COMMON`` most frequent words are
 broadcast, every other word of a document is matched with its count by a join.
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainloom.llm.textblocks import FOLD, blocks, distinct_per_text, flat, owners, span_hashes, sums, word_bounds
 from rainloom.session import materialize
@@ -144,17 +146,14 @@ class Node:
         return self.stop * self.estimate + (1 - self.stop) * deeper
 
 
-def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """Trees of all decisions from depth ``TOP`` down, for contexts that are complete in the input.
-
-    Yields every context seen ``least`` times or more: its decisions with their predictions as
-    seen from depth ``TOP``; and for decisions of the next shorter context (rows of depth
-    ``TOP`` - 1, with context and node as code) the sums of counts and weighted ln probabilities.
-    """
-    keys, zeros, ones = [], [], []
+def grown(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> tuple[dict, dict, list]:
+    """Of depths ``DEPTH`` to ``TOP``: keys of context and node in order, counts and ``Node``; the place of
+    each node's parent; and per decision of a symbol (grams that have it, bit, place at full depth)."""
+    keys, zeros, ones, taken = [], [], [], []
     for level in range(code.node.shape[1]):
         some = np.flatnonzero(code.length[symbol] > level)
         bit = code.bit[symbol[some], level]
+        taken.append((some, bit))
         keys.append(context[some] * CLASSES + code.node[symbol[some], level])
         zeros.append(np.where(bit, 0, n[some]))
         ones.append(np.where(bit, n[some], 0))
@@ -167,8 +166,35 @@ def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.nda
         node = Node(zeros, ones, None if weighted is None else np.bincount(into, weighted))
         if depth < DEPTH:
             above[depth + 1] = into
+        else:
+            places = np.split(into, np.cumsum([len(some) for some, _ in taken])[:-1])
         weighted = node.weighted
         levels[depth] = key, zeros, ones, node
+    return levels, above, [(some, bit, place) for (some, bit), place in zip(taken, places)]
+
+
+def seen_from_top(levels: dict, above: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """Depth, and the predictions of its nodes as seen from depth ``TOP``."""
+    base, share = np.zeros(len(levels[TOP][0])), np.ones(len(levels[TOP][0]))
+    for depth in range(TOP, DEPTH + 1):
+        node = levels[depth][3]
+        if depth > TOP:
+            parent, into = levels[depth - 1][3], above[depth]
+            base = (base + share * parent.stop * parent.estimate)[into]
+            share = (share * (1 - parent.stop))[into]
+        yield depth, base + share * node.estimate
+
+
+def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """Trees of all decisions from depth ``TOP`` down, for contexts that are complete in the input.
+
+    Yields every context seen ``least`` times or more: its decisions with their predictions as
+    seen from depth ``TOP``; and for decisions of the next shorter context (rows of depth
+    ``TOP`` - 1, with context and node as code) the sums of counts and weighted ln probabilities.
+    """
+    levels, above, _ = grown(code, context, symbol, n)
+    key, zeros, ones, node = levels[TOP]
+    weighted = node.weighted
     short, into = np.unique(key // CLASSES % CLASSES ** (TOP - 1) * CLASSES + key % CLASSES, return_inverse=True)
     none = lambda kind: pa.nulls(len(short), kind)
     yield pa.RecordBatch.from_arrays(
@@ -176,13 +202,8 @@ def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.nda
          *[pa.array(np.bincount(into, x).astype(np.int64)) for x in (zeros, ones)], pa.array(np.bincount(into, np.round(weighted * UNIT)).astype(np.int64))],
         names=NAMES,
     )
-    base, share = np.zeros(len(key)), np.ones(len(key))
-    for depth in range(TOP, DEPTH + 1):
-        key, zeros, ones, node = levels[depth]
-        if depth > TOP:
-            parent, into = levels[depth - 1][3], above[depth]
-            base = (base + share * parent.stop * parent.estimate)[into]
-            share = (share * (1 - parent.stop))[into]
+    for depth, p in seen_from_top(levels, above):
+        key, zeros, ones, _ = levels[depth]
         heads = np.flatnonzero(key % CLASSES == 1)
         total = (zeros + ones)[heads]
         sizes = np.diff(np.concatenate((heads, [len(key)])))
@@ -192,7 +213,7 @@ def subtrees(code: ClassCode, context: np.ndarray, symbol: np.ndarray, n: np.nda
         lists = lambda x: pa.ListArray.from_arrays(pa.array(firsts), pa.array(x[wide]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(heads), depth, np.int32)), pa.array(key[heads] // CLASSES), pa.array((zeros + ones)[heads].astype(np.int64)),
-             lists((key % CLASSES).astype(np.int32)), lists((base + share * node.estimate).astype(np.float32)), *[pa.nulls(len(heads), pa.int64())] * 3],
+             lists((key % CLASSES).astype(np.int32)), lists(p.astype(np.float32)), *[pa.nulls(len(heads), pa.int64())] * 3],
             names=NAMES,
         )
 
@@ -315,6 +336,140 @@ def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
+class Short:
+    """Predictions of contexts of fewer than ``TOP`` classes, and what longer ones take from them."""
+
+    def __init__(self, code: ClassCode, two: np.ndarray, base: np.ndarray, share: np.ndarray):
+        self.code, self.two, self.base, self.share = code, two, base, share
+
+
+class GramLogs:
+    """log10 probabilities of grams after their longest counted endings, from all counts of their bucket."""
+
+    def __init__(self, short: Short, grams: np.ndarray, n: np.ndarray):
+        order = np.argsort(grams)
+        self.short, self.grams, self.levels = short, grams[order], {}
+        self.logs = np.zeros(len(grams))
+        if not len(grams):
+            return
+        levels, above, taken = grown(short.code, self.grams // CLASSES, self.grams % CLASSES, n[order])
+        for depth, p in seen_from_top(levels, above):
+            key = levels[depth][0]
+            at, node = key // CLASSES % CLASSES**2, key % CLASSES - 1
+            self.levels[depth] = key, short.base[at, node] + short.share[at, node] * p
+        for some, bit, place in taken:
+            p = self.levels[DEPTH][1][place]
+            self.logs[some] += np.log10(np.where(bit, p, 1 - p))
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return self.unmet(grams)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        out, other = self.logs[at], np.flatnonzero(self.grams[at] != grams)
+        out[other] = self.unmet(grams[other])
+        return out
+
+    def unmet(self, grams: np.ndarray) -> np.ndarray:
+        """Every decision after the longest ending that it was met in."""
+        code, context, symbol, out = self.short.code, grams // CLASSES, grams % CLASSES, np.zeros(len(grams))
+        for level in range(code.node.shape[1]):
+            some = np.flatnonzero(code.length[symbol] > level)
+            node, bit, near = code.node[symbol[some], level], code.bit[symbol[some], level], context[some]
+            p, left = self.short.two[near % CLASSES**2, node - 1], np.arange(len(some))
+            for depth, (keys, known) in self.levels.items():
+                wanted = near[left] % CLASSES**depth * CLASSES + node[left]
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = keys[at] == wanted
+                left = left[hit]
+                p[left] = known[at[hit]]
+            out[some] += np.log10(np.where(bit, p, 1 - p))
+        return out
+
+
+SCATTER = 0x9E3779B1
+
+
+def bucket_of(context: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of endings that a context belongs to; ``gram_bucket`` is the same in Spark."""
+    return (context % CLASSES**TOP * SCATTER >> 12 & 0xFFFFF) % buckets
+
+
+def gram_bucket(buckets: int) -> Column:
+    low = F.pmod(F.shiftright("code", CLASSES.bit_length() - 1), F.lit(CLASSES**TOP))
+    return F.shiftright(low * F.lit(SCATTER).cast("long"), 12).bitwiseAND(F.lit(0xFFFFF)) % F.lit(buckets)
+
+
+def packed(grams: np.ndarray, text: np.ndarray, buckets: int) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets, and for each its different grams, how often each is in a row, and the texts of all of them."""
+    key = bucket_of(grams // CLASSES, buckets)
+    order = np.lexsort((grams, key))
+    key, grams, text = key[order], grams[order], text[order].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    out = []
+    for low, high in zip(first, [*first[1:], len(key)]):
+        part = grams[low:high]
+        head = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        sizes = np.diff(np.concatenate((head, [len(part)]))).astype(np.uint32)
+        data = np.array([len(head)], np.int64).tobytes() + np.diff(part[head], prepend=0).tobytes() + sizes.tobytes() + text[low:high].tobytes()
+        out.append(np.array([len(data)], np.int64).tobytes() + pa.compress(data, codec="zstd", asbytes=True))
+    return key[first], out
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    data = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    return (np.cumsum(np.frombuffer(data, np.int64, n, 8)), np.frombuffer(data, np.uint32, n, 8 + 8 * n), np.frombuffer(data, np.uint32, -1, 8 + 12 * n))
+
+
+def open_scores(spark: SparkSession, short: Short, grams: DataFrame, open_: DataFrame, buckets: int) -> DataFrame:
+    """(_row, _deep): what the grams of each row add to its score. ``open_``: (_row, bucket, data), the
+    first row of a block of texts and what ``packed`` made of it; ``grams``: (code, n)."""
+    held = spark.sparkContext.broadcast(short)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, counts, logs, found, size = -1, [], None, {}, 0
+
+        def handed_on() -> pa.RecordBatch:
+            rows = [first + np.arange(len(x)) for first, x in found.items()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate([*found.values()]))], names=["_row", "_deep"])
+
+        for batch in batches:
+            keys, row = batch.column("bucket").to_numpy(), batch.column("_row").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | ((row[1:] < 0) != (row[:-1] < 0)))))
+            for low, high in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[low] != bucket:
+                    bucket, counts, logs = keys[low], [], None
+                part = batch.slice(low, high - low)
+                if row[low] < 0:
+                    counts.append((part.column("code").to_numpy(), part.column("n").to_numpy()))
+                    continue
+                if logs is None:
+                    none = np.zeros(0, np.int64)
+                    logs, counts = GramLogs(held.value, *map(np.concatenate, zip((none, none), *counts))), []
+                for first, data in zip(row[low:high].tolist(), part.column("data")):
+                    codes, sizes, text = unpacked(data.as_py())
+                    add = np.bincount(text, np.repeat(logs.of(codes), sizes))
+                    had = found.get(first, np.zeros(0))
+                    if len(had) < len(add):
+                        had, size = np.concatenate((had, np.zeros(len(add) - len(had)))), size + len(add) - len(had)
+                    had[: len(add)] += add
+                    found[first] = had
+                if size > DIFFERENT:
+                    yield handed_on()
+                    found, size = {}, 0
+        if found:
+            yield handed_on()
+
+    both = grams.select(gram_bucket(buckets).alias("bucket"), F.lit(-1).cast("long").alias("_row"), "code", "n", F.lit(None).cast("binary").alias("data")).unionByName(
+        open_.select("bucket", "_row", "data"), allowMissingColumns=True
+    )
+    return (
+        both.repartition("bucket").sortWithinPartitions("bucket", "_row").mapInArrow(score, "_row long, _deep double")
+        .groupBy("_row").agg(F.sum("_deep").alias("_deep"))
+    )
+
+
 class TreeModel:
     """The kept contexts with their predictions, as they are broadcast; ``open`` makes the tables.
 
@@ -353,6 +508,7 @@ class TreeModel:
                 *[pa.array([[]] * len(pairs), kept.schema.field(c).type) for c in ("nodes", "p")],
             ], schema=kept.schema), kept,
         ]).combine_chunks()
+        self.whole = kept.num_rows < contexts and total <= 8 * contexts
         order = np.lexsort((kept.column("code").to_numpy(), kept.column("depth").to_numpy(), -kept.column("n").to_numpy()))
         kept = kept.take(pa.array(order[:contexts])).combine_chunks()
         self.depth, self.codes = kept.column("depth").to_numpy(), kept.column("code").to_numpy()
@@ -361,6 +517,7 @@ class TreeModel:
         self.nodes = (kept.column("nodes").combine_chunks().flatten().to_numpy() - 1 if some else np.zeros(0)).astype(np.uint8)
         self.below = kept.column("p").combine_chunks().flatten().to_numpy() if some else np.zeros(0, np.float32)
         self.bytes = self.byte_table(counts)
+        self.short = Short(code, self.two, self.base, self.share)
         self.logs = None
 
     def open(self) -> TreeModel:
@@ -386,6 +543,7 @@ class TreeModel:
             last, node = np.repeat(self.codes[here] % CLASSES**2, lengths), self.nodes[entry]
             p[np.repeat(row, lengths), node] = self.base[last, node] + self.share[last, node] * self.below[entry]
             known, rows = self.codes[here], row
+        self.full = np.concatenate((np.zeros(1 + CLASSES, bool), self.depth == DEPTH))
         self.longer, self.logs = longer, np.empty((len(p), CLASSES), np.float32)
         for low in range(0, len(p), 4096):
             self.logs[low : low + 4096] = self.code.logs(p[low : low + 4096].astype(float))
@@ -415,17 +573,23 @@ class TreeModel:
         deeper = np.where(seen[:, None], first.mix(second.estimate.reshape(CLASSES, CLASSES, -1)).reshape(CLASSES**2, -1), first.estimate[near])
         return symbol_logs(root.mix(np.where(met[near][:, None], deeper, root.estimate)), 8).astype(np.float32)
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of every text, its end included."""
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of every text, its end included, but for the grams of contexts that
+        aren't kept at full depth; these grams, and their texts."""
         symbols, classes, here = framed(data, offsets, self.class_of)
         where = np.flatnonzero(here)
-        each = self.logs[self.rows(classes, where), classes[where]].astype(np.float64)
+        row = self.rows(classes, where)
+        each = self.logs[row, classes[where]].astype(np.float64)
+        left = np.zeros(0, np.int64) if self.whole else np.flatnonzero(~self.full[row])
+        each[left] = 0
         rare = where[classes[where] == SHARED]
         each[classes[where] == SHARED] += self.bytes[classes[rare - 2] * CLASSES + classes[rare - 1], symbols[rare]]
-        return sums(each, offsets + np.arange(len(offsets)))
+        firsts = offsets + np.arange(len(offsets))
+        grams = context_codes(classes, where[left]) * CLASSES + classes[where[left]]
+        return sums(each, firsts), grams, np.searchsorted(firsts, left, "right") - 1
 
 
-def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON) -> DataFrame:
+def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON, contexts: int = CONTEXTS) -> DataFrame:
     """``docs`` without its text, with word and model scores; learned from ``training``.
 
     Adds ``n_tokens`` (words and one end), ``n_known`` (of them, met in training),
@@ -441,8 +605,10 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON)
     top = words.orderBy(F.desc("n"), "word").limit(common).toArrow()
     keys, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
-    held = docs.sparkSession.sparkContext.broadcast((TreeModel(code, counts), keys[order], n[order]))
-    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_row", "_rare", "text"]
+    held = docs.sparkSession.sparkContext.broadcast((model := TreeModel(code, counts, contexts), keys[order], n[order]))
+    grams = counts.where(F.col("kind") == GRAMS).select("code", "n")
+    buckets = 1 if model.whole else max(1, -(-grams.count() // STEP))
+    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_row", "_rare", "_open", "text"]
     names = [c for c in docs.columns if c not in results]
     whole = distinct <= common
 
@@ -462,17 +628,24 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON)
             )
             rows = row + np.arange(part.num_rows)
             row += part.num_rows
+            scored, left, text = model.open().scores(data, offsets)
+            bucket, packs = packed(left, text, buckets)
+            open_ = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.full(part.num_rows, len(packs)))).astype(np.int32)),
+                pa.StructArray.from_arrays([pa.array(bucket, pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "data"]),
+            )
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(k) for k in names], pa.array(rows), pa.array(np.diff(firsts)), pa.array(sums(hit.astype(np.int64), firsts)),
-                 pa.array(sums(log_c, firsts)), pa.array(model.open().scores(data, offsets)), pa.array(np.diff(offsets)), rare],
-                names=[*names, "_row", "n_tokens", "_known", "_log", "score", "_bytes", "_rare"],
+                 pa.array(sums(log_c, firsts)), pa.array(scored), pa.array(np.diff(offsets)), rare, open_],
+                names=[*names, "_row", "n_tokens", "_known", "_log", "score", "_bytes", "_rare", "_open"],
             )
 
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
     schema = StructType([
         *[docs.select(f"`{c}`").schema[0] for c in names],
         *[StructField(c, DoubleType() if c in ("_log", "score") else LongType()) for c in ("_row", "n_tokens", "_known", "_log", "score", "_bytes")],
         StructField("_rare", ArrayType(LongType())),
+        StructField("_open", ArrayType(StructType([StructField("bucket", LongType()), StructField("data", BinaryType())]))),
     ])
     scored = materialize(docs.select(*[F.col(f"`{c}`") for c in names], "text").mapInArrow(score, schema), "scored")
     rest = (
@@ -484,8 +657,13 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON)
             F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("_log_more"),
         )
     )
+    joined = scored.join(rest, "_row", "left")
+    if not model.whole:
+        open_ = scored.where(F.size("_open") > 0).select("_row", F.inline("_open"))
+        joined = joined.join(open_scores(docs.sparkSession, model.short, grams, open_, buckets), "_row", "left")
+    score_of = F.col("score") if model.whole else F.col("score") + F.coalesce("_deep", F.lit(0.0))
     floor = F.log10(F.lit(float(total) + 0.5 * (distinct + 1)))
-    return scored.join(rest, "_row", "left").select(
+    return joined.withColumn("score", score_of).select(
         *[F.col(f"`{c}`") for c in names], "n_tokens",
         (F.col("_known") + F.coalesce("_more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),

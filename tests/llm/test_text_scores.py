@@ -163,6 +163,20 @@ def test_tree_scores_equal_the_definition(spark):
         assert row["score"] == pytest.approx(score(asked[row["doc_id"]]), abs=1e-3)
 
 
+@pytest.mark.parametrize("contexts", [1, 300])
+def test_contexts_beyond_the_broadcast_count_in_full(spark, contexts, monkeypatch):
+    """Scores are those of all counted contexts, however few of them are broadcast."""
+    monkeypatch.setattr(tree_lm, "STEP", 400)
+    docs = documents(spark).limit(40)
+    train = docs.where(textblocks.crc_fold("doc_id", 5) != 1)
+    rows = docs.unionByName(odd_documents(spark).select(docs.columns))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["bits_per_byte"])
+    expected = sorted(tree_lm.language_scores(rows, train, contexts=1 << 20).collect(), key=key)
+    got = sorted(tree_lm.language_scores(rows, train, contexts=contexts).collect(), key=key)
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in expected]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in expected], rel=1e-6)
+
+
 def test_tree_probabilities_add_up_to_one(spark):
     docs = documents(spark)
     code = tree_lm.class_code(docs)
