@@ -30,9 +30,9 @@ from rainloom.session import scratch_path
 END = 0
 #: Ids after which a shard is closed at the next end of a document.
 SHARD_IDS = 1 << 20
-#: Rounds, rules per round, and occurrences that make a rule worth its place.
-ROUNDS, RULES, FREQUENT = 6, 4096, 8
-HASH_BITS = 19
+#: Rules per round, and occurrences that make a rule worth its place.
+RULES, FREQUENT = 4096, 8
+HASH_BITS = 21
 MOST_WORDS, MOST_CHARS = 1_200_000, 24_000_000
 #: Spaces that could belong to a longer run: such texts are cut with care.
 RUN = re.compile(r"\s (\s|$)")
@@ -149,7 +149,7 @@ def pieces(path: str) -> Pieces:
 
 
 def reduce_ids(ids: np.ndarray, offsets: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair rounds over one shard: (symbols, offsets of documents among them, rules, expansion lengths).
+    """Re-Pair rounds over one shard until no pair is frequent: (symbols, offsets of documents among them, rules, expansion lengths).
 
     Symbols from ``first`` on are rules, in the order of ``rules`` (pairs of earlier symbols).
     """
@@ -159,33 +159,34 @@ def reduce_ids(ids: np.ndarray, offsets: np.ndarray, first: int) -> tuple[np.nda
     document = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     rules, lengths = [np.zeros((0, 2), np.int64)], np.zeros(0, np.int64)
     number = first
-    # pairs are counted per bucket of a hash; where two meet, one stands for the bucket and the other waits
-    named, rule_of = np.zeros(1 << HASH_BITS, np.int64), np.full(1 << HASH_BITS, -1, np.int32)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    hashed = lambda key: (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    while len(symbols) > 1:
         key, inside = symbols[:-1] << 32 | symbols[1:], ~last[:-1]
-        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-        named[bucket[inside]] = key[inside]
-        same = (named[bucket] == key) & inside
-        count = np.bincount(bucket[same], minlength=1 << HASH_BITS)
+        bucket = hashed(key)
+        # only pairs of buckets that hold FREQUENT pairs in all are sorted and counted
+        full = np.bincount(bucket[inside], minlength=1 << HASH_BITS) >= FREQUENT
+        likely = np.flatnonzero(full[bucket] & inside)
+        ordered = np.sort(key[likely])
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+        count = np.diff(np.concatenate((heads, [len(ordered)])))
         often = np.flatnonzero(count >= FREQUENT)
         if not len(often):
             break
         if len(often) > RULES:
-            often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES]])
-        rule_of[:] = -1
-        rule_of[often] = np.arange(len(often))
-        at = rule_of[bucket]
-        place = np.flatnonzero(same & (at >= 0))
-        at = at[place]
+            often = often[np.argsort(-count[often], kind="stable")[:RULES]]
+        chosen = np.sort(ordered[heads[often]])
+        of = np.zeros(1 << HASH_BITS, bool)
+        of[hashed(chosen)] = True
+        place = likely[of[bucket[likely]]]
+        at = np.minimum(np.searchsorted(chosen, key[place]), len(chosen) - 1)
+        hit = chosen[at] == key[place]
+        place, at = place[hit], at[hit]
         run = np.concatenate(([True], place[1:] != place[:-1] + 1))
         first_of = (np.arange(len(place)) - np.flatnonzero(run)[np.cumsum(run) - 1]) % 2 == 0
         place, at = place[first_of], at[first_of]
-        used = np.bincount(at, minlength=len(often)) > 0
-        rule = (np.cumsum(used) - 1)[at]
-        chosen = named[often[used]]
-        pairs = np.column_stack((chosen >> 32, chosen & 0xFFFFFFFF))
+        used = np.flatnonzero(np.bincount(at, minlength=len(chosen)))
+        rule = np.searchsorted(used, at)
+        pairs = np.column_stack((chosen[used] >> 32, chosen[used] & 0xFFFFFFFF))
         size = lambda s: np.where(s < first, 1, lengths[np.maximum(s - first, 0)]) if len(lengths) else np.ones(len(s), np.int64)
         lengths = np.concatenate((lengths, size(pairs[:, 0]) + size(pairs[:, 1])))
         rules.append(pairs)

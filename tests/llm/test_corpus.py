@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -87,6 +88,22 @@ def test_grammar_round_trip_and_random_access(texts):
         assert (grammar_store.decode_range(shard, low, high) == ids[low:high]).all()
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(5)
+    passage = rng.permutation(5000)[:700] + 1
+    noise = rng.integers(1, 50_000, 200_000)
+    parts = [x for k in range(12) for x in (noise[k * 9000 : (k + 1) * 9000], passage)] + [np.full(3000, 7), noise[108_000:]]
+    texts = [np.concatenate((x, [0])) for x in parts]
+    ids, offsets = np.concatenate(texts).astype(np.uint32), np.cumsum([0, *map(len, texts)])
+    symbols, starts, rules, lengths = grammar_store.reduce_ids(ids, offsets, 50_000)
+    assert (grammar_store.expand(symbols, rules, 50_000) == ids).all()
+    assert lengths.max() > 64
+    pairs = Counter()
+    for low, high in zip(starts[:-1], starts[1:]):
+        pairs.update(zip(symbols[low : high - 1].tolist(), symbols[low + 1 : high].tolist()))
+    assert max(pairs.values()) < grammar_store.FREQUENT
+
+
 @pytest.mark.parametrize("table", ["odd", "documents"])
 @pytest.mark.parametrize("shard_ids", [500, grammar_store.SHARD_IDS])
 def test_stored_ids_equal_the_library(spark, table, shard_ids, monkeypatch):
