@@ -1,4 +1,4 @@
-"""Model fits and evaluations. Fits have no SQL twin; small forests keep the check short."""
+"""Model fits and evaluations. Fits have no SQL twin; they run with the settings of the operators' purpose."""
 
 from __future__ import annotations
 
@@ -38,9 +38,8 @@ KEY = ["station_id"]
 Y = "target_will_rain"
 CUTS = ("2024-01-18 00:00:00", "2024-01-24 00:00:00")
 NAMES = ("train", "calibrate", "test")
-SMALL = dict(trees=8, depth=4, leaf=5)
-forest = partial(fit_forest, **SMALL)
-boosted = partial(fit_boosted, rounds=10, step=0.2, depth=3)
+#: Models of other stations are shallower and have larger leaves than the champion.
+regional = partial(fit_forest, trees=300, depth=12, leaf=20)
 _moment = lambda text: F.lit(text).cast("timestamp_ntz")
 
 
@@ -54,7 +53,7 @@ def part(rows: DataFrame, name: str) -> DataFrame:
 
 
 def champion_of(rows: DataFrame):
-    model = forest(part(rows, "train"), BASE_FEATURES, Y, name="rain")
+    model = fit_forest(part(rows, "train"), BASE_FEATURES, Y, name="rain")
     return calibrated(model, part(rows, "calibrate"), Y, grid(*SWEEP_RETRAIN))
 
 
@@ -95,7 +94,7 @@ def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models side by side over the coming hours, published and merged into the history."""
     rows = training_rows(spark, sf_dir)
     champion = champion_of(rows)
-    second = forest(part(rows, "train"), ALL_FEATURES, Y, name="rain-regional")
+    second = regional(part(rows, "train"), ALL_FEATURES, Y, name="rain-regional")
     scored = score_hours(_serving(spark, sf_dir, ALL_FEATURES), champion, _moment("2024-01-20 06:30:00"), second)
     latest, history = scratch_path(spark, "latest"), scratch_path(spark, "history")
     publish(scored, latest, history, ["station_id", "inferencia_local", "target_time"])
@@ -106,7 +105,7 @@ def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next 48 hours from six models' forecasts."""
     rows = materialize(labelled(spark, sf_dir), "ensemble-rows")
-    model = boosted(rows.where(F.col(T) < _moment(CUTS[1])), ensemble_feature_names(), "y", name="mos-multimodelo")
+    model = fit_boosted(rows.where(F.col(T) < _moment(CUTS[1])), ensemble_feature_names(), "y", name="mos-multimodelo")
     features = ensemble_features(model_forecasts(spark, sf_dir, live_name), [], live_name)
     return score_ensemble(features, model, _moment("2024-01-26 10:20:00"))
 
@@ -121,13 +120,13 @@ def retrain_with_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     champion = champion_of(rows)
     # The fixture spans one month: its hours are spread over three years to fill the windows.
     shifted = rows.drop("split").withColumn(T, F.col(T) + (F.col(T) - _moment("2024-01-01 00:00:00")) * 35)
-    _, ledger = retrain(shifted, features, Y, _moment("2026-12-15 00:00:00"), forest, 2, created, champion)
+    _, ledger = retrain(shifted, features, Y, _moment("2026-12-15 00:00:00"), fit_forest, 2, created, champion)
     return ledger
 
 
 @query()
 def feature_importance_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = forest(part(training_rows(spark, sf_dir), "train"), ALL_FEATURES, Y)
+    model = fit_forest(part(training_rows(spark, sf_dir), "train"), ALL_FEATURES, Y)
     return spark.createDataFrame(importances(model, 15), "feature string, importance double")
 
 
@@ -143,7 +142,7 @@ def champion_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hurdle_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-stage amounts and their errors on all and on wet hours."""
     rows = training_rows(spark, sf_dir)
-    amount = fit_amount(part(rows, "train"), BASE_FEATURES, "target_rain_next_1h", trees=8, depth=4)
+    amount = fit_amount(part(rows, "train"), BASE_FEATURES, "target_rain_next_1h")
     predicted = predict_amount(champion_of(rows), amount, part(rows, "test")).select("target_rain_next_1h", "amount")
     return regression_metrics(predicted, [], "target_rain_next_1h", "amount")
 
@@ -154,13 +153,13 @@ def gbt_mos(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(labelled(spark, sf_dir).withColumn("period", F.date_format(T, "yyyy-MM-dd")), "mos-rows")
     train, test = rows.where(F.col(T) < _moment(CUTS[1])), rows.where(F.col(T) >= _moment(CUTS[1]))
     names = ensemble_feature_names()
-    oof = materialize(out_of_fold(train, ["period"], 4, names, "y", boosted), "oof")
+    oof = materialize(out_of_fold(train, ["period"], 4, names, "y", fit_boosted), "oof")
     from dataclasses import replace
 
     from rainloom.operators.metrics import best_threshold, threshold_sweep
 
     threshold = best_threshold(threshold_sweep(oof, [], "score", "y", grid(*SWEEP_ENSEMBLE)), []).first()["threshold"]
-    scored = materialize(decided(replace(boosted(train, names, "y"), threshold=threshold), test, "mos"), "tested")
+    scored = materialize(decided(replace(fit_boosted(train, names, "y"), threshold=threshold), test, "mos"), "tested")
     out = evaluate(scored, ["abordagem", "threshold"], "y")
     return out.withColumn("brier", scored.agg(brier("score", "y")).scalar())
 
@@ -169,7 +168,7 @@ def gbt_mos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def out_of_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every training row scored by a model of the other stations' folds."""
     rows = part(training_rows(spark, sf_dir), "train")
-    return out_of_fold(rows, KEY, 3, BASE_FEATURES, Y, forest).select(*KEY, T, Y, "fold", "score")
+    return out_of_fold(rows, KEY, 3, BASE_FEATURES, Y, fit_forest).select(*KEY, T, Y, "fold", "score")
 
 
 @query()
@@ -179,7 +178,7 @@ def approach_comparison_with_model(spark: SparkSession, sf_dir: str) -> DataFram
     train, test = rows.where(F.col(T) < _moment(CUTS[1])), rows.where(F.col(T) >= _moment(CUTS[1]))
     single = best_per_group(single_model_f1(train, [], "y"), [], "f1", [F.col("rank_no")]).first()["modelo"]
     votes_needed = best_vote_count(train, [], "y").first()["threshold"]
-    model = boosted(train, ensemble_feature_names(), "y")
+    model = fit_boosted(train, ensemble_feature_names(), "y")
     scored = predict(model, test, "prob")
     score = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     long = long_decisions(scored, ["y"], {
@@ -197,9 +196,8 @@ def approaches_by_held_out_station(spark: SparkSession, sf_dir: str) -> DataFram
     wide = ensemble_features(model_forecasts(spark, sf_dir, live_name, stations=3), KEY, live_name)
     ahead = lambda w: {"y": (F.lead("p_best_match", 2).over(w) > 0).cast("int")}
     rows = materialize(over_blocks(wide, KEY, T, 0, 2, ahead).dropna(subset=["y", "p_best_match"]), "stations")
-    small = partial(fit_boosted, rounds=3, step=0.3, depth=2)
     long = materialize(approaches_station_out(
-        rows, "station_id", "y", ensemble_feature_names(), _moment(CUTS[1]), small, grid(*SWEEP_ENSEMBLE), folds=2, at_least=10
+        rows, "station_id", "y", ensemble_feature_names(), _moment(CUTS[1]), fit_boosted, grid(*SWEEP_ENSEMBLE), folds=2, at_least=10
     ), "approaches")
     per_station = evaluate(long, ["abordagem", "station_id"], "y").select("abordagem", "station_id", "f1", "n")
     means = weighted_by_hours(per_station, ["abordagem"]).withColumn("station_id", F.lit("todas"))
@@ -213,7 +211,7 @@ def loso_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training_rows(spark, sf_dir)
     stacked = materialize(predict(champion_of(rows), rows, "p_champ"), "stacked")
     variants = {"regional": BASE_FEATURES, "regional_mais_champ": [*BASE_FEATURES, "p_champ"]}
-    pooled = materialize(leave_one_out(stacked, "station_id", Y, variants, forest, grid(*SWEEP_REGIONAL), at_least=10), "loso")
+    pooled = materialize(leave_one_out(stacked, "station_id", Y, variants, regional, grid(*SWEEP_REGIONAL), at_least=10), "loso")
     return evaluate_by_station(pooled, ["abordagem"], "station_id", Y)
 
 
@@ -221,7 +219,7 @@ def loso_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regional_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final regional model and its ledger row."""
     rows = training_rows(spark, sf_dir)
-    _, ledger = train_regional(rows, "station_id", BASE_FEATURES, Y, forest, 1, _moment("2024-02-01 00:00:00"), at_least=10)
+    _, ledger = train_regional(rows, "station_id", BASE_FEATURES, Y, regional, 1, _moment("2024-02-01 00:00:00"), at_least=10)
     return ledger
 
 
@@ -230,7 +228,7 @@ def ensemble_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ensemble model judged against the raw forecast with stations left out, and its ledger row."""
     rows = training_rows(spark, sf_dir).withColumn("p_best_match", F.col("precipitation"))
     _, ledger = train_ensemble(
-        rows, "station_id", BASE_FEATURES, Y, "p_best_match", _moment(CUTS[1]), forest, 1, _moment("2024-02-01 00:00:00"),
+        rows, "station_id", BASE_FEATURES, Y, "p_best_match", _moment(CUTS[1]), fit_forest, 1, _moment("2024-02-01 00:00:00"),
         folds=2, at_least=10,
     )
     return ledger
@@ -243,7 +241,7 @@ def ablation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = {
         "A_base": BASE_FEATURES, "B_base_extra": ALL_FEATURES, "C_base_extra_oni": [*ALL_FEATURES, "oni"], "D_base_oni": [*BASE_FEATURES, "oni"],
     }
-    tested = materialize(ablation(rows, Y, variants, forest, grid(*SWEEP_RETRAIN)), "ablation")
+    tested = materialize(ablation(rows, Y, variants, fit_forest, grid(*SWEEP_RETRAIN)), "ablation")
     return evaluate(tested, ["abordagem", "n_features", "threshold"], Y)
 
 
@@ -254,7 +252,7 @@ def train_test_source_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = [*KEY, T, *BASE_FEATURES, Y, "split"]
     other = rows.withColumns({"temperature_2m": F.col("apparent_temperature"), "relative_humidity": F.col("dew_point_2m")})
     sources = {"bestmatch": rows.select(keep), "era5": materialize(other.select(keep), "source")}
-    tested = materialize(source_matrix(sources, [*KEY, T], Y, BASE_FEATURES, forest, grid(*SWEEP_RETRAIN)), "matrix")
+    tested = materialize(source_matrix(sources, [*KEY, T], Y, BASE_FEATURES, fit_forest, grid(*SWEEP_RETRAIN)), "matrix")
     return evaluate(tested, ["abordagem", "threshold"], Y)
 
 
@@ -280,7 +278,7 @@ def champion_on_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = {0: dense} | {
         n: over_blocks(dense, KEY, T, n, 0, lambda w: {c: F.lag(c, n).over(w) for c in RAW_COLUMNS}) for n in (1, 2)
     }
-    return evaluate(lead_comparison(runs, truth, KEY, champion, forest, CUTS, grid(*SWEEP_RETRAIN)), ["abordagem"], "y")
+    return evaluate(lead_comparison(runs, truth, KEY, champion, fit_forest, CUTS, grid(*SWEEP_RETRAIN)), ["abordagem"], "y")
 
 
 @query()
