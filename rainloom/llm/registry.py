@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ["text_queries", "vector_queries", "corpus_queries"]
+MODULES = ["text_queries", "vector_queries", "corpus_queries", "mining_queries"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
