@@ -27,7 +27,7 @@ WORDS = 1 << 22
 #: Size of the broadcast bitmap of frequent n-grams: 2^BITS bits.
 BITS = 26
 #: Text of a block, and n-grams that are held in a task before they are packed.
-BLOCK, SHARD = 1 << 21, 1 << 21
+BLOCK, SHARD = 1 << 20, 1 << 20
 #: Words of all texts per bucket of the merge.
 BUCKET_WORDS = 1 << 20
 
