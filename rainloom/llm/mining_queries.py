@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.llm import phrase_mining
+from rainloom.llm import personal_patterns, phrase_mining, span_crf
 from rainloom.llm.registry import query
 from rainloom.llm.text_queries import table
 
@@ -46,3 +46,17 @@ FROM left_over QUALIFY rank <= {phrase_mining.FIRST}
 @query(OP13_SQL)
 def op13_quotient_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query()
+def op11_span_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = span_crf.personal_spans(docs, span_crf.fit(docs))
+    base = F.filter("personal", lambda s: s["base"])
+    of = lambda kind, spans: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select(
+        "doc_id", *[of(kind, base).alias(f"n_{kind}") for kind in personal_patterns.BASE_KINDS],
+        F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("personal")).alias("spans"),
+        F.size(F.filter("personal", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
