@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,18 +17,19 @@ from rainloom.constants import (
 )
 from rainloom.functions.ensemble import live_name
 from rainloom.functions.labels import event
+from rainloom.operators.bagging import ForestSettings
 from rainloom.operators.baselines import best_vote_count, long_decisions, single_model_f1, vote_count
 from rainloom.operators.blocks import over_blocks
 from rainloom.operators.ensemble_features import ensemble_feature_names, ensemble_features
-from rainloom.operators.metrics import brier, grid, regression_metrics
+from rainloom.operators.metrics import best_threshold, brier, grid, regression_metrics, threshold_sweep
 from rainloom.operators.models import (
-    calibrated, fit_amount, fit_boosted, fit_forest, fit_seasonal, importances, predict, predict_amount, predict_seasonal,
+    Grower, calibrated, fit_amount, fit_boosted, fit_forest, fit_seasonal, importances, predict, predict_amount, predict_seasonal,
 )
 from rainloom.operators.profile import best_per_group
-from rainloom.operators.splits import split_at
+from rainloom.operators.splits import assign_folds, split_at
 from rainloom.plans.evaluation import (
-    ablation, approaches_station_out, decided, evaluate, evaluate_by_station, lead_comparison, leave_one_out, out_of_fold,
-    source_matrix, transfer, weighted_by_hours,
+    ablation, approaches_station_out, cross_fitted, decided, evaluate, evaluate_by_station, fit_each, lead_comparison,
+    leave_one_out, out_of_fold, predict_each, source_matrix, stack, stacked_leave_one_out, transfer, weighted_by_hours,
 )
 from rainloom.plans.serving import publish, score_ensemble, score_hours, serving_frame
 from rainloom.plans.training import retrain, train_ensemble, train_regional
@@ -38,8 +40,12 @@ KEY = ["station_id"]
 Y = "target_will_rain"
 CUTS = ("2024-01-18 00:00:00", "2024-01-24 00:00:00")
 NAMES = ("train", "calibrate", "test")
-#: Models of other stations are shallower and have larger leaves than the champion.
-regional = partial(fit_forest, trees=300, depth=12, leaf=20)
+#: Models of other stations are shallower and have larger leaves than the champion, and balance every bag.
+regional = Grower(ForestSettings(trees=300, depth=12, least_rows=20, balance="bag"), "rain-regional", complete=True)
+#: The champion's settings, for the many first models of a stack.
+champions = Grower(ForestSettings(trees=200, depth=15, least_rows=1, balance="all"), "rain", complete=True)
+#: Models of the forecast hour and its neighbours.
+phase_forest = partial(fit_forest, trees=300, depth=12, leaf=5)
 _moment = lambda text: F.lit(text).cast("timestamp_ntz")
 
 
@@ -94,7 +100,7 @@ def rf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models side by side over the coming hours, published and merged into the history."""
     rows = training_rows(spark, sf_dir)
     champion = champion_of(rows)
-    second = regional(part(rows, "train"), ALL_FEATURES, Y, name="rain-regional")
+    second = regional(part(rows, "train"), ALL_FEATURES, Y)
     scored = score_hours(_serving(spark, sf_dir, ALL_FEATURES), champion, _moment("2024-01-20 06:30:00"), second)
     latest, history = scratch_path(spark, "latest"), scratch_path(spark, "history")
     publish(scored, latest, history, ["station_id", "inferencia_local", "target_time"])
@@ -153,13 +159,14 @@ def gbt_mos(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(labelled(spark, sf_dir).withColumn("period", F.date_format(T, "yyyy-MM-dd")), "mos-rows")
     train, test = rows.where(F.col(T) < _moment(CUTS[1])), rows.where(F.col(T) >= _moment(CUTS[1]))
     names = ensemble_feature_names()
-    oof = materialize(out_of_fold(train, ["period"], 4, names, "y", fit_boosted), "oof")
-    from dataclasses import replace
-
-    from rainloom.operators.metrics import best_threshold, threshold_sweep
-
+    # the models of the folds and the final one grow in the same jobs
+    folded = materialize(assign_folds(train, ["period"], 4), "mos-folds")
+    mine = {str(n): F.col("fold") == n for n in range(4)}
+    models = fit_each(fit_boosted, folded, names, "y", {k: ~c for k, c in mine.items()} | {"all": F.lit(True)})
+    final = models.pop("all")
+    oof = materialize(predict_each(models, folded, mine), "oof")
     threshold = best_threshold(threshold_sweep(oof, [], "score", "y", grid(*SWEEP_ENSEMBLE)), []).first()["threshold"]
-    scored = materialize(decided(replace(fit_boosted(train, names, "y"), threshold=threshold), test, "mos"), "tested")
+    scored = materialize(decided(replace(final, threshold=threshold), test, "mos"), "tested")
     out = evaluate(scored, ["abordagem", "threshold"], "y")
     return out.withColumn("brier", scored.agg(brier("score", "y")).scalar())
 
@@ -190,14 +197,19 @@ def approach_comparison_with_model(spark: SparkSession, sf_dir: str) -> DataFram
     return evaluate(materialize(long, "approaches"), ["abordagem"], "y")
 
 
+def station_forecasts(spark: SparkSession, sf_dir: str, ahead_hours: int = 2) -> DataFrame:
+    """Six models' forecasts of three stations with a measured event: rain a few hours later."""
+    wide = ensemble_features(model_forecasts(spark, sf_dir, live_name, stations=3), KEY, live_name)
+    ahead = lambda w: {"y": (F.lead("p_best_match", ahead_hours).over(w) > 0).cast("int")}
+    return over_blocks(wide, KEY, T, 0, ahead_hours, ahead).dropna(subset=["y", "p_best_match"])
+
+
 @query()
 def approaches_by_held_out_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four approaches with each station left out, and their means weighted by test hours."""
-    wide = ensemble_features(model_forecasts(spark, sf_dir, live_name, stations=3), KEY, live_name)
-    ahead = lambda w: {"y": (F.lead("p_best_match", 2).over(w) > 0).cast("int")}
-    rows = materialize(over_blocks(wide, KEY, T, 0, 2, ahead).dropna(subset=["y", "p_best_match"]), "stations")
+    rows = materialize(station_forecasts(spark, sf_dir), "stations")
     long = materialize(approaches_station_out(
-        rows, "station_id", "y", ensemble_feature_names(), _moment(CUTS[1]), fit_boosted, grid(*SWEEP_ENSEMBLE), folds=2, at_least=10
+        rows, "station_id", "y", ensemble_feature_names(), _moment(CUTS[1]), fit_boosted, grid(*SWEEP_ENSEMBLE), folds=4, at_least=10
     ), "approaches")
     per_station = evaluate(long, ["abordagem", "station_id"], "y").select("abordagem", "station_id", "f1", "n")
     means = weighted_by_hours(per_station, ["abordagem"]).withColumn("station_id", F.lit("todas"))
@@ -206,12 +218,26 @@ def approaches_by_held_out_station(spark: SparkSession, sf_dir: str) -> DataFram
 
 @query()
 def loso_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each station tested by models that never saw it, with and without the champion's
-    probability as an input; per station and pooled."""
+    """Each station tested by models that never saw it: a regional one, one with the champion's
+    probability as an input, the champion itself and persistence; per station and pooled.
+
+    The champion's probability of a row comes from a model that saw neither the held-out station nor
+    the fold of stations the row belongs to.
+    """
     rows = training_rows(spark, sf_dir)
-    stacked = materialize(predict(champion_of(rows), rows, "p_champ"), "stacked")
-    variants = {"regional": BASE_FEATURES, "regional_mais_champ": [*BASE_FEATURES, "p_champ"]}
-    pooled = materialize(leave_one_out(stacked, "station_id", Y, variants, regional, grid(*SWEEP_REGIONAL), at_least=10), "loso")
+    stacked = materialize(cross_fitted(rows, "station_id", BASE_FEATURES, Y, champions, "p_champ"), "stacked")
+    own = stacked.where("split = 'test'")
+    places = F.array(*[F.lit(r[0]) for r in rows.select("station_id").distinct().orderBy("station_id").collect()])
+    p_own = F.col("p_champ")[(F.array_position(places, F.col("station_id")) - 1).cast("string")]
+    sweep = grid(*SWEEP_REGIONAL)
+    regionals = leave_one_out(stacked.drop("p_champ"), "station_id", Y, {"regional": BASE_FEATURES}, regional, sweep, at_least=10)
+    both = stacked_leave_one_out(stacked, "station_id", Y, BASE_FEATURES, "p_champ", regional, sweep, "regional_mais_champ", at_least=10)
+    wet = F.col("precipitation") > 0
+    plain = long_decisions(own.withColumn("_own", p_own), ["station_id", Y], {
+        "champion": (F.col("_own") >= 0.5, F.col("_own")), "persistencia": (wet, F.lit(None)),
+    })
+    shared = ["station_id", Y, "score", "pred", "abordagem"]
+    pooled = materialize(stack([regionals.select(shared), both.select(shared), plain.select(shared)]), "loso")
     return evaluate_by_station(pooled, ["abordagem"], "station_id", Y)
 
 
@@ -225,11 +251,11 @@ def regional_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ensemble_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ensemble model judged against the raw forecast with stations left out, and its ledger row."""
-    rows = training_rows(spark, sf_dir).withColumn("p_best_match", F.col("precipitation"))
+    """Boosted model on six models' forecasts, judged against the raw forecast with stations left out, and its ledger row."""
+    rows = materialize(station_forecasts(spark, sf_dir), "stations")
     _, ledger = train_ensemble(
-        rows, "station_id", BASE_FEATURES, Y, "p_best_match", _moment(CUTS[1]), fit_forest, 1, _moment("2024-02-01 00:00:00"),
-        folds=2, at_least=10,
+        rows, "station_id", ensemble_feature_names(), "y", "p_best_match", _moment(CUTS[1]), fit_boosted, 1, _moment("2024-02-01 00:00:00"),
+        folds=3, at_least=10,
     )
     return ledger
 
@@ -278,7 +304,7 @@ def champion_on_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = {0: dense} | {
         n: over_blocks(dense, KEY, T, n, 0, lambda w: {c: F.lag(c, n).over(w) for c in RAW_COLUMNS}) for n in (1, 2)
     }
-    return evaluate(lead_comparison(runs, truth, KEY, champion, fit_forest, CUTS, grid(*SWEEP_RETRAIN)), ["abordagem"], "y")
+    return evaluate(lead_comparison(runs, truth, KEY, champion, phase_forest, CUTS, grid(*SWEEP_RETRAIN)), ["abordagem"], "y")
 
 
 @query()

@@ -130,13 +130,18 @@ def retrain_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_rows_gate(observations(spark, sf_dir), _moment("2024-01-20 00:00:00"), _moment("2024-01-28 00:00:00"), 720)
 
 
-@query("WITH" + REGION_DAYS_SQL + """,
+@query("WITH RECURSIVE" + REGION_DAYS_SQL + """,
 g AS (SELECT strftime(observation_time, '%Y-%m') AS period, COUNT(*) AS n FROM rd GROUP BY 1),
-o AS (SELECT period, ROW_NUMBER() OVER (ORDER BY n DESC, period) - 1 AS no FROM g),
-f AS (SELECT period, CAST(CASE WHEN (no // 4) % 2 = 0 THEN no % 4 ELSE 3 - no % 4 END AS INTEGER) AS fold FROM o)
-SELECT period, fold, COUNT(*) AS n FROM rd JOIN f ON strftime(observation_time, '%Y-%m') = period GROUP BY 1, 2""")
+o AS (SELECT period, n, ROW_NUMBER() OVER (ORDER BY n DESC, period) AS no FROM g),
+dealt AS (
+  SELECT CAST(0 AS BIGINT) AS no, CAST(NULL AS VARCHAR) AS period, -1 AS fold, CAST([0, 0, 0, 0] AS BIGINT[]) AS load
+  UNION ALL
+  SELECT o.no, o.period, CAST(list_position(d.load, list_min(d.load)) - 1 AS INTEGER),
+         list_transform(d.load, lambda x, i: x + CASE WHEN i = list_position(d.load, list_min(d.load)) THEN o.n ELSE 0 END)
+  FROM dealt d JOIN o ON o.no = d.no + 1)
+SELECT d.period, CAST(d.fold AS INTEGER) AS fold, g.n FROM dealt d JOIN g ON d.period = g.period""")
 def group_fold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months to four folds of near-equal size."""
+    """Months to four folds: the largest month next, to the fold with fewest days."""
     days = region_days(spark, sf_dir).withColumn("period", F.date_format(T, "yyyy-MM"))
     return assign_folds(days, ["period"], 4).groupBy("period", "fold").agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainloom.functions.numeric import clip_at_zero, cycle
 from rainloom.functions.timeparts import day_index
+from rainloom.operators.bagging import Forest, ForestSettings, forests
+from rainloom.operators.boosting import Ensemble, Settings, chances, ensembles
 from rainloom.operators.metrics import balanced_weights, best_threshold, threshold_sweep
 
 SEED = 42
@@ -28,24 +30,50 @@ class Fitted:
     threshold: float = 0.5
     name: str = "model"
     version: int = 1
-    flags: list[str] = field(default_factory=list)
 
     @property
     def label(self) -> str:
         return f"{self.name} v{self.version}"
 
 
-def missing_flag_names(columns: list[str]) -> list[str]:
-    return [f"{c}_missing" for c in columns]
+@dataclass(frozen=True)
+class Grown:
+    """Like ``Fitted``, for the trees of ``boosting`` and ``bagging``."""
+
+    trees: Ensemble | Forest
+    features: list[str]
+    threshold: float = 0.5
+    name: str = "model"
+    version: int = 1
+
+    @property
+    def label(self) -> str:
+        return f"{self.name} v{self.version}"
+
+
+@dataclass(frozen=True)
+class Grower:
+    """Fits models of histogram trees, one or many at once in the same jobs."""
+
+    settings: Settings | ForestSettings
+    name: str
+    #: rows with a missing input take no part
+    complete: bool = False
 
+    def many(self, rows: DataFrame, features: list[str], label: str, masks: dict[str, Column]) -> dict[str, Grown]:
+        """A model for every mask, from the rows for which it is true."""
+        known = rows.dropna(subset=features) if self.complete else rows
+        fit = forests if isinstance(self.settings, ForestSettings) else ensembles
+        return {m: Grown(trees, features, name=self.name) for m, trees in fit(known, features, label, masks, self.settings).items()}
 
-def with_missing_flags(df: DataFrame, columns: list[str]) -> DataFrame:
-    """0/1 columns telling which inputs were missing before imputation."""
-    return df.withColumns({f: F.col(c).isNull().cast("double") for c, f in zip(columns, missing_flag_names(columns))})
+    def __call__(self, train: DataFrame, features: list[str], label: str, name: str | None = None, version: int = 1) -> Grown:
+        model = self.many(train, features, label, {"all": F.lit(True)})["all"]
+        return replace(model, name=name or self.name, version=version)
 
 
-def _as_double(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+#: Gradient boosting with missing inputs as data, and forests whose bags are balanced one by one.
+fit_boosted = Grower(Settings(), "boosted")
+fit_bagged = Grower(ForestSettings(), "forest", complete=True)
 
 
 def fit_forest(
@@ -64,60 +92,47 @@ def fit_forest(
     return Fitted(stages, features, name=name, version=version)
 
 
-def fit_boosted(
-    train: DataFrame, features: list[str], label: str, rounds: int = 300, step: float = 0.05, depth: int = 5,
-    name: str = "boosted", version: int = 1,
-) -> Fitted:
-    """Gradient boosting that accepts missing inputs: medians plus missing flags."""
-    known = [f for f in features]
-    rows = with_missing_flags(_as_double(train.dropna(subset=[label]), known), known)
-    rows = rows.withColumn(label, F.col(label).cast("double"))
-    filled = [f"{c}_filled" for c in known]
-    flags = missing_flag_names(known)
-    stages = Pipeline(stages=[
-        Imputer(strategy="median", inputCols=known, outputCols=filled),
-        VectorAssembler(inputCols=[*filled, *flags], outputCol="_x"),
-        GBTClassifier(featuresCol="_x", labelCol=label, maxIter=rounds, stepSize=step, maxDepth=depth, seed=SEED),
-    ]).fit(rows)
-    return Fitted(stages, features, name=name, version=version, flags=flags)
-
-
-def predict(model: Fitted, df: DataFrame, probability: str = "prob") -> DataFrame:
+def predict(model: Fitted | Grown, df: DataFrame, probability: str = "prob") -> DataFrame:
     """Add the probability of the event; other columns stay, in one pass."""
-    rows = with_missing_flags(_as_double(df, model.features), model.features) if model.flags else df
-    scored = model.stages.transform(rows).withColumn(probability, vector_to_array("probability")[1])
+    if isinstance(model, Grown):
+        return df.select(*df.columns, chances({"": model.trees}, df, model.features)[0]["score"].alias(probability))
+    scored = model.stages.transform(df).withColumn(probability, vector_to_array("probability")[1])
     return scored.select(*df.columns, probability)
 
 
-def calibrated(model: Fitted, calibration: DataFrame, label: str, thresholds: list[float]) -> Fitted:
+def calibrated(model: Fitted | Grown, calibration: DataFrame, label: str, thresholds: list[float]) -> Fitted | Grown:
     """The model with the threshold of best F1 on rows it was not fitted to."""
     scored = predict(model, calibration, "_p").where(F.col(label).isNotNull())
     row = best_threshold(threshold_sweep(scored, [], "_p", label, thresholds), []).select("threshold").first()
-    return model if row is None else Fitted(
-        model.stages, model.features, row["threshold"], model.name, model.version, model.flags
-    )
+    return model if row is None else replace(model, threshold=row["threshold"])
 
 
-def importances(model: Fitted, top: int | None = None) -> list[tuple[str, float]]:
+def importances(model: Fitted | Grown, top: int | None = None) -> list[tuple[str, float]]:
     """Inputs by importance, largest first; as many entries as the model has inputs."""
-    vector = model.stages.stages[-1].featureImportances.toArray()
-    names = [*model.features, *model.flags]
-    ranked = sorted(zip(names, (float(v) for v in vector)), key=lambda e: (-e[1], e[0]))
+    shares = model.trees.gains() if isinstance(model, Grown) else model.stages.stages[-1].featureImportances.toArray()
+    ranked = sorted(zip(model.features, (float(v) for v in shares)), key=lambda e: (-e[1], e[0]))
     return ranked[:top] if top else ranked
 
 
-def save_model(spark: SparkSession, model: Fitted, path: str) -> None:
+def save_model(spark: SparkSession, model: Fitted | Grown, path: str) -> None:
     """Model files plus one row of facts, so that serving follows the model's own inputs."""
-    model.stages.write().save(f"{path}/stages")
-    facts = json.dumps({
-        "features": model.features, "threshold": model.threshold, "name": model.name, "version": model.version, "flags": model.flags,
-    })
-    spark.createDataFrame([(facts,)], "value string").coalesce(1).write.text(f"{path}/facts")
+    facts = {"features": model.features, "threshold": model.threshold, "name": model.name, "version": model.version}
+    if isinstance(model, Grown):
+        kind = "forest" if isinstance(model.trees, Forest) else "boosted"
+        spark.createDataFrame([(model.trees.dumps(),)], "value string").coalesce(1).write.text(f"{path}/trees")
+    else:
+        kind = "stages"
+        model.stages.write().save(f"{path}/stages")
+    spark.createDataFrame([(json.dumps(facts | {"kind": kind}),)], "value string").coalesce(1).write.text(f"{path}/facts")
 
 
-def load_model(spark: SparkSession, path: str) -> Fitted:
+def load_model(spark: SparkSession, path: str) -> Fitted | Grown:
     facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
-    return Fitted(PipelineModel.load(f"{path}/stages"), **facts)
+    kind = facts.pop("kind")
+    if kind == "stages":
+        return Fitted(PipelineModel.load(f"{path}/stages"), **facts)
+    text = spark.read.text(f"{path}/trees").first()["value"]
+    return Grown((Forest if kind == "forest" else Ensemble).loads(text), **facts)
 
 
 # --- amounts ----------------------------------------------------------------------------

@@ -70,16 +70,56 @@ def new_rows_gate(df: DataFrame, trained_until: Column, as_of: Column, at_least:
     return df.agg(fresh.alias("novos")).select("novos", (F.col("novos") >= at_least).alias("retreinar"))
 
 
+def fold_turns(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """Turns of the rule "next largest group to the fold with fewest rows, the first of equals".
+
+    ``sizes``: how many groups there are of each size. A turn ``(size, first, end, order)`` gives the
+    groups of one size from the first to before the end to the folds of ``order`` in rotation: folds
+    less than one size apart take one group each before any takes a second. A size has at most as
+    many turns as there are folds.
+    """
+    load, turns = [0] * folds, []
+    for size, count in sorted(sizes, reverse=True):
+        done = 0
+        while done < count:
+            least = min(load)
+            order = sorted((f for f in range(folds) if load[f] - least < size), key=lambda f: (load[f], f))
+            others = [load[f] for f in range(folds) if load[f] - least >= size]
+            rounds = (min(others) - least) // size if others else count
+            taken = min(count - done, rounds * len(order))
+            turns.append((size, done, done + taken, order))
+            for place, f in enumerate(order):
+                load[f] += size * (taken // len(order) + (place < taken % len(order)))
+            done += taken
+    return turns
+
+
+def fold_numbers(sizes: dict, folds: int) -> dict:
+    """Fold of each of a few groups, given their rows: the rule of ``assign_folds``."""
+    order = sorted(sizes, key=lambda g: (-sizes[g], g is not None, "" if g is None else g))
+    load, found = [0] * max(1, min(folds, len(sizes))), {}
+    for g in order:
+        found[g] = load.index(min(load))
+        load[found[g]] += sizes[g]
+    return found
+
+
 def assign_folds(df: DataFrame, group: list[str], folds: int) -> DataFrame:
-    """Whole groups to folds of near-equal size. Never more folds than groups; a null group is one.
+    """Whole groups to folds: the largest group next, to the fold with fewest rows.
 
-    Groups in descending order of their rows are dealt to the folds there and back, so each fold
-    gets one large and one small group of every two turns. The numbering works on ranges of the
-    groups, the same way for any number of them.
+    Never more folds than groups; a null group is one. Equally large groups follow each other in the
+    order of their keys, nulls first. The groups are numbered range by range; the driver sees how many
+    groups there are of each size (at most the square root of twice the rows) and states turns.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
     numbered = positions(sizes, [F.desc("_rows"), *[F.asc_nulls_first(g) for g in group]], "_no")
-    used = F.least(F.lit(folds), numbered.agg(F.count(F.lit(1))).scalar())
-    turn, place = F.floor(F.col("_no") / used), F.col("_no") % used
-    fold = F.when(turn % 2 == 0, place).otherwise(used - 1 - place).cast("int")
-    return join_on(df, numbered.select(*group, fold.alias("fold")), group)
+    kinds = numbered.groupBy("_rows").agg(F.count(F.lit(1)).alias("n"), F.min("_no").alias("first")).collect()
+    firsts = {r["_rows"]: r["first"] for r in kinds}
+    turns = fold_turns([(r["_rows"], r["n"]) for r in kinds], max(1, min(folds, sum(r["n"] for r in kinds))))
+    stated = df.sparkSession.createDataFrame(
+        [(size, firsts[size] + first, firsts[size] + end, order) for size, first, end, order in turns], "_size long, _first long, _end long, _order array<int>"
+    )
+    mine = (F.col("_rows") == F.col("_size")) & (F.col("_no") >= F.col("_first")) & (F.col("_no") < F.col("_end"))
+    place = F.pmod(F.col("_no") - F.col("_first"), F.size("_order")).cast("int")
+    placed = numbered.join(stated, mine).select(*group, F.col("_order")[place].alias("fold"))
+    return join_on(df, placed, group)

@@ -10,10 +10,12 @@ from rainloom.constants import (
     ENSEMBLE_VERSIONS_DDL, MODEL_VERSIONS_DDL, REGIONAL_VERSIONS_DDL, SWEEP_ENSEMBLE, SWEEP_REGIONAL, SWEEP_RETRAIN,
 )
 from rainloom.operators.ledger import conform, should_promote
-from rainloom.operators.metrics import best_threshold, brier, grid, median_threshold, threshold_sweep
+from rainloom.operators.metrics import brier, grid, median_threshold
 from rainloom.operators.models import Fitted, calibrated
-from rainloom.operators.splits import rolling_split
-from rainloom.plans.evaluation import Fit, decided, evaluate, groups_of, leave_one_out, out_of_fold, stack
+from rainloom.operators.splits import large_enough, rolling_split
+from rainloom.plans.evaluation import (
+    Fit, decided, evaluate, fit_each, folded_thresholds, groups_of, leave_one_out, predict_each, stack, station_folds,
+)
 from rainloom.session import materialize
 
 T = "observation_time"
@@ -64,7 +66,7 @@ def train_regional(
     median of the stations' thresholds."""
     spark = split.sparkSession
     pooled = materialize(
-        leave_one_out(split, station, label, {"regional": features}, fit, grid(*SWEEP_REGIONAL), at_least), "regional"
+        leave_one_out(split, station, label, {"regional": features}, fit, grid(*SWEEP_REGIONAL), at_least, calibrate_at_least=at_least), "regional"
     )
     threshold = median_threshold(pooled.select(station, "threshold").distinct()).first()["threshold"]
     final = replace(fit(split, features, label), threshold=threshold, version=version)
@@ -88,20 +90,21 @@ def train_ensemble(
 ) -> tuple[Fitted, DataFrame]:
     """Model on the forecasts of several models for measured rain, judged with each station
     left out and against the raw forecast on the same hours. Thresholds come from
-    out-of-fold scores of the training rows, whole stations per fold."""
-    parts = []
-    for held_out in groups_of(rows, station):
-        train = rows.where((~F.col(station).eqNullSafe(F.lit(held_out))) & (F.col(T) < cut))
-        test = rows.where((F.col(station).eqNullSafe(F.lit(held_out))) & (F.col(T) >= cut))
-        if test.limit(at_least).count() < at_least:
-            continue
-        oof = out_of_fold(train, [station], folds, features, label, fit)
-        threshold = best_threshold(threshold_sweep(oof, [], "score", label, grid(*SWEEP_ENSEMBLE)), []).first()["threshold"]
-        model = replace(fit(train, features, label), threshold=threshold)
-        parts.append(decided(model, test, "mos").select(station, label, api, "score", "pred", "threshold"))
-    pooled = materialize(stack(parts), "ensemble")
+    out-of-fold scores of the training rows, whole stations per fold. All models, the final
+    one too, are fitted together."""
+    tested, _ = large_enough(rows.where(F.col(T) >= cut), [station], at_least)
+    held = {str(k): value for k, value in enumerate(groups_of(tested, station))}
+    learns, scores = station_folds(rows, station, held, cut, folds)
+    models = fit_each(fit, rows, features, label, learns | {"final": F.lit(True)})
+    final = models.pop("final")
+    scored = materialize(predict_each(models, rows, scores), "ensemble-scores")
+    test = scored.where(F.col("model").endswith(":all")).withColumn("held", F.split_part("model", F.lit(":"), F.lit(1)))
+    test = test.join(folded_thresholds(scored, label, grid(*SWEEP_ENSEMBLE)), "held")
+    pooled = materialize(
+        test.select(station, label, api, "score", (F.col("score") >= F.col("threshold")).cast("int").alias("pred"), "threshold"), "ensemble"
+    )
     threshold = median_threshold(pooled.select(station, "threshold").distinct()).first()["threshold"]
-    final = replace(fit(rows, features, label), threshold=threshold, version=version)
+    final = replace(final, threshold=threshold, version=version)
     scores = evaluate(pooled, [], label).withColumns(_facts(final, rows, pooled, station, label, created_at))
     baseline = evaluate(
         pooled.withColumn("pred", F.coalesce((F.col(api) > 0).cast("int"), F.lit(0))).withColumn("score", F.coalesce(api, F.lit(0.0))), [], label

@@ -11,7 +11,7 @@ from rainloom.functions.labels import alert_level, outcome
 from rainloom.functions.timeparts import gauge_day, hour_floor, hour_from_index, hour_index, lead_hours, lead_range
 from rainloom.operators.ensemble_features import ensemble_feature_names, ensemble_features
 from rainloom.operators.joins import all_but_own, monthly_index_filled
-from rainloom.operators.models import calibrated, fit_boosted, fit_forest, importances, load_model, predict, save_model
+from rainloom.operators.models import calibrated, fit_forest, importances, load_model, predict, save_model
 from rainloom.operators.splits import assign_folds, large_enough, months_before, rolling_split, trailing_per_group
 from rainloom.operators.verification import accuracy_hourly, lag_scores, latest_before_target, shifted_join
 from tests.series import T, as_set, at
@@ -140,11 +140,3 @@ def test_forest_learns_calibrates_and_round_trips(spark, learnable, tmp_path):
     again = load_model(spark, str(tmp_path / "m"))
     assert (again.features, again.threshold, again.label) == (["x", "z"], model.threshold, "forest v1")
     assert as_set(predict(model, learnable)) == as_set(predict(again, learnable))
-
-
-def test_boosting_accepts_missing_inputs(spark, learnable):
-    holes = learnable.withColumn("z", F.when(F.col("x") != 3, F.col("z")))
-    model = fit_boosted(holes, ["x", "z"], "y", rounds=3, depth=2)
-    out = predict(model, holes)
-    assert out.columns == ["x", "z", "y", "prob"] and out.where("prob IS NULL").count() == 0
-    assert predict(model, holes.where("y = 1")).agg(F.avg("prob")).first()[0] > 0.5
