@@ -23,9 +23,10 @@ from rainloom.operators.blocks import over_blocks
 from rainloom.operators.ensemble_features import ensemble_feature_names, ensemble_features
 from rainloom.operators.metrics import best_threshold, brier, grid, regression_metrics, threshold_sweep
 from rainloom.operators.models import (
-    Grower, calibrated, fit_amount, fit_boosted, fit_forest, fit_seasonal, importances, predict, predict_amount, predict_seasonal,
+    Grower, calibrated, fit_amount, fit_boosted, fit_forest, importances, predict, predict_amount,
 )
 from rainloom.operators.profile import best_per_group
+from rainloom.operators.seasonal import fit_seasonal, predict_seasonal
 from rainloom.operators.splits import assign_folds, split_at
 from rainloom.plans.evaluation import (
     ablation, approaches_station_out, cross_fitted, decided, evaluate, evaluate_by_station, fit_each, lead_comparison,
@@ -309,7 +310,7 @@ def champion_on_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def seasonal_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily amounts from trend, yearly and weekly waves; errors on the last years."""
+    """Daily amounts from a trend with change points times yearly and weekly seasons; errors on the last years."""
     daily = region_days(spark, sf_dir).groupBy(F.to_date(T).alias("ds")).agg(F.sum("precipitation").alias("y"))
     daily = materialize(daily, "daily")
     cut = F.lit("2000-01-01").cast("date")

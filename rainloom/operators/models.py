@@ -9,11 +9,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rainloom.functions.numeric import clip_at_zero, cycle
-from rainloom.functions.timeparts import day_index
+from rainloom.functions.numeric import clip_at_zero
 from rainloom.operators.bagging import Forest, ForestSettings, forests
 from rainloom.operators.boosting import Ensemble, Settings, chances, ensembles
 from rainloom.operators.metrics import balanced_weights, best_threshold, threshold_sweep
@@ -150,30 +149,3 @@ def predict_amount(gate: Fitted, amount_model: PipelineModel, df: DataFrame, out
     scored = amount_model.transform(gated)
     value = F.when(F.col("_gate") >= gate.threshold, clip_at_zero(F.col("_amount"))).otherwise(F.lit(0.0))
     return scored.withColumn(out, value).select(*df.columns, out)
-
-
-# --- daily amounts with seasons ----------------------------------------------------------
-
-YEARLY_WAVES, WEEKLY_WAVES, YEAR_DAYS = 10, 3, 365.25
-
-
-def seasonal_columns(day: Column) -> dict[str, Column]:
-    """Trend, yearly and weekly waves of a day."""
-    position = day_index(day).cast("double")
-    out = {"trend": position / YEAR_DAYS}
-    for name, waves, period in (("year", YEARLY_WAVES, YEAR_DAYS), ("week", WEEKLY_WAVES, 7.0)):
-        for k in range(1, waves + 1):
-            out[f"{name}_sin_{k}"], out[f"{name}_cos_{k}"] = cycle(position * k, period)
-    return out
-
-
-def fit_seasonal(daily: DataFrame, day: str, amount: str, penalty: float = 0.01) -> PipelineModel:
-    columns = seasonal_columns(F.col(day))
-    rows = daily.withColumns(columns)
-    line = LinearRegression(featuresCol="_x", labelCol=amount, predictionCol="_yhat", regParam=penalty)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="_x"), line]).fit(rows)
-
-
-def predict_seasonal(model: PipelineModel, days: DataFrame, day: str, out: str = "yhat") -> DataFrame:
-    scored = model.transform(days.withColumns(seasonal_columns(F.col(day))))
-    return scored.withColumn(out, clip_at_zero(F.col("_yhat"))).select(*days.columns, out)
