@@ -179,6 +179,7 @@ def forecast_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         prob.alias("prob_chuva"),
         (prob >= 0.5).cast("int").alias("pred_vai_chover"),
         F.greatest(F.round(F.abs("l_tax") * 100, 0) - 4, F.lit(0.0)).alias("api_precip_alvo"),
+        F.lit(0.5).alias("threshold_usado"), F.concat(F.lit("rain v"), F.col("l_linenumber") % 3).alias("modelo"),
         "l_orderkey", "l_linenumber",
     )
 
@@ -196,7 +197,8 @@ fc AS (
   SELECT l_suppkey AS station_id, l_shipdate AS target_time, o_orderdate AS inferencia_local,
          ROUND(ABS(l_discount) * 10, 4) AS prob_chuva,
          CASE WHEN ROUND(ABS(l_discount) * 10, 4) >= 0.5 THEN 1 ELSE 0 END AS pred_vai_chover,
-         GREATEST(ROUND(ABS(l_tax) * 100, 0) - 4, 0) AS api_precip_alvo, l_orderkey, l_linenumber
+         GREATEST(ROUND(ABS(l_tax) * 100, 0) - 4, 0) AS api_precip_alvo,
+         CAST(0.5 AS DOUBLE) AS threshold_usado, 'rain v' || CAST(l_linenumber % 3 AS VARCHAR) AS modelo, l_orderkey, l_linenumber
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 truth AS (
   SELECT o_orderdate AS observation_time,

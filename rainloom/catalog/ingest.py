@@ -13,7 +13,8 @@ from rainloom.functions.timeparts import hour_floor, month_floor, utc_to_zone
 from rainloom.operators.grid import densify, keep_one, merge_repeated_hours
 from rainloom.operators.profile import top
 from rainloom.sources.planner import missing_periods
-from rainloom.sources.series_json import pack_series, unpack_series
+from rainloom.sources.series_json import normalise_names, pack_series, read_stored, stored_periods, unpack_series, write_series
+from rainloom.session import scratch_path
 from rainloom.sources.tables import from_source, from_sql, horizon, read_table, required, since, up_to
 
 
@@ -228,3 +229,27 @@ def global_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("ts").alias("first_time"), F.max("ts").alias("last_time"), F.count(F.lit(1)).alias("n"),
         F.round(exact_sum(F.col("value")), 2).alias("total"), F.round(exact_mean(F.col("value")), 6).alias("mean"),
     )
+
+
+@query("WITH" + CELLS_SQL + """,
+kept AS (SELECT station_id, CAST(observation_time AS DATE) AS day, temperature_2m FROM cells
+         WHERE station_id <> 'error' OR observation_time < TIMESTAMP '2024-01-11 00:00:00'),
+days AS (SELECT station_id, CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT DISTINCT station_id FROM cells)),
+stored AS (SELECT station_id, day, COUNT(*) AS hours, CAST(SUM(CAST(temperature_2m AS DECIMAL(28,6))) AS DOUBLE) AS total FROM kept GROUP BY 1, 2)
+SELECT d.station_id, CAST(d.day AS TIMESTAMP) AS period, CASE WHEN s.day IS NULL THEN 'missing' WHEN d.day = DATE '2024-01-31' THEN 'open' ELSE 'kept' END AS state,
+       coalesce(s.hours, 0) AS hours, s.total FROM days d LEFT JOIN stored s ON d.station_id = s.station_id AND d.day = s.day""")
+def series_folder_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series files in a folder as the source: written per station and day, planned from the listing, read and renamed."""
+    cells = observations(spark, sf_dir).select("station_id", "observation_time", "temperature_2m", F.col("relative_humidity").alias("relative_humidity_2m"))
+    landed = cells.where("station_id <> 'error' OR observation_time < TIMESTAMP_NTZ '2024-01-11 00:00:00'")
+    folder = scratch_path(spark, "series")
+    variables = ["temperature_2m", "relative_humidity_2m"]
+    write_series(pack_series(landed, ["station_id"], "observation_time", variables), folder)
+    stations, as_of = cells.select("station_id").distinct(), F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
+    plan = missing_periods(stations, ["station_id"], stored_periods(spark, folder), "2024-01-01", as_of, period="day")
+    rows = normalise_names(read_stored(spark, folder, variables))
+    read = rows.groupBy("station_id", "period").agg(F.count("relative_humidity").alias("hours"), F.sum(F.col("temperature_2m").cast("decimal(28,6)")).cast("double").alias("total"))
+    due = stations.select("station_id", F.explode(F.expr("sequence(DATE '2024-01-01', DATE '2024-01-31')")).alias("period"))
+    return due.join(plan, ["station_id", "period"], "left").join(read, ["station_id", "period"], "left").select(
+        "station_id", F.col("period").cast("timestamp_ntz").alias("period"), F.coalesce("reason", F.lit("kept")).alias("state"), F.coalesce("hours", F.lit(0)).alias("hours"), "total"
+    )

@@ -9,6 +9,7 @@ from rainloom.catalog.bindings import (
     observations, region_days,
 )
 from rainloom.catalog.registry import query
+from rainloom.constants import LEAD_RANGES, LEAD_REST, OUTCOME_LABELS
 from rainloom.functions.labels import event
 from rainloom.functions.numeric import exact_sum, guarded_corr, ratio, share
 from rainloom.functions.timeparts import month_floor
@@ -19,6 +20,8 @@ from rainloom.operators.profile import best_per_group
 from rainloom.operators.verification import (
     accuracy_by_lead, accuracy_hourly, contingency, lag_scores, latest_before_target, shifted_join,
 )
+from rainloom.plans.views import HOURLY, create_views, external_table
+from rainloom.session import scratch_path
 from rainloom.sinks.tables import register_view
 from rainloom.sources.tables import from_sql, read_table
 
@@ -119,52 +122,65 @@ SELECT station_id, target_time, inferencia_local, prob_chuva, l_orderkey, l_line
 def latest_before_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of match: the last forecast issued before its target. Line numbers repeat within an
     order, so the probability completes the order."""
-    history = forecast_history(spark, sf_dir).drop("pred_vai_chover", "api_precip_alvo")
+    history = forecast_history(spark, sf_dir).drop("pred_vai_chover", "api_precip_alvo", "threshold_usado", "modelo")
     return latest_before_target(history, ["station_id"], ["l_orderkey", "l_linenumber", "prob_chuva"])
 
 
-@query("WITH" + FORECASTS_SQL + """,
+_OUTCOME_SQL = " ".join(f"WHEN choveu = {t} AND pred_vai_chover = {p} THEN '{name}'" for (t, p), name in OUTCOME_LABELS.items())
+_HOURLY_SQL = "WITH" + FORECASTS_SQL + f""",
 u AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY station_id, target_time ORDER BY inferencia_local DESC, l_orderkey DESC, l_linenumber DESC, prob_chuva DESC, api_precip_alvo DESC) AS rn
-      FROM fc WHERE inferencia_local < target_time)
-SELECT station_id, target_time, inferencia_local, prob_chuva, pred_vai_chover, api_precip_alvo,
-       CAST(api_precip_alvo > 0 AS INTEGER) AS api_vai_chover, precipitation AS chuva_real_mm, CAST(precipitation > 0 AS INTEGER) AS choveu,
-       CASE WHEN precipitation > 0 AND pred_vai_chover = 1 THEN 'Verdadeiro Positivo'
-            WHEN precipitation = 0 AND pred_vai_chover = 0 THEN 'Verdadeiro Negativo'
-            WHEN precipitation > 0 AND pred_vai_chover = 0 THEN 'Falso Negativo'
-            WHEN precipitation = 0 AND pred_vai_chover = 1 THEN 'Falso Positivo' END AS resultado_classificacao
-FROM u JOIN truth ON observation_time = target_time AND observation_time <= TIMESTAMP '2001-06-30 00:00:00' WHERE rn = 1""")
+      FROM fc WHERE inferencia_local < target_time),
+v AS (SELECT station_id, target_time, inferencia_local, ROUND(prob_chuva, 3) AS prob_chuva, pred_vai_chover, threshold_usado, modelo, api_precip_alvo,
+       CAST(api_precip_alvo > 0 AS INTEGER) AS api_vai_chover, precipitation AS chuva_real_mm, CAST(precipitation > 0 AS INTEGER) AS choveu
+FROM u JOIN truth ON observation_time = target_time AND observation_time <= TIMESTAMP '2001-06-30 00:00:00' WHERE rn = 1)
+SELECT *, CASE {_OUTCOME_SQL} END AS resultado_classificacao FROM v"""
+_AS_OF = "2001-06-30 00:00:00"
+_TIES = ["l_orderkey", "l_linenumber", "prob_chuva", "api_precip_alvo"]
+
+
+@query(_HOURLY_SQL)
 def accuracy_hourly_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last forecast before each target against the observation, with outcome labels."""
-    as_of = F.lit("2001-06-30 00:00:00").cast("timestamp_ntz")
+    as_of = F.lit(_AS_OF).cast("timestamp_ntz")
     return accuracy_hourly(
-        forecast_history(spark, sf_dir), daily_truth(spark, sf_dir), ["station_id"],
-        ["l_orderkey", "l_linenumber", "prob_chuva", "api_precip_alvo"], as_of=as_of
+        forecast_history(spark, sf_dir), daily_truth(spark, sf_dir), ["station_id"], _TIES, as_of=as_of
     ).drop("l_orderkey", "l_linenumber")
 
 
-_LEAD_SQL = "WITH" + FORECASTS_SQL + """,
+@query(_HOURLY_SQL)
+def persistent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verification views by name, replaced in place and read by another session of the catalog."""
+    names = {}
+    for kind, rows in (("history", forecast_history(spark, sf_dir)), ("truth", daily_truth(spark, sf_dir))):
+        path = scratch_path(spark, kind)
+        names[kind] = path.rsplit("/", 1)[-1].replace("-", "_")
+        external_table(rows, names[kind], path)
+    for as_of in ("1990-01-01 00:00:00", _AS_OF):  # the second call replaces the views of the first
+        create_views(spark, names["history"], names["truth"], ["station_id"], _TIES, f"TIMESTAMP_NTZ '{as_of}'")
+    return spark.newSession().table(HOURLY)
+
+
+_RANGE_SQL = lambda seconds: "CASE " + " ".join(f"WHEN {seconds} <= {h * 3600} THEN '{n}'" for h, n in LEAD_RANGES) + f" ELSE '{LEAD_REST}' END"
+_LEAD_SQL = "WITH" + FORECASTS_SQL + f""",
 lead AS (
-  SELECT l_orderkey, l_linenumber, station_id, target_time, inferencia_local, prob_chuva, pred_vai_chover, api_precip_alvo,
+  SELECT l_orderkey, l_linenumber, station_id, target_time, inferencia_local, modelo, ROUND(prob_chuva, 3) AS prob_chuva, pred_vai_chover, api_precip_alvo,
     CAST(CEIL((epoch(target_time) - epoch(inferencia_local)) / 3600) AS INTEGER) AS antecedencia_h,
-    CASE WHEN epoch(target_time) - epoch(inferencia_local) <= 21600 THEN '01–06 h'
-         WHEN epoch(target_time) - epoch(inferencia_local) <= 43200 THEN '07–12 h'
-         WHEN epoch(target_time) - epoch(inferencia_local) <= 64800 THEN '13–18 h' ELSE '19–24 h' END AS faixa_antecedencia,
+    {_RANGE_SQL("epoch(target_time) - epoch(inferencia_local)")} AS faixa_antecedencia,
     CAST(api_precip_alvo > 0 AS INTEGER) AS api_vai_chover, precipitation AS chuva_real_mm, CAST(precipitation > 0 AS INTEGER) AS choveu
-  FROM fc JOIN truth ON observation_time = target_time WHERE inferencia_local < target_time)"""
+  FROM fc JOIN truth ON observation_time = target_time AND observation_time <= TIMESTAMP '2001-06-30 00:00:00' WHERE inferencia_local < target_time)"""
 
 
 @query(_LEAD_SQL + " SELECT * FROM lead")
 def accuracy_by_lead_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every forecast against the observation, with its lead time."""
-    return accuracy_by_lead(forecast_history(spark, sf_dir), daily_truth(spark, sf_dir))
+    history = forecast_history(spark, sf_dir).drop("threshold_usado")
+    return accuracy_by_lead(history, daily_truth(spark, sf_dir), as_of=F.lit(_AS_OF).cast("timestamp_ntz"))
 
 
 @query("""
 WITH f AS (SELECT event_id, ts AS target, date_trunc('day', ts) AS issued FROM events)
 SELECT event_id, CAST(CEIL((epoch(date_trunc('second', target)) - epoch(issued)) / 3600) AS INTEGER) AS antecedencia_h,
-  CASE WHEN epoch(date_trunc('second', target)) - epoch(issued) <= 21600 THEN '01–06 h'
-       WHEN epoch(date_trunc('second', target)) - epoch(issued) <= 43200 THEN '07–12 h'
-       WHEN epoch(date_trunc('second', target)) - epoch(issued) <= 64800 THEN '13–18 h' ELSE '19–24 h' END AS faixa_antecedencia
+  """ + _RANGE_SQL("epoch(date_trunc('second', target)) - epoch(issued)") + """ AS faixa_antecedencia
 FROM f""")
 def lead_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead hours and ranges within a day."""

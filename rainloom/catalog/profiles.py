@@ -20,6 +20,7 @@ from rainloom.operators.profile import (
     agreement, best_per_group, class_balance, column_profile, correlations, event_rate, group_facts, histogram,
     mean_of_group_rates, null_report, rate_table, sum_if_enough, top, volume_ratio, weighted_mean,
 )
+from rainloom.operators.sketches import quantiles, rolled_up, sketched, within_rank_error
 from rainloom.operators.verification import forecast_report, summary_by_alert
 from rainloom.session import materialize
 from rainloom.sources.tables import read_table
@@ -339,3 +340,16 @@ def top_k_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(exact_sum(F.col("l_extendedprice")), 2).alias("total")
     )
     return top(totals, 15, F.desc("total"), F.asc("l_suppkey"))
+
+
+@query("""
+SELECT event_type AS station_id, share, n, days, TRUE AS within FROM (
+  SELECT event_type, COUNT(value) AS n, COUNT(DISTINCT CAST(ts AS DATE)) FILTER (WHERE value IS NOT NULL) AS days FROM events GROUP BY 1),
+  (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) AS s(share)""")
+def sketch_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile sketches stored per station and day, merged per station; their ranks against all rows."""
+    rows = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("station_id"), "ts", "value")
+    stored = materialize(sketched(rows, ["station_id"], "ts", "value"), "sketches")
+    estimates = quantiles(rolled_up(stored, ["station_id"]), ["station_id"], [0.1, 0.5, 0.9, 0.99])
+    # the sketches' choices are random, so only what holds for all of them is shown
+    return within_rank_error(materialize(estimates, "estimates"), rows, ["station_id"], "value").select("station_id", "share", "n", "days", "within")

@@ -52,11 +52,12 @@ def latest_before_target(history: DataFrame, keys: list[str], tie: list[str]) ->
 
 
 def with_truth(forecasts: DataFrame, truth: DataFrame, keys: list[str], as_of: Column | None = None) -> DataFrame:
-    """Join the observation of the target hour; hours after ``as_of`` are not known yet."""
+    """Join the observation of the target hour; hours after ``as_of`` are not known yet.
+    The probability is shown with three digits."""
     known = truth if as_of is None else truth.where(F.col(T) <= as_of)
     known = known.select(*keys, F.col(T).alias("target_time"), F.col("precipitation").alias("chuva_real_mm"))
     return forecasts.join(known, [*keys, "target_time"]).withColumns({
-        "api_vai_chover": event(F.col("api_precip_alvo")), "choveu": event(F.col("chuva_real_mm")),
+        "prob_chuva": F.round("prob_chuva", 3), "api_vai_chover": event(F.col("api_precip_alvo")), "choveu": event(F.col("chuva_real_mm")),
     })
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-STEP = {"month": ("MM", "INTERVAL 1 MONTH"), "year": ("YEAR", "INTERVAL 1 YEAR")}
+STEP = {"day": ("DD", "INTERVAL 1 DAY"), "month": ("MM", "INTERVAL 1 MONTH"), "year": ("YEAR", "INTERVAL 1 YEAR")}
 
 
 def missing_periods(
@@ -24,8 +24,9 @@ def missing_periods(
     ``delay_days`` behind ``as_of``.
     """
     unit, step = STEP[period]
-    last = F.trunc(F.date_sub(F.to_date(as_of), delay_days), unit)
-    start = F.trunc(F.lit(first).cast("date"), unit)
+    whole = lambda day: day if period == "day" else F.trunc(day, unit)
+    last = whole(F.date_sub(F.to_date(as_of), delay_days))
+    start = whole(F.lit(first).cast("date"))
     due = stations.select(*keys, F.explode(F.sequence(start, last, F.expr(step))).alias("period"))
     is_open = F.col("period") == last
     stale = F.lit(True) if stale_hours is None else (

@@ -64,6 +64,29 @@ def read_series(
     return _inline(files, payload, variables, ["station_id", "_source_file"], time_col)
 
 
+_FOLDERS = r"station_id=([^/]+)/period=([^/]+)/"
+
+
+def write_series(packed: DataFrame, path: str) -> None:
+    """Add packed series (``station_id``, ``period``, ``payload``) as files in one folder per station and period."""
+    packed.select("station_id", "period", "payload").write.mode("append").partitionBy("station_id", "period").text(path)
+
+
+def stored_periods(spark: SparkSession, path: str) -> DataFrame:
+    """(station_id, period, fetched_at) of the files in the folders of ``write_series``, from their names and
+    times alone. The listing is a distributed scan that opens no file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
+    return files.select(
+        F.regexp_extract("path", _FOLDERS, 1).alias("station_id"), F.regexp_extract("path", _FOLDERS, 2).cast("date").alias("period"), "modificationTime"
+    ).where("period IS NOT NULL").groupBy("station_id", "period").agg(F.max("modificationTime").alias("fetched_at"))
+
+
+def read_stored(spark: SparkSession, path: str, variables: list[str], time_col: str = "observation_time") -> DataFrame:
+    """The rows of the files in the folders of ``write_series``; station and period prune folders."""
+    texts = spark.read.text(path).select(F.col("value").alias("payload"), F.col("station_id").cast("string"), F.col("period").cast("date"))
+    return unpack_series(texts, "payload", variables, ["station_id", "period"], time_col)
+
+
 def normalise_names(df: DataFrame, renames: dict[str, str] = VENDOR_RENAMES) -> DataFrame:
     return df.withColumnsRenamed(renames)
 
