@@ -11,7 +11,7 @@ from rainloom.constants import PROMOTION_TOLERANCE
 from rainloom.functions.labels import alert_level
 from rainloom.operators.ledger import experiment_rows, promote, ranking, validation_rows
 from rainloom.operators.metrics import auc, classification_metrics
-from rainloom.session import scratch_path
+from rainloom.session import materialize, scratch_path
 from rainloom.sinks import tables as sink
 from rainloom.sources.tables import read_table
 
@@ -53,6 +53,22 @@ def merge_update_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sink.updated_where_matched(target, updates, ["s_suppkey"], ["s_acctbal"])
 
 
+@query("""
+SELECT s_suppkey, s_nationkey, CASE WHEN s_nationkey % 5 = 0 AND s_suppkey % 2 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS s_acctbal,
+       s_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 5 = 0 AND s_suppkey % 2 = 0) AS rewritten FROM supplier""")
+def merge_touched_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New values merged into a table by nation: only files of nations with a match are written anew."""
+    path = scratch_path(spark, "by-nation")
+    target = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    sink.append(target, path, ["s_nationkey"])
+    file = F.col("_metadata.file_name").alias("file")
+    before = materialize(spark.read.parquet(path).select("s_suppkey", file), "files-before")
+    updates = target.where("s_nationkey % 5 = 0 AND s_suppkey % 2 = 0").select("s_suppkey", (F.col("s_acctbal") + 1).alias("s_acctbal"))
+    sink.merge_update_partitions(updates.unionByName(updates), path, ["s_suppkey"], ["s_acctbal"], ["s_nationkey"])
+    after = spark.read.parquet(path).select("s_suppkey", "s_nationkey", "s_acctbal", file.alias("_file"))
+    return after.join(before, "s_suppkey").select("s_suppkey", "s_nationkey", "s_acctbal", (F.col("_file") != F.col("file")).alias("rewritten"))
+
+
 @query("""
 SELECT event_id, value, NULL AS user_id FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'
 UNION ALL SELECT event_id, value, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'""")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rainloom.operators.grid import keep_one
+from rainloom.operators.keys import join_on
+from rainloom.session import materialize
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     try:
@@ -63,9 +67,16 @@ def not_yet_present(incoming: DataFrame, history: DataFrame, keys: list[str], pr
     return incoming.join(history.select(*keys), keys, "left_anti")
 
 
+def one_of_equal_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key (a null key is one), the smallest by its other columns, so that a rerun takes the same."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    return keep_one(df, keys, [F.struct(*rest)]) if rest else df.distinct()
+
+
 def merge_insert_only(incoming: DataFrame, path: str, keys: list[str], pruned_by: str | None = None) -> None:
-    """Append only what is not there yet: running it again changes nothing."""
+    """Append only what is not there yet, once per key: running it again changes nothing."""
     spark = incoming.sparkSession
+    incoming = one_of_equal_keys(incoming, keys)
     if not exists(spark, path):
         append(incoming, path)
         return
@@ -81,6 +92,24 @@ def updated_where_matched(target: DataFrame, updates: DataFrame, keys: list[str]
     return target.join(fresh, keys, "left").select(*[pick(c) if c in columns else F.col(c) for c in target.columns])
 
 
+def merge_update_partitions(updates: DataFrame, path: str, keys: list[str], columns: list[str], partition_by: list[str]) -> None:
+    """Write new values of matching rows into a partitioned table, touching only the partitions with matches.
+
+    The touched partitions are found by a scan of keys alone, then read, updated and written
+    to the shared folder, and put in place of the old ones; files of other partitions stay as they
+    are. Of several updates of a key one is taken. Updates without a match add nothing. A run that is
+    cut off before the last step has changed nothing, and running again gives the same table.
+    """
+    spark = updates.sparkSession
+    fresh = materialize(one_of_equal_keys(updates.select(*keys, *columns), keys), "updates")
+    target = spark.read.parquet(path)
+    matched = target.select(*{*keys, *partition_by}).join(fresh.select(*keys), keys, "left_semi")
+    touched = materialize(matched.select(*partition_by).distinct(), "touched")
+    rows = materialize(updated_where_matched(join_on(target, touched, partition_by, "left_semi"), fresh, keys, columns), "partitions")
+    if not touched.isEmpty():
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+
 def archive_raw(df: DataFrame, path: str, time_col: str) -> None:
     """Landed rows as JSON under year/month folders."""
     t = F.col(time_col)

@@ -77,3 +77,30 @@ def test_views_are_replaced_and_seen_by_other_sessions(spark, tmp_path):
     assert lead == [(4, "01–06 h", 0.2), (9, "07–12 h", 0.912)]
     for name in (f"hourly_{truth}", f"lead_{truth}"):
         spark.sql(f"DROP VIEW {name}")
+
+
+def test_only_touched_partitions_are_written(spark, tmp_path):
+    from rainloom.sinks import tables as sink
+
+    path = str(tmp_path / "t")
+    sink.append(spark.createDataFrame([(i, i % 4, float(i)) for i in range(40)], "k int, p int, v double"), path, ["p"])
+    files = lambda: {(r["p"], r["f"]) for r in spark.read.parquet(path).select("p", F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    before = files()
+    updates = spark.createDataFrame([(1, None), (5, 7.0), (5, 9.0), (99, 1.0)], "k int, v double")
+    for _ in range(2):
+        sink.merge_update_partitions(updates, path, ["k"], ["v"], ["p"])
+    assert {f for f in before if f[0] != 1} <= files() and not {f for f in before if f[0] == 1} & files()
+    got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {i: float(i) for i in range(40)} | {1: None, 5: 7.0}
+    kept = files()
+    sink.merge_update_partitions(updates.where("k = 99"), path, ["k"], ["v"], ["p"])
+    assert files() == kept
+
+
+def test_equal_keys_of_one_input_are_added_once(spark, tmp_path):
+    from rainloom.sinks import tables as sink
+
+    path = str(tmp_path / "t")
+    for rows in ([(1, 2.0), (1, 1.0), (2, None)], [(1, 5.0), (3, 4.0), (3, 3.0)]):
+        sink.merge_insert_only(spark.createDataFrame(rows, "k int, v double"), path, ["k"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect() if r["v"]) == [(1, 1.0), (3, 3.0)]
