@@ -1,10 +1,13 @@
 """Shards of near-equal bytes that keep linked documents together, by balanced label propagation.
 
-Documents of one group are linked with one another. Rounds of joins move documents to the shard
-where most of their neighbours are, as far as the quotas of bytes allow; what a shard gives away
-counts towards what it may take. At the end the shards are made even: the documents, in order of
-shard and group, are cut into runs of equal bytes, which parts one group at each border at most.
-A group larger than a shard fills the room that the others leave.
+Documents of one group are linked with one another. Those of a group that start in one shard are a
+cell: they have the same neighbours and move together, so a group has at most as many cells as there
+are shards, however many documents it has. Rounds move cells to the shard where most of their
+neighbours are, as far as the quotas of bytes allow; what a shard gives away counts towards what it
+may take. Only groups that are still spread take part, until they rest; what the quotas left behind
+then joins its majority. At the end the shards are made even: the documents, in order of shard and
+group, are cut into runs of equal bytes, which parts one group at each border at most. A group
+larger than a shard fills the room that the others leave.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rainloom.session import materialize
 
-SHARDS, ROUNDS = 16, 8
+SHARDS = 16
+#: Rounds without fewer spread groups after which the rest joins its majority.
+PATIENCE = 3
 #: Bytes that a shard may hold during the rounds, as a multiple of its even share.
 SLACK = 1.05
 #: Share of a shard's bytes up to which a group moves as a whole or not at all.
@@ -53,40 +58,77 @@ def filled(giants: DataFrame, sizes: dict[int, float], rooms: list[float]) -> Da
     return giants.withColumn("shard", F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= place)).cast("int"))
 
 
-def propagated(items: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``items``: (row, group, size). Adds ``shard`` after the rounds; one join and one write each.
+def wished(cells: DataFrame, turn: int) -> DataFrame:
+    """``target`` of every cell: the shard with most members of its group, ties by hash; and the spread groups' bytes."""
+    together = cells.groupBy("group", "shard").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.collect_list(F.struct("start", "n", "bytes")).alias("cells"))
+    own = Window.partitionBy("group")  # one row per shard
+    top = F.max(F.struct("n", F.xxhash64("group", "shard"), "shard")).over(own)
+    wide = together.withColumns({"target": top["shard"], "all_bytes": F.sum("bytes").over(own), "kinds": F.count(F.lit(1)).over(own), "turn": F.lit(turn)})
+    return wide.select("group", "shard", "target", "all_bytes", "kinds", "turn", F.inline("cells")).select(
+        "group", "start", "shard", "target", "n", "bytes", "all_bytes", (F.col("kinds") > 1).alias("spread"), "turn")
+
+
+def propagated(items: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
+    """``items``: (row, group, size). Adds ``shard`` after the rounds.
 
     Groups larger than a shard, fewer than there are shards, can't come together; they leave the
-    room to the others and fill what is left. Only these groups' ids, shard totals and flows
-    between shards reach the driver.
+    room to the others and fill what is left. A round is one grouping of the cells of spread groups and
+    one small aggregation. Only giants' ids, shard totals and flows between shards reach the driver.
     """
-    total = items.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    large = items.groupBy("group").agg(F.sum("size").alias("size")).where(F.col("size") > total / shards).orderBy("group")
-    sizes = {r["group"]: float(r["size"]) for r in large.collect()}
+    items = items.withColumn("start", F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int"))
+    loads = {r["start"]: float(r["size"]) for r in items.groupBy("start").agg(F.sum("size").alias("size")).collect()}
+    total = sum(loads.values())
+    here = [F.col("start") == k for k in range(shards)]
+    members = items.groupBy("group").agg(
+        F.array(*[F.count_if(c) for c in here]).alias("ns"), F.array(*[F.sum(F.when(c, F.col("size")).otherwise(0)) for c in here]).alias("sizes"),
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"),
+    ).where("n > 1")
+    linked = materialize(members, "groups")
+    large = linked.where(F.col("bytes") > total / shards).orderBy("group")
+    sizes = {r["group"]: float(r["bytes"]) for r in large.select("group", "bytes").collect()}
     giant = F.col("group").isin([*sizes]) if sizes else F.lit(False)
-    start = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(shards)).cast("int")
-    state = materialize(items.where(~giant).withColumn("shard", start), "shards")
-    capacity = total / shards * SLACK
-    for turn in range(rounds):
-        counts = state.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-        best = counts.groupBy("group").agg(
-            F.sum("n").alias("members"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("top")
-        ).where(F.col("members") > F.col("top.n")).select("group", "bytes", F.col("top.shard").alias("target"))
-        wishes = materialize(state.join(best, "group", "left"), "wishes")
-        wants = F.coalesce(F.col("target") != F.col("shard"), F.lit(False))
-        flows = {(r["shard"], r["target"]): float(r["size"]) for r in wishes.where(wants).groupBy("shard", "target").agg(F.sum("size").alias("size")).collect()}
+    for r in large.select("sizes").collect():
+        for k, size in enumerate(r["sizes"]):
+            loads[k] = loads.get(k, 0.0) - float(size)
+    cells = linked.where(~giant).select("group", F.posexplode(F.arrays_zip("ns", "sizes")).alias("start", "cell")).where("cell.ns > 0")
+    cells = cells.select("group", "start", F.col("start").alias("shard"), F.col("cell.ns").alias("n"), F.col("cell.sizes").alias("bytes"))
+    capacity, settled = total / shards * slack, []
+    least, idle, turn = None, 0, 0
+    while True:
+        wishes = materialize(wished(cells, turn), "wishes")
+        known = wishes.groupBy("spread", "shard", "target").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+        settled.append(wishes.where("NOT spread").select("group", "start", "shard"))
+        flows = {(r["shard"], r["target"]): float(r["bytes"]) for r in known if r["spread"] and r["shard"] != r["target"]}
         if not flows:
             break
-        loads = {r["shard"]: float(r["size"]) for r in wishes.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+        cut = sum(r["n"] for r in known if r["spread"])
+        idle = idle + 1 if least is not None and cut >= least else 0
+        least = cut if least is None else min(least, cut)
+        if idle >= PATIENCE:
+            settled.append(wishes.where("spread").select("group", "start", F.col("target").alias("shard")))
+            break
         shares = accepted_shares([loads.get(k, 0.0) for k in range(shards)], flows, capacity)
-        luck = F.when(F.col("bytes") <= capacity * WHOLE, draw(F.col("group"), F.lit(turn))).otherwise(draw(F.col("row"), F.lit(turn)))
-        goes = wants & (luck < F.get(F.array(*[F.lit(x) for x in shares]), F.col("target")))
-        state = wishes.select("row", "group", "size", F.when(goes, F.col("target")).otherwise(F.col("shard")).cast("int").alias("shard"))
+        few = F.col("all_bytes") <= capacity * WHOLE
+        luck = F.when(few, draw(F.col("group"), F.col("turn"))).otherwise(draw(F.col("group"), F.col("start"), F.col("turn")))
+        goes = (F.col("target") != F.col("shard")) & (luck < F.get(F.array(*[F.lit(x) for x in shares]), F.col("target")))
+        moved = wishes.where("spread").withColumn("after", F.when(goes, F.col("target")).otherwise(F.col("shard")))
+        for r in moved.where("after != shard").groupBy("shard", "after").agg(F.sum("bytes").alias("bytes")).collect():
+            loads[r["shard"]] = loads.get(r["shard"], 0.0) - float(r["bytes"])
+            loads[r["after"]] = loads.get(r["after"], 0.0) + float(r["bytes"])
+        cells = moved.select("group", "start", F.col("after").alias("shard"), "n", "bytes")
+        turn += 1
+    ends = settled[0]
+    for more in settled[1:]:
+        ends = ends.unionByName(more)
+    ends = ends.where("start != shard").select("group", "start", F.col("shard").alias("_end"))
+    state = items.where(~giant).join(ends, ["group", "start"], "left")
+    state = state.select("row", "group", "size", F.coalesce("_end", "start").alias("shard"))
     if not sizes:
         return state
+    state = materialize(state, "shards")
     loads = {r["shard"]: float(r["size"]) for r in state.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
     rooms = [max(0.0, total / shards - loads.get(k, 0.0)) for k in range(shards)]
-    return state.unionByName(filled(items.where(giant), sizes, rooms))
+    return state.unionByName(filled(items.where(giant).drop("start"), sizes, rooms))
 
 
 def evened(placed: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -223,6 +223,37 @@ def test_shards_are_even_and_gapless(spark, table):
         assert split.drop(hot).mean() < 1.5
 
 
+def test_cells_join_where_most_of_their_group_is(spark):
+    rng = random.Random(5)
+    items = [(i, rng.choice([i + 10_000, i % 70, 5, 5]), rng.randint(1, 30)) for i in range(3_000)]
+    table = spark.createDataFrame(items, "row long, group long, size long").repartition(5)
+    start = dict(table.selectExpr("row", "cast(pmod(xxhash64(row, 3), 16) as int)").collect())
+    total, group, of = sum(s for *_, s in items), {r: g for r, g, _ in items}, {}
+    for r, g, s in items:
+        of.setdefault(g, []).append(r)
+    giants = {g for g, rows in of.items() if sum(s for r, h, s in items if h == g) > total / 16}
+    assert giants == {5}
+    # without a bound every group that isn't a giant goes where most of its rows were
+    free = dict(label_shards.propagated(table, slack=1e9).select("row", "shard").collect())
+    tight = dict(label_shards.propagated(table).select("row", "shard").collect())
+    assert len(free) == len(tight) == len(items)
+    for g, rows in of.items():
+        counts = [sum(start[r] == k for r in rows) for k in range(16)]
+        if g in giants:
+            continue
+        ends = {free[r] for r in rows}
+        assert len(ends) == 1 and counts[ends.pop()] == max(counts)
+        assert len({tight[r] for r in rows}) == 1
+
+
+def test_few_groups_of_equal_texts_are_parted(spark):
+    got = corpus_queries.op9_label_shards(spark, "/root/testdata/sf0.1").toPandas()
+    parted = got.groupby("text_crc32")["shard"].nunique()
+    assert (parted > 1).sum() <= 15
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() <= 2 * got["size"].max()
+
+
 def test_shards_of_an_empty_table(spark):
     assert label_shards.sharded_documents(odd_documents(spark).limit(0)).count() == 0
 
