@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.catalog.bindings import GRID_SQL, dense_observations, sround
+from rainloom.catalog.bindings import GRID_SQL, dense_observations, observations, sround
 from rainloom.catalog.registry import query
 from rainloom.constants import ALL_FEATURES, BASE_FEATURES
 from rainloom.functions.labels import event
@@ -15,7 +15,9 @@ from rainloom.operators.features import (
     shifted_features, target_columns, wind_columns,
 )
 from rainloom.functions.timeparts import calendar_flags
-from rainloom.plans.feature_table import incremental_features
+from rainloom.plans.feature_table import update_feature_table
+from rainloom.session import materialize, scratch_path
+from rainloom.sinks.tables import read_evolved
 
 KEY = ["station_id"]
 T = "observation_time"
@@ -175,12 +177,13 @@ def feature_store_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FEATURED_SQL + STORE_OUT_SQL)
 def feature_store_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store built up to a date and then brought up to date from its high-water mark;
+    """The stored table built up to a date and then brought up to date from its high-water mark;
     equals the full build."""
-    dense = dense_observations(spark, sf_dir)
-    cut = F.lit("2024-01-18 09:00:00").cast("timestamp_ntz")
-    base = feature_store(dense.where(F.col(T) <= cut), KEY)
-    return rounded(base.unionByName(incremental_features(dense, base, KEY)))
+    hours = materialize(observations(spark, sf_dir), "hours")
+    path = scratch_path(spark, "store")
+    update_feature_table(spark, hours.where(F.col(T) <= F.lit("2024-01-18 09:00:00").cast("timestamp_ntz")), path, KEY)
+    update_feature_table(spark, hours, path, KEY)
+    return rounded(read_evolved(spark, path))
 
 
 _SHIFT = ", ".join(f"LAG({c}, 1) OVER w AS {c}" for c in BASE_FEATURES)
