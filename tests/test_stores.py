@@ -3,7 +3,6 @@
 from datetime import date, datetime
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from rainloom.operators.prefix import exact_quantiles
