@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from rainloom.llm.textblocks import FOLD, blocks, flat, owners, sums
+from rainloom.llm.textblocks import FOLD, blocks, flat, owners, sums, unused
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
@@ -161,9 +161,10 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
     """``docs`` without its text, with ``lang_pred`` and ``score``, the probability of it.
 
     A null text or one without a letter is ``und`` with score 0, and so is any text if nothing
-    was learned. Whole texts are read, however long. Columns named like a result are replaced.
+    was learned. Whole texts are read, however long. Repeated rows are predicted alike, an empty
+    table gives an empty one. Columns named like a result are replaced, all others are kept.
     """
-    names = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in ("text", "lang_pred", "score")]
     fields = [docs.select(f"`{c}`").schema[0] for c in names]
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     keep = [F.col(f"`{c}`") for c in names]
@@ -171,6 +172,8 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
         return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     held = docs.sparkSession.sparkContext.broadcast(network)
 
+    (marked,) = unused(names, "_lettered")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for part in blocks(batches):
@@ -179,10 +182,10 @@ def predicted(docs: DataFrame, network: Network | None) -> DataFrame:
             p = model.predict(rows) * letters[:, None]
             total = np.column_stack([sums(p[:, k].astype(np.float64), firsts) for k in range(p.shape[1])]) / sums(letters, firsts)[:, None]
             best = total.argmax(axis=1)
-            lettered = part.column("_lettered").to_numpy(zero_copy_only=False)
+            lettered = part.column(marked).to_numpy(zero_copy_only=False)
             language = [model.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), lettered.tolist())]
             score = np.where(lettered, np.clip(total[np.arange(len(best)), best], 0, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(language, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(marked)
     return docs.select(*keep, "text", lettered).mapInArrow(run, schema)

@@ -46,4 +46,4 @@ def op10_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the text is read again and dropped at once: only lengths and posteriors are kept
     rates = soft_mix.mixed_rates(docs, model, keep_text=False)
     each = [F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(soft_mix.TARGETS)]
-    return rates.select("doc_id", "n_tokens", *each, "rate", "copies")
+    return rates.select("doc_id", "n_tokens", *each, "rate", "copies", "targets", "reached")

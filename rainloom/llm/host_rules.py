@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rainloom.llm.textblocks import unused
 from rainloom.session import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,39 +29,40 @@ def measured(docs: DataFrame) -> DataFrame:
     sorts its windows, so a long text costs n log n at most.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
+    words, lines, hashes, windows, ordered = unused(docs.columns, "_words", "_lines", "_hashes", "_windows", "_sorted")
     base = docs.withColumns({
-        "_words": F.array_remove(F.split(text, SPACE), ""),
-        "_lines": F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
+        words: F.array_remove(F.split(text, SPACE), ""),
+        lines: F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
         "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
     })
     base = base.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_hashes": F.transform("_words", lambda word: F.xxhash64(word)),
-    }).drop("_words", "_lines")
-    window = lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)])
-    windows = F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), window)
-    base = base.withColumn("_windows", F.when(F.size("_hashes") > WINDOW, windows)).drop("_hashes")
-    repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        hashes: F.transform(words, lambda word: F.xxhash64(word)),
+    }).drop(words, lines)
+    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])
+    found = F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), window)
+    base = base.withColumn(windows, F.when(F.size(hashes) > WINDOW, found)).drop(hashes)
+    repeats = F.size(F.array_distinct(windows)) < F.size(windows)
     base = base.withColumn(
-        "_sorted",
-        F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))),
-    ).drop("_windows")
-    same = lambda j, k: F.get("_sorted", j)["h"] == F.get("_sorted", k)["h"]
+        ordered,
+        F.when(repeats, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))),
+    ).drop(windows)
+    same = lambda j, k: F.get(ordered, j)["h"] == F.get(ordered, k)["h"]
     held = F.filter(
-        F.sequence(F.lit(0), F.size("_sorted") - 1),
+        F.sequence(F.lit(0), F.size(ordered) - 1),
         lambda j: F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)),
     )
-    places = F.sort_array(F.transform(held, lambda j: F.get("_sorted", j)["p"]))
+    places = F.sort_array(F.transform(held, lambda j: F.get(ordered, j)["p"]))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
         places, start,
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return base.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_sorted").isNotNull(), covered), F.lit(0).cast("long"))).drop("_sorted")
+    return base.withColumn("n_repeat_words", F.coalesce(F.when(F.col(ordered).isNotNull(), covered), F.lit(0).cast("long"))).drop(ordered)
 
 
 def ruled(facts: DataFrame) -> DataFrame:
@@ -111,8 +113,9 @@ def judged(facts: DataFrame, host: str) -> DataFrame:
     The rows are written once, as both the totals and the result read them.
     """
     rules = materialize(ruled(facts), "host-rules")
-    verdicts = host_verdicts(rules, host).select("_host", "host_rate", "host_failed")
-    return rules.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left").drop("_host").withColumn(
+    (own,) = unused(rules.columns, "_host")
+    verdicts = host_verdicts(rules, host).select(F.col("_host").alias(own), "host_rate", "host_failed")
+    return rules.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col(own)), "left").drop(own).withColumn(
         "kept", ~failed() & ~F.coalesce(F.col("host_failed"), F.lit(False))
     )
 
@@ -122,7 +125,7 @@ def host_rules(docs: DataFrame, host: str = "source") -> DataFrame:
 
     A document is kept when it fails no rule and its host isn't rejected. Rows with a null host
     form one host. Repeated rows are judged like any other; an empty table gives an empty one.
-    Columns of ``docs`` with the name of a result column are replaced.
+    Columns of ``docs`` with the name of a result column are replaced, all others are kept.
     """
-    clashing = {*FACTS, *RULES, "host_rate", "host_failed", "kept", "_host"}
-    return judged(measured(docs.drop(*[c for c in docs.columns if c in clashing])), host)
+    clashing = {*FACTS, *RULES, "host_rate", "host_failed", "kept"}
+    return judged(measured(docs.drop(*[c for c in docs.columns if c.lower() in clashing])), host)

@@ -184,17 +184,21 @@ def nearest_vectors(
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k nearest by cosine of every row that satisfies ``queries``.
 
     A row's own id is no candidate of its. Vectors that are null, empty, zero or hold a null or
-    non-finite component take no part; all others must have one length. Repeated ids count once,
-    with any of their vectors; a null id takes no part. Equal vectors tie, smaller ids first.
+    non-finite component take no part, nor do those of another length than most have (of equally
+    frequent lengths the longest counts). Repeated ids count once, with the smallest of their
+    vectors; a null id takes no part. Equal vectors tie, smaller ids first.
     Where a query's leaves hold fewer than k vectors, all leaves are visited. An empty table
     gives an empty result.
     """
     spark = table.sparkSession
     rows = table.where(F.col(f"`{key}`").isNotNull() & usable(f"`{vector}`")).select(
         F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
-    ).dropDuplicates(["vec_id"])
+    )
+    first = F.min(F.struct("vector", "asks")).alias("row")
+    rows = materialize(rows.groupBy("vec_id", F.size("vector").alias("width")).agg(first).select("vec_id", "row.*", "width"), "vectors")
+    common = rows.groupBy("width").count().orderBy(F.desc("count"), F.desc("width")).select("width").limit(1)
+    rows = rows.where(F.col("width") == common.scalar()).drop("width")
     ranked = F.xxhash64("vec_id")
-    rows = materialize(rows, "vectors")
     drawn = rows.orderBy(ranked, "vec_id").limit(sample).select("vector").toArrow()
     tree = Tree(unit(matrix(drawn.column("vector"))) if drawn.num_rows else np.zeros((0, 1)))
     held = spark.sparkContext.broadcast(tree)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from rainloom.llm.textblocks import blocks
+from rainloom.llm.textblocks import blocks, unused
 
 SPACE = "▁"
 NO_PAIR = np.int32(np.iinfo(np.int32).max)
@@ -280,18 +280,20 @@ def pieces(path: str) -> Pieces:
 def _with(docs: DataFrame, source: str, result: StructField, work) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != result.name]
     names = [f.name for f in kept]
+    (inner,) = unused(names, "_source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (pa.RecordBatch.from_arrays([*[part.column(n) for n in names], work(part.column("_source"))], names=[*names, result.name]) for part in cut(batches))
+        yield from (pa.RecordBatch.from_arrays([*[part.column(n) for n in names], work(part.column(inner))], names=[*names, result.name]) for part in cut(batches))
 
-    cut = (lambda batches: blocks(batches, "_source")) if result.name != "decoded" else (lambda batches: (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)))
-    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{source}`").alias("_source")).mapInArrow(run, StructType([*kept, result]))
+    cut = (lambda batches: blocks(batches, inner)) if result.name != "decoded" else (lambda batches: (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)))
+    return docs.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{source}`").alias(inner)).mapInArrow(run, StructType([*kept, result]))
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (array of int): every whole text, without begin or end ids.
 
-    A null or empty text has no ids. Other columns pass through; one named ``ids`` is replaced.
+    A null or empty text has no ids. Repeated rows are encoded alike, an empty table gives an
+    empty one. Other columns pass through under any name; one named ``ids`` is replaced.
     """
     def work(column: pa.Array) -> pa.Array:
         ids, offsets = pieces(path).encode(column.to_pylist())

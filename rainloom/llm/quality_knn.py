@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rainloom.llm.textblocks import blocks, flat
+from rainloom.llm.textblocks import blocks, flat, unused
 from rainloom.llm.textshape import BINS, MEASURES, binned, measures, trigram_counts
 
 #: Labelled rows that the model is fitted on, at most: the smallest by hash of the key.
@@ -106,15 +106,18 @@ def quality_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The ``keep`` columns with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
 
     Null and empty texts are scored like any other; without labelled rows every score is 0.5.
-    Equal texts get equal scores up to float rounding. The broadcast is bounded by the sample.
+    Equal texts, repeated rows too, get equal scores up to float rounding; an empty table gives
+    an empty one. Columns of ``docs`` with the name of a result are replaced, any other name may
+    be kept. The broadcast is bounded by the sample.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.select(f"`{c}`").schema[0] for c in keep if c not in ("score", "predicted")]
+    fields = [docs.select(f"`{c}`").schema[0] for c in keep if c.lower() not in ("score", "predicted")]
     names = [f.name for f in fields]
+    (source,) = unused(names, "_text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "_text"):
-            scores = held.value.scores(term_rows(part.column("_text")))
+        for part in blocks(batches, source):
+            scores = held.value.scores(term_rows(part.column(source)))
             yield pa.RecordBatch.from_arrays(
                 [*[part.column(c) for c in names], pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
                 names=[*names, "score", "predicted"],
@@ -122,4 +125,4 @@ def quality_scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
     schema = StructType([*fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text")).mapInArrow(score, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias(source)).mapInArrow(score, schema)

@@ -30,8 +30,6 @@ LEAST_TEXTS, LEAST_CHI = 5, 20.0
 #: Share of the tokens that each domain should have.
 TARGETS = {"clean": 0.90, "poor": 0.05, "toxic": 0.05}
 STEPS, TOLERANCE, DAMPING = 60, 1e-6, 1e-4
-#: No document is repeated more often than this on average.
-MOST_RATE = 4.0
 
 
 def sparse_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +132,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
 def posteriors(docs: DataFrame, model: Classifier, keep_text: bool = True) -> DataFrame:
     """Add ``n_tokens`` (words) and ``posterior`` (one probability per domain) to every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name not in ("n_tokens", "posterior") and (keep_text or f.name != "text")]
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("n_tokens", "posterior") and (keep_text or f.name != "text")]
     names = [f.name for f in kept]
     k = len(model.domains)
 
@@ -148,15 +146,15 @@ def posteriors(docs: DataFrame, model: Classifier, keep_text: bool = True) -> Da
     return docs.mapInArrow(run, StructType([*kept, StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))]))
 
 
-def replayed(p: np.ndarray, slopes: np.ndarray) -> np.ndarray:
-    """Rates after the given steps, from 1: each moves against its slope, within 0 to ``MOST_RATE``."""
+def replayed(p: np.ndarray, slopes: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Rates after the given steps, from 1: each moves against its slope, from 0 up to ``most``, if given."""
     rate = np.ones(len(p))
     for move in (p @ slopes.T).T if len(slopes) else ():
-        rate = np.clip(rate - move, 0.0, MOST_RATE)
+        rate = np.clip(rate - move, 0.0, most)
     return rate
 
 
-def domain_totals(weighed: DataFrame, slopes: np.ndarray) -> np.ndarray:
+def domain_totals(weighed: DataFrame, slopes: np.ndarray, most: float | None = None) -> np.ndarray:
     """Expected tokens per domain under the rates of these steps, then the entries of the curvature.
 
     Partitions add up their rows; only K + K * K numbers of each reach the driver.
@@ -166,7 +164,7 @@ def domain_totals(weighed: DataFrame, slopes: np.ndarray) -> np.ndarray:
         for part in batches:
             tokens = part.column("n_tokens").to_numpy().astype(float)
             p = part.column("posterior").flatten().to_numpy().reshape(len(tokens), -1)
-            rate = replayed(p, slopes)
+            rate = replayed(p, slopes, most)
             total_of = (p * (rate * tokens)[:, None]).sum(axis=0)
             own = np.concatenate((total_of, (p.T @ (p * tokens[:, None])).ravel()))
             total = own if total is None else total + own
@@ -177,7 +175,7 @@ def domain_totals(weighed: DataFrame, slopes: np.ndarray) -> np.ndarray:
     return np.array([r["value"] for r in got])
 
 
-def solve(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray]:
+def solve(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE, most: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Slopes of all steps and the totals reached, within ``tolerance`` of all tokens or after ``steps``.
 
     Least squares on the totals, in the metric of the inverse curvature (the sum of tokens times
@@ -188,7 +186,7 @@ def solve(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance
     k = len(targets)
     slopes, reached, metric = np.zeros((0, k)), np.zeros(k), None
     for step in range(steps + 1):
-        both = domain_totals(weighed, slopes)
+        both = domain_totals(weighed, slopes, most)
         if not len(both):
             break
         reached, curve = both[:k], both[k:].reshape(k, k)
@@ -200,10 +198,17 @@ def solve(weighed: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance
     return slopes, reached
 
 
-def mixed_rates(docs: DataFrame, model: Classifier, weights: dict[str, float] = TARGETS, keep_text: bool = True) -> DataFrame:
-    """Every row with ``n_tokens``, ``posterior``, ``rate`` (0 to ``MOST_RATE``) and ``copies``.
+RESULTS = ("n_tokens", "posterior", "rate", "copies", "targets", "reached")
 
-    The targets are ``weights`` of all tokens there are. ``copies`` is the rate, rounded up or
+
+def mixed_rates(
+    docs: DataFrame, model: Classifier, weights: dict[str, float] = TARGETS, keep_text: bool = True, most: float | None = None
+) -> DataFrame:
+    """Every row with ``n_tokens``, ``posterior``, ``rate`` (0 or more) and ``copies``.
+
+    The targets are ``weights`` of all tokens there are; ``targets`` and ``reached`` hold, in every
+    row, the wanted and the reached totals by domain. ``most`` limits the rates, so that totals
+    may stay below their targets. Columns of ``docs`` with the name of a result are replaced. ``copies`` is the rate, rounded up or
     down by a hash of the doc_id, so that it equals the rate on average; a null doc_id counts
     as one value. A text without words takes part with no tokens and the rate of its posterior.
     Equal texts get equal rates. An empty table gives an empty result.
@@ -211,23 +216,31 @@ def mixed_rates(docs: DataFrame, model: Classifier, weights: dict[str, float] =
     weighed = materialize(posteriors(docs, model, keep_text), "posteriors")
     total = weighed.agg(F.sum("n_tokens")).first()[0] or 0
     share = np.array([weights[d] for d in model.domains], float)
-    slopes, _ = solve(weighed, share / share.sum() * total)
-    kept = [f for f in weighed.schema.fields if f.name not in ("rate", "copies")]
+    targets = share / share.sum() * total
+    slopes, reached = solve(weighed, targets, most=most)
+    kept = [f for f in weighed.schema.fields if f.name.lower() not in RESULTS[2:]]
     names = [f.name for f in kept]
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             p = part.column("posterior").flatten().to_numpy().reshape(part.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(replayed(p, slopes))], names=[*names, "rate"])
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(replayed(p, slopes, most))], names=[*names, "rate"])
 
     even = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    return weighed.select(*names).mapInArrow(rate, StructType([*kept, StructField("rate", DoubleType())])).withColumn("copies", F.floor(F.col("rate") + even))
+    return weighed.select(*names).mapInArrow(rate, StructType([*kept, StructField("rate", DoubleType())])).withColumns({
+        "copies": F.floor(F.col("rate") + even),
+        "targets": F.array(*[F.lit(float(x)) for x in targets]), "reached": F.array(*[F.lit(float(x)) for x in reached]),
+    })
 
 
-def mixed(docs: DataFrame, model: Classifier, weights: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, each as often as its ``copies`` say (not at all for 0)."""
-    return (
-        mixed_rates(docs, model, weights).where("copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, model: Classifier, weights: dict[str, float] = TARGETS, most: float | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as its ``copies`` say (not at all for 0).
+
+    All columns come back as they were, whatever their names.
+    """
+    carried = [c if c in ("doc_id", "text") else f"kept_{i}" for i, c in enumerate(docs.columns)]
+    inner = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(carried, docs.columns)])
+    rates = mixed_rates(inner, model, weights, most=most).where("copies > 0")
+    return rates.select(*carried, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(
+        *[F.col(k).alias(c) for k, c in zip(carried, docs.columns)]
     )

@@ -40,11 +40,11 @@ WITH docs AS (
 ), strength AS (
   SELECT m, CASE WHEN v > 0 THEN greatest({host_rules.WEAKEST}, least({host_rules.STRONGEST}, m * (1 - m) / v - 1)) ELSE {host_rules.STRONGEST} END AS s FROM prior
 ), verdicts AS (
-  SELECT source, (k + m * s) / (n + s) > {host_rules.HOST_LIMIT} AS host_failed FROM hosts, strength
+  SELECT source, round((k + m * s) / (n + s), 9) AS host_rate FROM hosts, strength
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-  NOT failed AND NOT host_failed AS kept
+  NOT failed AND host_rate <= {host_rules.HOST_LIMIT} AS kept, host_rate, host_rate > {host_rules.HOST_LIMIT} AS host_failed
 FROM ruled r JOIN verdicts v ON r.source IS NOT DISTINCT FROM v.source
 """
 
@@ -58,7 +58,7 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     facts = host_rules.measured(docs).drop("text")
     judged = host_rules.judged(facts, "source")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_failed")
 
 
 @query()

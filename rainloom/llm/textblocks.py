@@ -26,6 +26,17 @@ def narrow(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Names for inner columns that none of the caller's columns has, whatever the case of its letters."""
+    held, free = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        free.append(name)
+    return free
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and the n + 1 offsets between them."""
     if isinstance(column, pa.ChunkedArray):

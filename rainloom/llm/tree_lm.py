@@ -596,7 +596,7 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON,
     ``train_tokens``, ``base_score`` (log10 by word counts), ``score`` (log10 probability of the
     whole text by the model) and ``bits_per_byte``. A null or empty text is one end. Without
     training texts every decision is even. Repeated rows are scored alike; columns of
-    ``docs`` with the name of a result are replaced.
+    ``docs`` with the name of a result are replaced, all others are kept under any name.
     """
     code = class_code(training)
     counts = materialize(training_counts(training, code.class_of), "counts")
@@ -608,8 +608,9 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON,
     held = docs.sparkSession.sparkContext.broadcast((model := TreeModel(code, counts, contexts), keys[order], n[order]))
     grams = counts.where(F.col("kind") == GRAMS).select("code", "n")
     buckets = 1 if model.whole else max(1, -(-grams.count() // STEP))
-    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "_row", "_rare", "_open", "text"]
-    names = [c for c in docs.columns if c not in results]
+    results = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "text"]
+    names = [c for c in docs.columns if c.lower() not in results]
+    carried = [f"kept_{i}" for i in range(len(names))]
     whole = distinct <= common
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -635,19 +636,19 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON,
                 pa.StructArray.from_arrays([pa.array(bucket, pa.int64()), pa.array(packs, pa.binary())], names=["bucket", "data"]),
             )
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(k) for k in names], pa.array(rows), pa.array(np.diff(firsts)), pa.array(sums(hit.astype(np.int64), firsts)),
+                [*[part.column(k) for k in carried], pa.array(rows), pa.array(np.diff(firsts)), pa.array(sums(hit.astype(np.int64), firsts)),
                  pa.array(sums(log_c, firsts)), pa.array(scored), pa.array(np.diff(offsets)), rare, open_],
-                names=[*names, "_row", "n_tokens", "_known", "_log", "score", "_bytes", "_rare", "_open"],
+                names=[*carried, "_row", "n_tokens", "_known", "_log", "score", "_bytes", "_rare", "_open"],
             )
 
     from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
     schema = StructType([
-        *[docs.select(f"`{c}`").schema[0] for c in names],
+        *[StructField(k, docs.select(f"`{c}`").schema[0].dataType) for k, c in zip(carried, names)],
         *[StructField(c, DoubleType() if c in ("_log", "score") else LongType()) for c in ("_row", "n_tokens", "_known", "_log", "score", "_bytes")],
         StructField("_rare", ArrayType(LongType())),
         StructField("_open", ArrayType(StructType([StructField("bucket", LongType()), StructField("data", BinaryType())]))),
     ])
-    scored = materialize(docs.select(*[F.col(f"`{c}`") for c in names], "text").mapInArrow(score, schema), "scored")
+    scored = materialize(docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(carried, names)], "text").mapInArrow(score, schema), "scored")
     rest = (
         scored.where(F.size("_rare") > 0).select("_row", F.explode("_rare").alias("word"))
         .groupBy("_row", "word").agg(F.count(F.lit(1)).alias("times"))
@@ -664,7 +665,7 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON,
     score_of = F.col("score") if model.whole else F.col("score") + F.coalesce("_deep", F.lit(0.0))
     floor = F.log10(F.lit(float(total) + 0.5 * (distinct + 1)))
     return joined.withColumn("score", score_of).select(
-        *[F.col(f"`{c}`") for c in names], "n_tokens",
+        *[F.col(k).alias(c) for k, c in zip(carried, names)], "n_tokens",
         (F.col("_known") + F.coalesce("_more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("_log") + F.coalesce("_log_more", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),

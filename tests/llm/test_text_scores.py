@@ -214,6 +214,28 @@ def test_language_scores_of_odd_rows(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in untrained)
 
 
+def test_inner_names_may_be_those_of_columns(spark):
+    names = ["_text", "_words", "_lines", "_hashes", "_windows", "_sorted", "_host", "_row", "_known", "_log", "_bytes", "_rare", "_open",
+             "_more", "_log_more", "_deep", "_lettered", "word", "n", "Score"]
+    plain = odd_documents(spark).select("doc_id", "text", "source")
+    docs = plain.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in names])
+    model = quality_knn.fit(plain.select(F.xxhash64("doc_id").alias("key"), F.lit(1).alias("label"), "text"))
+    network = byte_cnn.fit(odd_documents(spark).selectExpr("doc_id key", "lang", "text"))
+    results = [
+        (lambda d: host_rules.host_rules(d), "kept"),
+        (lambda d: quality_knn.quality_scores(d, model, [c for c in d.columns if c != "text"]), "predicted"),
+        (lambda d: tree_lm.language_scores(d, plain), "n_known"),
+        (lambda d: byte_cnn.predicted(d, network), "lang_pred"),
+    ]
+    for run, column in results:
+        got, alone = run(docs), run(plain)
+        kept = [c for c in names if c in got.columns]
+        assert set(names) - set(kept) <= {"Score"}
+        rows = got.collect()
+        assert all(r[c] == (None if r["doc_id"] is None else f"{c} {r['doc_id']}") for r in rows for c in kept)
+        assert sorted((r["doc_id"] or -1, str(r[column])) for r in rows) == sorted((r["doc_id"] or -1, str(r[column])) for r in alone.collect())
+
+
 def test_languages_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = text_queries.op8_byte_cnn(spark, sf).where("held_out").join(documents(spark, sf).select("doc_id", "lang"), "doc_id").toPandas()

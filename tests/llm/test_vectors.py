@@ -62,6 +62,15 @@ def test_odd_vectors_take_no_part(spark):
     assert search(spark, odd[:6]).count() == 0
 
 
+def test_vectors_of_another_length_and_repeated_ids(spark):
+    rows = [(i, [float(i), 1.0], None, None) for i in range(1, 4)] + [(8, [1.0], None, None), (9, [1.0, 2.0, 3.0], None, None), (70, [3.0], None, None)]
+    repeated = [(70, [2.0, 1.0], None, None), (70, [9.0, 1.0], None, None)]
+    for order in (rows + repeated, (rows + repeated)[::-1]):
+        got = search(spark, order).orderBy("rank").collect()
+        assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(70, 1, 2), (70, 2, 3), (70, 3, 1)]
+        assert got[0]["score"] == pytest.approx(1)
+
+
 def test_best_first_visits_every_leaf_once():
     sample = kmeans_tree.unit(np.random.default_rng(0).normal(size=(500, 4)))
     tree = kmeans_tree.Tree(sample, 4, 3)
