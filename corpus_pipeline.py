@@ -1,4 +1,10 @@
-"""The corpus pipeline: rules, quality, near duplicates, mixing and encoding, one stage after another."""
+"""The corpus pipeline: rules, quality, near duplicates, mixing and encoding, one stage after another.
+
+Only the five columns of ``documents`` are read, whatever else a table carries. A null text counts
+as an empty one, which the rules reject; a null source is one host. Rows repeated with one doc_id
+are near duplicates of each other, so one of them stays. Texts of any length are read whole. Each
+stage gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
