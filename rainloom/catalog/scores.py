@@ -13,7 +13,7 @@ from rainloom.constants import SWEEP_ENSEMBLE, SWEEP_EVALUATION, SWEEP_RETRAIN
 from rainloom.sources.tables import read_table
 from rainloom.operators.metrics import (
     apply_group_threshold, auc, balanced_weights, best_threshold, brier, classification_metrics, grid,
-    median_threshold, pooled_too, regression_metrics, roc_points, rolled_up_metrics, threshold_sweep,
+    median_threshold, regression_metrics, roc_points, rolled_up_auc, rolled_up_metrics, threshold_sweep,
 )
 
 KEY = ["station_id"]
@@ -103,7 +103,7 @@ def auc_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
        + " SELECT * FROM auc")
 def auc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC per station and pooled over all stations."""
-    return rounded(auc(pooled_too(persistence(spark, sf_dir), "station_id"), KEY, "score", "y"), "auc_roc")
+    return rounded(rolled_up_auc(persistence(spark, sf_dir), [], "station_id", "score", "y"), "auc_roc")
 
 
 @query(_LEAD_SQL + f""",

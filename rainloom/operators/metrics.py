@@ -51,11 +51,6 @@ def rolled_up_metrics(df: DataFrame, group: list[str], station: str, label: str,
     return with_scores(rolled.withColumn(station, name).drop("_pooled"))
 
 
-def pooled_too(df: DataFrame, station: str) -> DataFrame:
-    """Rows twice: under their station and under the name for all stations."""
-    return df.withColumn(station, F.explode(F.array(F.col(station), F.lit(ALL))))
-
-
 def score_counts(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
     """Positives and negatives per distinct score."""
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
@@ -68,14 +63,33 @@ def _ranked(df: DataFrame, group: list[str], score: str, label: str, splits: lis
     return running_totals(score_counts(df, group, score, label), group, score, ["pos", "neg"], splits)
 
 
+def _area(ranked: DataFrame, group: list[str]) -> DataFrame:
+    pairs = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
+    p, n = F.max("pos_all").cast("double"), F.max("neg_all").cast("double")
+    return ranked.groupBy(*group).agg(ratio(pairs, p * n).alias("auc_roc"))
+
+
 def auc(df: DataFrame, group: list[str], score: str, label: str, splits: list[float] | None = None) -> DataFrame:
     """Exact area under the ROC curve with ties at half weight; null with one class only.
 
     ``splits`` only balances the work; by default taken from the scores.
     """
-    pairs = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
-    p, n = F.max("pos_all").cast("double"), F.max("neg_all").cast("double")
-    return _ranked(df, group, score, label, splits).groupBy(*group).agg(ratio(pairs, p * n).alias("auc_roc"))
+    return _area(_ranked(df, group, score, label, splits), group)
+
+
+def rolled_up_auc(
+    df: DataFrame, group: list[str], station: str, score: str, label: str, splits: list[float] | None = None
+) -> DataFrame:
+    """The same per station and for all stations together. Rows are counted once per station and
+    score; the counts of the stations, not the rows, add up to those of all."""
+    counts = score_counts(df, [*group, station], score, label)
+    sets = [F.col(c) for c in [*group, score]]
+    rolled = counts.groupingSets([[*sets, F.col(station)], sets], *sets, F.col(station)).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.grouping(station).alias("_pooled")
+    )
+    name = F.when(F.col("_pooled") == 1, ALL).otherwise(F.col(station))
+    both = rolled.withColumn(station, name).drop("_pooled")
+    return _area(running_totals(both, [*group, station], score, ["pos", "neg"], splits), [*group, station])
 
 
 def roc_points(df: DataFrame, group: list[str], score: str, label: str, splits: list[float] | None = None) -> DataFrame:

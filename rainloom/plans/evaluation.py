@@ -14,7 +14,7 @@ from rainloom.operators.baselines import best_vote_count, long_decisions, single
 from rainloom.operators.ensemble_features import phase_features
 from rainloom.operators.features import shifted_features
 from rainloom.operators.metrics import (
-    auc, best_threshold, classification_metrics, pooled_too, rolled_up_metrics, threshold_sweep,
+    auc, best_threshold, classification_metrics, rolled_up_auc, rolled_up_metrics, threshold_sweep,
 )
 from rainloom.operators.boosting import chances
 from rainloom.operators.models import Fitted, Grown, calibrated, predict
@@ -179,7 +179,7 @@ def evaluate(predictions: DataFrame, group: list[str], label: str, score: str =
 def evaluate_by_station(predictions: DataFrame, group: list[str], station: str, label: str) -> DataFrame:
     """Per station and for all stations together."""
     metrics = rolled_up_metrics(predictions, group, station, label, "pred")
-    areas = auc(pooled_too(predictions, station), [*group, station], "score", label)
+    areas = rolled_up_auc(predictions, group, station, "score", label)
     return metrics.join(areas, [*group, station], "left")
 
 

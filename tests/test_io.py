@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from rainloom.catalog.bindings import event_rows, observation_cells
 from rainloom.constants import EXPERIMENTS_DDL
-from rainloom.operators.features import feature_store
+from rainloom.operators.features import LOOKAHEAD, LOOKBACK, feature_store
 from rainloom.operators.grid import dense_hourly
 from rainloom.operators.ledger import conform, experiment_rows, should_promote
 from rainloom.sinks import tables as sink
 from rainloom.sources.planner import missing_periods
 from rainloom.sources.series_json import normalise_names, read_series
 from rainloom.sources.tables import horizon, small_rows, up_to
-from rainloom.streaming.incremental import current_store, run_feature_stream
+from rainloom.streaming.incremental import compact, current_store, run_feature_stream
 from rainloom.streaming.landing import land
 from tests.series import as_set, at
 
@@ -138,3 +138,24 @@ def test_stream_with_late_rows_equals_full_build(spark, tmp_path):
     got = current_store(spark, f"{tmp_path}/store", ["station_id"])
     full = feature_store(dense_hourly(rows, ["station_id"], "ts", observation_cells()), ["station_id"])
     assert as_set(got, 6) == as_set(full, 6)
+
+
+def test_one_late_row_recomputes_its_blocks_only(spark, tmp_path):
+    """A year of two stations, a gap of 40 days, one late row: the late batch holds the hours it reaches."""
+    keys, cells = ["station_id"], observation_cells()
+    hours = spark.range(24 * 365).where("id NOT BETWEEN 2000 AND 2960").withColumn("station_id", F.explode(F.array(F.lit("a"), F.lit(None))))
+    rows = hours.select(
+        "station_id", (at("2024-01-01 00:00:00") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("ts"),
+        (F.col("id") % 7).cast("double").alias("value"), F.col("id").alias("user_id"), (F.col("id") % 5).cast("int").alias("k"),
+    )
+    late = (F.col("ts") == at("2024-03-10 05:00:00")) & F.col("station_id").eqNullSafe("a")
+    for part, store in ((~late, "one"), (late, "two")):
+        if store == "two":
+            compact(spark, f"{tmp_path}/one", f"{tmp_path}/two", keys)
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        run_feature_stream(stream, keys, "ts", cells, f"{tmp_path}/raw", f"{tmp_path}/{store}", f"{tmp_path}/cp")
+    batches = {r["_batch"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/two").groupBy("_batch").count().collect()}
+    assert len(batches) == 2 and batches[max(batches)] <= LOOKBACK + LOOKAHEAD + 1
+    got = current_store(spark, f"{tmp_path}/two", keys)
+    assert as_set(got, 6) == as_set(feature_store(dense_hourly(rows, keys, "ts", cells), keys), 6)

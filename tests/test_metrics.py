@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from rainloom.functions.numeric import guarded_corr
 from rainloom.operators.baselines import best_vote_count
 from rainloom.operators.metrics import (
-    auc, best_threshold, classification_metrics, grid, median_threshold, regression_metrics, roc_points,
-    rolled_up_metrics, threshold_sweep,
+    ALL, auc, best_threshold, classification_metrics, grid, median_threshold, regression_metrics, roc_points,
+    rolled_up_auc, rolled_up_metrics, threshold_sweep,
 )
 from rainloom.operators.prefix import exact_quantiles
 from rainloom.operators.profile import class_balance, column_profile, correlations, histogram, null_report
@@ -40,6 +40,17 @@ def test_auc_is_exact_whatever_the_splits(scored, splits):
         assert r["auc_roc"] == (None if expected is None else pytest.approx(expected))
 
 
+@pytest.mark.parametrize("splits", [None, [0.2, 0.6]])
+def test_rolled_up_auc_equals_brute_force(scored, splits):
+    odd = scored.withColumn("g", F.when(F.col("g") != "b", F.col("g")))
+    rows = odd.collect()
+    got = {r["g"]: r["auc_roc"] for r in rolled_up_auc(odd, [], "g", "p", "y", splits).collect()}
+    assert set(got) == {r["g"] for r in rows} | {ALL}
+    for g, area in got.items():
+        expected = brute_auc([(x["y"], x["p"]) for x in rows if g == ALL or x["g"] == g])
+        assert area == (None if expected is None else pytest.approx(expected))
+
+
 def test_auc_agrees_with_evaluator(scored):
     ours = auc(scored, [], "p", "y", [0.3, 0.6]).first()["auc_roc"]
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="y", numBins=0)
