@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rainloom.catalog.bindings import GRID_SQL, dense_observations, model_forecasts, observations, region_days
+from rainloom.catalog.bindings import GRID_SQL, dense_observations, exact_mean, model_forecasts, observations, region_days
 from rainloom.catalog.ensembles import labelled
 from rainloom.catalog.feature_sets import CALENDAR_SQL, CYCLE_SQL, DELTA_SQL, EXTRA_SQL, FLAG_SQL, LAG_SQL, W, WIND_SQL, rolling_sql
 from rainloom.catalog.profiles import store
 from rainloom.catalog.registry import query
 from rainloom.constants import (
-    ALL_FEATURES, BASE_FEATURES, RAW_COLUMNS, SWEEP_ENSEMBLE, SWEEP_REGIONAL, SWEEP_RETRAIN,
+    ALL_FEATURES, BASE_FEATURES, MODEL_VERSIONS_DDL, RAW_COLUMNS, SWEEP_ENSEMBLE, SWEEP_REGIONAL, SWEEP_RETRAIN,
 )
 from rainloom.functions.ensemble import live_name
 from rainloom.functions.labels import event
@@ -21,6 +21,7 @@ from rainloom.operators.bagging import ForestSettings
 from rainloom.operators.baselines import best_vote_count, long_decisions, single_model_f1, vote_count
 from rainloom.operators.blocks import over_blocks
 from rainloom.operators.ensemble_features import ensemble_feature_names, ensemble_features
+from rainloom.operators.ledger import conform
 from rainloom.operators.metrics import best_threshold, brier, grid, regression_metrics, threshold_sweep
 from rainloom.operators.models import (
     Grower, calibrated, fit_amount, fit_boosted, fit_forest, importances, predict, predict_amount,
@@ -33,8 +34,10 @@ from rainloom.plans.evaluation import (
     leave_one_out, out_of_fold, predict_each, source_matrix, stack, stacked_leave_one_out, transfer, weighted_by_hours,
 )
 from rainloom.plans.serving import publish, score_ensemble, score_hours, serving_frame
-from rainloom.plans.training import retrain, train_ensemble, train_regional
+from rainloom.plans.training import retrain_into, train_ensemble, train_regional
 from rainloom.session import materialize, scratch_path
+from rainloom.sinks.tables import read_evolved
+from rainloom.sources.tables import read_table
 
 T = "observation_time"
 KEY = ["station_id"]
@@ -119,16 +122,32 @@ def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- classifiers ------------------------------------------------------------------------
 
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six years of days with lags of the orders' mean price and number, and whether the next day's mean is high."""
+    days = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("timestamp_ntz").alias(T)).agg(
+        exact_mean(F.col("o_totalprice")).alias("price"), F.count(F.lit(1)).cast("double").alias("n_orders"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"),
+    )
+    columns = lambda w: {f"{c}_lag_{k}d": F.lag(c, k).over(w) for c in ("price", "n_orders", "urgent") for k in (1, 2, 7)} | {
+        "next_high": (F.lead("price", 1).over(w) > HIGH_PRICE).cast("int"),
+    }
+    lagged = over_blocks(days, [], T, 7, 1, columns, step_hours=24)
+    return lagged.withColumns({"weekday": F.dayofweek(T).cast("double"), "month": F.month(T).cast("double")})
+
+
+HIGH_PRICE = 250_000.0
+DAY_FEATURES = ["price", "n_orders", "urgent", "weekday", "month"] + [f"{c}_lag_{k}d" for c in ("price", "n_orders", "urgent") for k in (1, 2, 7)]
+
+
 @query()
 def retrain_with_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly retraining on the daily scale of the fixture: fit, calibrate, test, promote, ledger."""
-    rows = training_rows(spark, sf_dir)
-    features, created = BASE_FEATURES, _moment("2024-02-01 00:00:00")
-    champion = champion_of(rows)
-    # The fixture spans one month: its hours are spread over three years to fill the windows.
-    shifted = rows.drop("split").withColumn(T, F.col(T) + (F.col(T) - _moment("2024-01-01 00:00:00")) * 35)
-    _, ledger = retrain(shifted, features, Y, _moment("2026-12-15 00:00:00"), fit_forest, 2, created, champion)
-    return ledger
+    """Three monthly retrainings on six years of days: fit, calibrate on a year, test on a year, promote or keep, and
+    the stored ledger read back."""
+    days, path = materialize(order_days(spark, sf_dir), "order-days"), scratch_path(spark, "ledger")
+    champion = None
+    for version, month in enumerate(("2001-04-01 00:00:00", "2001-05-01 00:00:00", "2001-06-01 00:00:00"), 1):
+        champion = retrain_into(path, days, DAY_FEATURES, "next_high", _moment(month), fit_forest, version, _moment(month), champion)
+    return conform(read_evolved(spark, path), MODEL_VERSIONS_DDL)
 
 
 @query()

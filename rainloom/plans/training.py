@@ -17,6 +17,7 @@ from rainloom.plans.evaluation import (
     Fit, decided, evaluate, fit_each, folded_thresholds, groups_of, leave_one_out, predict_each, stack, station_folds,
 )
 from rainloom.session import materialize
+from rainloom.sinks.tables import append, merge_update_partitions
 
 T = "observation_time"
 
@@ -27,7 +28,8 @@ def retrain(
 ) -> tuple[Fitted, DataFrame]:
     """Fit, calibrate and test a new version, and judge it against the champion on the same
     test rows, each at its own threshold. Returns the model and its ledger row(s): one for
-    the new version and, where the champion stays, one with the champion's renewed metrics."""
+    the new version and, where the champion stays, one with the champion's renewed metrics
+    (its training rows aren't known here)."""
     wanted = sorted(set(features) | set(champion.features if champion else []))
     rows = rolling_split(store.where(F.col(T) < as_of).dropna(subset=[*wanted, label]), as_of, calibrate_months, test_months)
     rows = materialize(rows, "retrain")
@@ -48,7 +50,7 @@ def retrain(
     shown = [("new", model, promoted)] + ([] if promoted or not champion else [("champion", champion, True)])
     entries = [
         (m.version, m.label, keep, *[float(metrics[n][c]) if metrics[n][c] is not None else None for c in ("f1", "accuracy", "precision", "recall", "auc_roc")],
-         sizes["train_size"], sizes["test_size"], sizes["test_rain_rate"], float(m.threshold))
+         sizes["train_size"] if n == "new" else None, sizes["test_size"], sizes["test_rain_rate"], float(m.threshold))
         for n, m, keep in shown
     ]
     ledger = store.sparkSession.createDataFrame(entries, (
@@ -58,6 +60,28 @@ def retrain(
     return model, conform(ledger.withColumn("created_at", created_at), MODEL_VERSIONS_DDL)
 
 
+RENEWED = ["f1", "accuracy", "precision", "recall", "auc_roc", "test_size", "test_rain_rate", "threshold"]
+
+
+def retrain_into(
+    ledger: str, store: DataFrame, features: list[str], label: str, as_of: Column, fit: Fit, version: int, created_at: Column,
+    champion: Fitted | None = None, calibrate_months: int = 12, test_months: int = 12,
+) -> Fitted:
+    """``retrain`` with its rows in a stored ledger, partitioned by version; returns the champion from now on.
+
+    The new version is appended. Where the champion stays, its row gets the metrics of today's
+    test in place of the old ones; rows of other versions aren't rewritten.
+    """
+    model, entries = retrain(store, features, label, as_of, fit, version, created_at, champion, calibrate_months, test_months)
+    entries = materialize(entries, "ledger-rows")
+    append(entries.where(F.col("version") == version), ledger, ["version"])
+    renewed = entries.where(F.col("version") != version)
+    if renewed.isEmpty():
+        return model
+    merge_update_partitions(renewed, ledger, ["version"], RENEWED, ["version"])
+    return champion
+
+
 def train_regional(
     split: DataFrame, station: str, features: list[str], label: str, fit: Fit, version: int, created_at: Column,
     f1_champion: float | None = None, at_least: int = 500,

@@ -1,5 +1,9 @@
 """Boosting and forests of histogram trees, and the protocols that fit many of them at once."""
 
+import glob
+import os
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,12 +12,12 @@ from rainloom.operators import bagging, boosting
 from rainloom.operators.bagging import ForestSettings, forests
 from rainloom.operators.boosting import Settings, ensembles
 from rainloom.operators.metrics import auc, grid
-from rainloom.operators.models import Grower, fit_bagged, fit_boosted, load_model, predict, save_model
+from rainloom.operators.models import Grower, fit_bagged, fit_boosted, fit_forest, load_model, predict, save_model
 from rainloom.operators.splits import assign_folds, fold_numbers
 from rainloom.plans.evaluation import (
     approaches_station_out, cross_fitted, fit_each, leave_one_out, out_of_fold, predict_each, stacked_leave_one_out,
 )
-from rainloom.plans.training import train_ensemble
+from rainloom.plans.training import retrain_into, train_ensemble
 from tests.series import T, at
 
 NAMES = ["a", "b", "c", "d"]
@@ -215,3 +219,24 @@ def test_folds_by_the_lightest(spark, folds):
 def test_full_settings_are_the_defaults():
     assert fit_boosted.settings == Settings(rounds=300, step=0.05, leaves=31, l2=1.0, least_rows=20)
     assert fit_bagged.settings == ForestSettings(trees=300, depth=12, least_rows=20, balance="bag")
+
+
+def test_a_kept_champion_gets_new_metrics_in_the_stored_ledger(spark, tmp_path):
+    """The champion sees a column that tells the label, later versions only noise."""
+    days = spark.range(4 * 365).select(
+        (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("id").cast("int"))).alias("observation_time"),
+        (F.abs(F.hash("id")) % 2).alias("y"), (F.abs(F.hash("id")) % 2 + F.rand(1) / 4).alias("told"), F.rand(2).alias("noise"),
+    )
+    path, small = str(tmp_path / "ledger"), partial(fit_forest, trees=3, depth=3)
+    month = lambda name: at(f"{name}-01 00:00:00")
+    first = retrain_into(path, days, ["told"], "y", month("2023-06"), small, 1, month("2023-06"))
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/version=1/*.parquet")}
+    kept = retrain_into(path, days, ["noise"], "y", month("2023-08"), small, 2, month("2023-08"), first)
+    assert kept is first and kept.version == 1
+    rows = {r["version"]: r for r in spark.read.parquet(path).collect()}
+    assert rows[1]["promoted"] and not rows[2]["promoted"] and rows[1]["f1"] > rows[2]["f1"]
+    assert rows[1]["train_size"] < rows[2]["train_size"] and rows[1]["test_size"] == rows[2]["test_size"]
+    assert rows[1]["test_rain_rate"] == rows[2]["test_rain_rate"]
+    assert not set(before) & set(glob.glob(f"{path}/version=1/*.parquet"))
+    third = retrain_into(path, days, ["told", "noise"], "y", month("2023-09"), small, 3, month("2023-09"), kept)
+    assert third.version in (1, 3) and spark.read.parquet(path).count() == 3
