@@ -17,6 +17,8 @@ from rainloom.session import materialize
 
 #: The stages before leave hardly any text of the third domain, so two have a target here.
 TARGETS = {"clean": 0.95, "toxic": 0.05}
+#: A limit on repetition: without one, a few short documents are repeated hundreds of times for a domain that has hardly any text.
+MOST_RATE = 4.0
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -44,14 +46,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates for the target weights say.
+    """Documents as often as their rates for the target weights say, ``MOST_RATE`` times on average at most.
 
     Examples come from the whole ``documents`` table, as in ``pass_quality``.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     every = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = soft_mix.fit(soft_mix.labelled_domains(every, labels), [*TARGETS])
-    return soft_mix.mixed(docs.select(*COLUMNS), model, TARGETS)
+    return soft_mix.mixed(docs.select(*COLUMNS), model, TARGETS, MOST_RATE)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
