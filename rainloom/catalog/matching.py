@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainloom.catalog.bindings import (
     CELLS_SQL, FORECASTS_SQL, GRID_SQL, REGION_DAYS_SQL, daily_truth, dense_observations, forecast_history,
@@ -161,20 +161,26 @@ def persistent_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RANGE_SQL = lambda seconds: "CASE " + " ".join(f"WHEN {seconds} <= {h * 3600} THEN '{n}'" for h, n in LEAD_RANGES) + f" ELSE '{LEAD_REST}' END"
-_LEAD_SQL = "WITH" + FORECASTS_SQL + f""",
+_lead_sql = lambda known: "WITH" + FORECASTS_SQL + f""",
 lead AS (
   SELECT l_orderkey, l_linenumber, station_id, target_time, inferencia_local, modelo, ROUND(prob_chuva, 3) AS prob_chuva, pred_vai_chover, api_precip_alvo,
     CAST(CEIL((epoch(target_time) - epoch(inferencia_local)) / 3600) AS INTEGER) AS antecedencia_h,
     {_RANGE_SQL("epoch(target_time) - epoch(inferencia_local)")} AS faixa_antecedencia,
     CAST(api_precip_alvo > 0 AS INTEGER) AS api_vai_chover, precipitation AS chuva_real_mm, CAST(precipitation > 0 AS INTEGER) AS choveu
-  FROM fc JOIN truth ON observation_time = target_time AND observation_time <= TIMESTAMP '2001-06-30 00:00:00' WHERE inferencia_local < target_time)"""
+  FROM fc JOIN truth ON observation_time = target_time{known} WHERE inferencia_local < target_time)"""
+_LEAD_SQL = _lead_sql(f" AND observation_time <= TIMESTAMP '{_AS_OF}'")
+_ALL_LEAD_SQL = _lead_sql("")
+
+
+def forecasts_by_lead(spark: SparkSession, sf_dir: str, as_of: Column | None = None) -> DataFrame:
+    history = forecast_history(spark, sf_dir).drop("threshold_usado")
+    return accuracy_by_lead(history, daily_truth(spark, sf_dir), as_of=as_of)
 
 
 @query(_LEAD_SQL + " SELECT * FROM lead")
 def accuracy_by_lead_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every forecast against the observation, with its lead time."""
-    history = forecast_history(spark, sf_dir).drop("threshold_usado")
-    return accuracy_by_lead(history, daily_truth(spark, sf_dir), as_of=F.lit(_AS_OF).cast("timestamp_ntz"))
+    return forecasts_by_lead(spark, sf_dir, F.lit(_AS_OF).cast("timestamp_ntz"))
 
 
 @query("""
@@ -379,11 +385,11 @@ def projection_minus_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT * EXCEPT (event_type, props) FROM {events}", events=read_table(spark, sf_dir, "events"))
 
 
-@query(_LEAD_SQL + """
+@query(_ALL_LEAD_SQL + """
 SELECT faixa_antecedencia, COUNT(*) AS n, SUM(CAST(choveu = pred_vai_chover AS INTEGER)) AS acertos FROM lead GROUP BY 1""")
 def sql_over_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verification result as a view, queried in SQL."""
-    register_view(accuracy_by_lead_view(spark, sf_dir), "rain_model_accuracy_by_lead")
+    """The verification result of all observed hours as a view, queried in SQL."""
+    register_view(forecasts_by_lead(spark, sf_dir), "rain_model_accuracy_by_lead")
     return from_sql(spark, """
         SELECT faixa_antecedencia, count(*) AS n, sum(CAST(choveu = pred_vai_chover AS INT)) AS acertos
         FROM rain_model_accuracy_by_lead GROUP BY faixa_antecedencia""")

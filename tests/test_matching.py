@@ -5,6 +5,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from rainloom.catalog import queries
 from rainloom.constants import ENSEMBLE_MODELS
 from rainloom.functions.ensemble import live_name, row_max, row_mean, vote_share, votes
 from rainloom.functions.labels import alert_level, outcome
@@ -140,3 +141,22 @@ def test_forest_learns_calibrates_and_round_trips(spark, learnable, tmp_path):
     again = load_model(spark, str(tmp_path / "m"))
     assert (again.features, again.threshold, again.label) == (["x", "z"], model.threshold, "forest v1")
     assert as_set(predict(model, learnable)) == as_set(predict(again, learnable))
+
+
+@pytest.fixture(scope="module")
+def late_forecasts(spark, tmp_path_factory):
+    """Three forecasts of June and one of December 2001, each for a day with orders."""
+    days = [datetime(2001, 6, 1), datetime(2001, 6, 2), datetime(2001, 12, 1), datetime(2001, 12, 2)]
+    orders = [(k, day, price) for k, (day, price) in enumerate(zip(days, (300000.0, 200000.0, 300000.0, 300000.0)))]
+    lines = [(0, 1, 5, days[1], 0.02, 0.05), (0, 2, 5, days[1], 0.08, 0.05), (0, 3, 6, days[1], 0.01, 0.02), (2, 1, 5, days[3], 0.09, 0.08)]
+    folder = str(tmp_path_factory.mktemp("tables"))
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate timestamp_ntz, o_totalprice double").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp_ntz, l_discount double, l_tax double"
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_view_in_sql_counts_all_observed_hours(spark, late_forecasts):
+    assert [(r["n"], r["acertos"]) for r in queries()["sql_over_view"](spark, late_forecasts).collect()] == [(4, 3)]
+    assert queries()["accuracy_by_lead_view"](spark, late_forecasts).count() == 3
