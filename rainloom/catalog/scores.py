@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rainloom.catalog.bindings import REGION_DAYS_SQL, SCORED_SQL, region_days, scored_labels
 from rainloom.catalog.feature_sets import FEATURED_SQL
-from rainloom.catalog.matching import _LEAD_SQL
+from rainloom.catalog.matching import _ALL_LEAD_SQL, forecasts_by_lead
 from rainloom.catalog.profiles import store
 from rainloom.catalog.registry import query
 from rainloom.constants import SWEEP_ENSEMBLE, SWEEP_EVALUATION, SWEEP_RETRAIN
@@ -106,15 +106,13 @@ def auc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rolled_up_auc(persistence(spark, sf_dir), [], "station_id", "score", "y"), "auc_roc")
 
 
-@query(_LEAD_SQL + f""",
+@query(_ALL_LEAD_SQL + f""",
 c AS (SELECT faixa_antecedencia, {counts_sql('choveu', 'pred_vai_chover')} FROM lead GROUP BY 1),
 b AS (SELECT faixa_antecedencia, ROUND(AVG((prob_chuva - choveu) * (prob_chuva - choveu)), 6) AS brier FROM lead GROUP BY 1)
 SELECT *, {METRICS_SQL} FROM c JOIN b USING (faixa_antecedencia)""")
 def lead_range_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion metrics and Brier score per lead range."""
-    from rainloom.catalog.matching import accuracy_by_lead_view
-
-    rows = accuracy_by_lead_view(spark, sf_dir)
+    """Confusion metrics and Brier score per lead range, over all observed hours."""
+    rows = forecasts_by_lead(spark, sf_dir)
     scores = classification_metrics(rows, ["faixa_antecedencia"], "choveu", "pred_vai_chover")
     briers = rows.groupBy("faixa_antecedencia").agg(F.round(brier("prob_chuva", "choveu"), 6).alias("brier"))
     return rounded(scores.join(briers, "faixa_antecedencia"))

@@ -160,3 +160,8 @@ def late_forecasts(spark, tmp_path_factory):
 def test_view_in_sql_counts_all_observed_hours(spark, late_forecasts):
     assert [(r["n"], r["acertos"]) for r in queries()["sql_over_view"](spark, late_forecasts).collect()] == [(4, 3)]
     assert queries()["accuracy_by_lead_view"](spark, late_forecasts).count() == 3
+
+
+def test_lead_ranges_are_scored_over_all_observed_hours(spark, late_forecasts):
+    row = queries()["lead_range_scores"](spark, late_forecasts).first()
+    assert (row["vp"], row["fp"], row["fn"], row["vn"], row["n"]) == (1, 1, 0, 2, 4)
