@@ -18,6 +18,8 @@ from rainloom.operators.boosting import Ensemble, Settings, chances, ensembles
 from rainloom.operators.metrics import balanced_weights, best_threshold, threshold_sweep
 
 SEED = 42
+#: Marks a label as 0 or 1, so that a model has two classes even if its rows show one.
+TWO_CLASSES = {"ml_attr": {"type": "binary"}}
 
 
 @dataclass(frozen=True)
@@ -79,8 +81,8 @@ def fit_forest(
     train: DataFrame, features: list[str], label: str, trees: int = 200, depth: int = 15, leaf: int = 1,
     balanced: bool = True, name: str = "forest", version: int = 1,
 ) -> Fitted:
-    """Random forest on complete rows, classes weighted to balance."""
-    rows = train.select(*features, F.col(label).cast("double").alias(label)).dropna()
+    """Random forest on complete rows, classes weighted to balance. Rows of one class give a model that is sure of it."""
+    rows = train.select(*features, F.col(label).cast("double").alias(label, metadata=TWO_CLASSES)).dropna()
     rows = balanced_weights(rows, label) if balanced else rows
     forest = RandomForestClassifier(
         featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=SEED

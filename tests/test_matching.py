@@ -143,6 +143,12 @@ def test_forest_learns_calibrates_and_round_trips(spark, learnable, tmp_path):
     assert as_set(predict(model, learnable)) == as_set(predict(again, learnable))
 
 
+def test_forest_of_dry_rows_is_sure_of_no_event(spark, learnable):
+    dry = learnable.withColumn("y", F.lit(0))
+    model = calibrated(fit_forest(dry, ["x", "z"], "y", trees=3, depth=3), dry, "y", [0.1, 0.5])
+    assert {r["prob"] for r in predict(model, learnable).collect()} == {0.0}
+
+
 @pytest.fixture(scope="module")
 def late_forecasts(spark, tmp_path_factory):
     """Three forecasts of June and one of December 2001, each for a day with orders."""
