@@ -138,16 +138,20 @@ def load_model(spark: SparkSession, path: str) -> Fitted | Grown:
 
 # --- amounts ----------------------------------------------------------------------------
 
-def fit_amount(train: DataFrame, features: list[str], amount: str, trees: int = 200, depth: int = 15) -> PipelineModel:
-    """Forest for the amount, fitted on wet rows only."""
+def fit_amount(train: DataFrame, features: list[str], amount: str, trees: int = 200, depth: int = 15) -> PipelineModel | None:
+    """Forest for the amount, fitted on wet rows only; no model where there are none."""
     wet = train.where(F.col(amount) > 0).dropna(subset=features)
+    if wet.isEmpty():
+        return None
     forest = RandomForestRegressor(featuresCol="_x", labelCol=amount, numTrees=trees, maxDepth=depth, seed=SEED, predictionCol="_amount")
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), forest]).fit(wet)
 
 
-def predict_amount(gate: Fitted, amount_model: PipelineModel, df: DataFrame, out: str = "amount") -> DataFrame:
-    """Two stages: nothing where the classifier says no, else the amount, never below 0."""
+def predict_amount(gate: Fitted, amount_model: PipelineModel | None, df: DataFrame, out: str = "amount") -> DataFrame:
+    """Two stages: nothing where the classifier says no, else the amount, never below 0. Without a model of
+    the amount it is null where the classifier says yes."""
     gated = predict(gate, df, "_gate")
-    scored = amount_model.transform(gated)
-    value = F.when(F.col("_gate") >= gate.threshold, clip_at_zero(F.col("_amount"))).otherwise(F.lit(0.0))
+    scored = amount_model.transform(gated) if amount_model else gated
+    wet = clip_at_zero(F.col("_amount")) if amount_model else F.lit(None).cast("double")
+    value = F.when(F.col("_gate") >= gate.threshold, wet).otherwise(F.lit(0.0))
     return scored.withColumn(out, value).select(*df.columns, out)

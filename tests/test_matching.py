@@ -12,7 +12,9 @@ from rainloom.functions.labels import alert_level, outcome
 from rainloom.functions.timeparts import gauge_day, hour_floor, hour_from_index, hour_index, lead_hours, lead_range
 from rainloom.operators.ensemble_features import ensemble_feature_names, ensemble_features
 from rainloom.operators.joins import all_but_own, monthly_index_filled
-from rainloom.operators.models import calibrated, fit_forest, importances, load_model, predict, save_model
+from rainloom.operators.models import (
+    calibrated, fit_amount, fit_forest, importances, load_model, predict, predict_amount, save_model,
+)
 from rainloom.operators.splits import assign_folds, large_enough, months_before, rolling_split, trailing_per_group
 from rainloom.operators.verification import accuracy_hourly, lag_scores, latest_before_target, shifted_join
 from tests.series import T, as_set, at
@@ -149,6 +151,15 @@ def test_forest_of_dry_rows_is_sure_of_no_event(spark, learnable):
     assert {r["prob"] for r in predict(model, learnable).collect()} == {0.0}
 
 
+def test_amounts_without_a_wet_row(spark, learnable):
+    rows = learnable.withColumn("rain", F.lit(0.0))
+    amount = fit_amount(rows, ["x", "z"], "rain", trees=3, depth=3)
+    dry = fit_forest(rows.withColumn("y", F.lit(0)), ["x", "z"], "y", trees=3, depth=3)
+    assert {r["amount"] for r in predict_amount(dry, amount, rows).collect()} == {0.0}
+    wet = predict_amount(fit_forest(rows, ["x", "z"], "y", trees=3, depth=3), amount, rows).collect()
+    assert {r["amount"] for r in wet} == {0.0, None}
+
+
 @pytest.fixture(scope="module")
 def late_forecasts(spark, tmp_path_factory):
     """Three forecasts of June and one of December 2001, each for a day with orders."""
