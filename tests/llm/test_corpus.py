@@ -75,6 +75,51 @@ def test_byte_pair_ids_equal_the_library():
         assert ids[offsets[k] : offsets[k + 1]].tolist() == [*expected.ids, 0]
 
 
+def test_each_word_goes_to_the_library_once(monkeypatch):
+    given = []
+    library = grammar_store.Pieces.library
+    monkeypatch.setattr(grammar_store.Pieces, "library", lambda self, pieces, *more: given.extend(pieces) or library(self, pieces, *more))
+    text = "so sonné sonné! sonné!!! sonné.\nRéa Réa; sonné.\nRéa,\nsonné"
+    ids, _ = grammar_store.Pieces(PAIRS).encode([text, None, text])
+    assert ids.tolist() == [*Tokenizer.from_file(PAIRS).encode(text, add_special_tokens=False).ids, 0, 0] + ids.tolist()[: len(ids) // 2]
+    assert len(given) == len(set(given)) and set(given) - {" ", " so"} == {"so", " sonné", "sonné", " Réa", "Réa", "\n", "!", "!!!", ".", ";", ","}
+
+
+def brute_rounds(texts, first):
+    texts, rules = [list(t) for t in texts], []
+    while True:
+        pairs = Counter(pair for t in texts for pair in zip(t, t[1:]))
+        often = sorted((p for p, n in pairs.items() if n >= grammar_store.FREQUENT), key=lambda p: (-pairs[p], p))[: grammar_store.RULES]
+        if not often:
+            return texts, rules
+        cuts = []
+        for t in texts:
+            i, out = 0, []
+            while i < len(t):
+                hit = tuple(t[i : i + 2]) in often
+                out.append(tuple(t[i : i + 2]) if hit else t[i])
+                i += 1 + hit
+            cuts.append(out)
+        used = sorted({x for t in cuts for x in t if isinstance(x, tuple)})
+        number = {pair: first + len(rules) + k for k, pair in enumerate(used)}
+        texts, rules = [[number.get(x, x) for x in t] for t in cuts], rules + used
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 17])
+def test_grammar_rounds_equal_counting_all_pairs(monkeypatch, few):
+    monkeypatch.setattr(grammar_store, "FEW", few)
+    monkeypatch.setattr(grammar_store, "SHORT", 3)
+    monkeypatch.setattr(grammar_store, "RULES", 5)
+    rng = random.Random(few)
+    texts = [[rng.choice([1, 1, 1, 2, 3, 4, 5]) for _ in range(rng.choice([0, 1, 2, 60, 300]))] for _ in range(40)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    ids = np.array([i for t in texts for i in t], np.uint32)
+    symbols, starts, rules, lengths = grammar_store.reduce_ids(ids, offsets, 10)
+    left, pairs = brute_rounds(texts, 10)
+    assert [symbols[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == left and rules.tolist() == [list(p) for p in pairs]
+    assert (grammar_store.expand(np.tile(symbols, 9), rules, 10) == np.tile(ids, 9)).all()
+
+
 @pytest.mark.parametrize("texts", [[[1, 2] * 300], [[5] * 1000, [5] * 7, []], [[]], [[1, 2, 3, 4] * 50, [2, 3] * 50, [0, 0, 0, 0] * 20]])
 def test_grammar_round_trip_and_random_access(texts):
     ids = np.array([i for t in texts for i in [*t, 0]], np.uint32)
