@@ -11,9 +11,10 @@ The counts of all training texts are added up by Spark, and the trees are worked
 that each hold all contexts ending in the same ``TOP`` classes; the sums at shorter contexts are
 added up by Spark. All counted contexts take part in the scores: the mixed predictions of the
 ``CONTEXTS`` most frequent contexts, at most 67 MB when opened, are broadcast and decide where a
-whole context of ``DEPTH`` classes is among them. What follows any other context is put together
-per block of texts and goes to the tasks that work out the trees of its bucket of endings.
-The tables are the same whatever the order of the texts.
+whole context of ``DEPTH`` classes is among them. Of what follows other contexts, the at most
+``FREQUENT`` grams met most often are broadcast with their log10 probabilities, 25 MB when opened.
+Any other gram is put together per block of texts and goes to the tasks that work out the trees of
+its bucket of endings. The tables are the same whatever the order of the texts.
 
 The word baseline beside it is exact: the counts of the ``COMMON`` most frequent words are
 broadcast, every other word of a document is matched with its count by a join.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rainloom.llm.textblocks import FOLD, blocks, distinct_per_text, flat, owners, span_hashes, sums, word_bounds
+from rainloom.llm.textblocks import BASE, FOLD, blocks, flat, owners, span_hashes, sums, word_bounds
 from rainloom.session import materialize
 
 CLASSES, DEPTH = 64, 6
@@ -39,6 +40,8 @@ TOP = 3
 UNIT = 1 << 24
 NODES = CLASSES - 1
 CONTEXTS = 1 << 17
+#: Grams whose log10 probabilities are broadcast, beside the contexts.
+FREQUENT = 3 << 19
 #: Least frequency that a class's code is built for, as a share of all bytes.
 RAREST = 1 / 4096
 #: The class of the end and of what is before a text, and the class that rare bytes share.
@@ -48,11 +51,15 @@ COMMON = 1 << 20
 END_WORD = np.uint64(1)
 WORDS, GRAMS, BYTES = 0, 1, 2
 #: A task adds its partial counts up beyond so many, and hands them on beyond so many different ones.
-HELD, DIFFERENT = 1_500_000, 500_000
+HELD, DIFFERENT = 2_500_000, 1_500_000
+#: Bytes of training text for each bucket of codes that a task adds up.
+COUNTED = 1 << 22
+#: Partial scores of rows that a task holds before it hands them on, by blocks of texts.
+FOUND = 500_000
 #: Bytes of text worked on at once.
 TEXT = 1 << 20
 #: Grams whose trees are worked out at once, beyond which a group of contexts ends a step.
-STEP = 200_000
+STEP = 100_000
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -94,6 +101,7 @@ class ClassCode:
 
     def __init__(self, frequency: np.ndarray):
         """Classes by frequency of the byte; ties go to the smaller byte."""
+        self.total = int(frequency.sum())
         self.class_of = np.full(256, SHARED, np.int32)
         order = np.lexsort((np.arange(256), -frequency))
         order = order[order != END]
@@ -292,8 +300,32 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, firsts + np.arange(len(firsts))
 
 
-def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
-    """(kind, code, n) over all of ``docs``: words, class grams, and bytes of the shared class."""
+def added_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different codes in ascending order and the sums of their counts."""
+    codes, n = map(np.concatenate, zip(*held))
+    order = np.argsort(codes)
+    codes = codes[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
+    return codes[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def squeezed(*numbers: np.ndarray) -> bytes:
+    """Arrays of as many 64-bit numbers, compressed; their bytes are laid out by significance."""
+    data = b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in numbers)
+    return np.array([len(data)], np.int64).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, arrays: int) -> list[np.ndarray]:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return [np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).ravel() for x in np.split(planes, arrays)]
+
+
+def training_counts(docs: DataFrame, class_of: np.ndarray, buckets: int = 1) -> DataFrame:
+    """(kind, code, n) over all of ``docs``: words, class grams, and bytes of the shared class.
+
+    A task adds up what it counts and hands it on packed, by buckets of codes.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {WORDS: [], GRAMS: [], BYTES: []}
 
@@ -302,18 +334,22 @@ def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
             first = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1])))
             held[kind].append((codes[first], np.diff(np.concatenate((first, [len(codes)])))))
 
-        def join(kind: int) -> None:
-            if len(held[kind]) > 1:
-                keys, at = np.unique(np.concatenate([k for k, _ in held[kind]]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n for _, n in held[kind]]), len(keys)).astype(np.int64)
-                held[kind] = [(keys, n)]
-
         def handed_on(kind: int) -> Iterator[pa.RecordBatch]:
-            for keys, n in held[kind]:
-                for low in range(0, len(keys), 1 << 16):
-                    some = slice(low, low + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[some]), kind, np.int32)), pa.array(keys[some]), pa.array(n[some])], names=["kind", "code", "n"])
+            if not held[kind]:
+                return
+            codes, n = added_up(held[kind]) if len(held[kind]) > 1 else held[kind][0]
             held[kind] = []
+            bucket = (codes.view(np.uint64) * np.uint64(BASE) >> np.uint64(40)).astype(np.int64) % buckets
+            order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+            codes, n = codes[order], n[order]
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            packs = [squeezed(np.diff(codes[low:high], prepend=0), n[low:high]) for low, high in zip(np.concatenate(([0], ends))[some], ends[some])]
+            for low in range(0, len(some), 256):
+                part = some[low : low + 256]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), pa.array(np.full(len(part), kind, np.int32)), pa.array(packs[low : low + 256], pa.binary())], names=["bucket", "kind", "data"]
+                )
 
         for part in blocks(batches, limit=TEXT):
             data, offsets = flat(part.column("text"))
@@ -326,14 +362,38 @@ def training_counts(docs: DataFrame, class_of: np.ndarray) -> DataFrame:
             add(BYTES, codes[rare] % CLASSES**2 * 256 + symbols[where[rare]])
             for kind in held:
                 if sum(len(k) for k, _ in held[kind]) > HELD:
-                    join(kind)
+                    held[kind] = [added_up(held[kind])]
                     if len(held[kind][0][0]) > DIFFERENT:
                         yield from handed_on(kind)
         for kind in held:
-            join(kind)
             yield from handed_on(kind)
 
-    return docs.select("text").mapInArrow(count, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, at = [], 0, None
+
+        def totals() -> Iterator[pa.RecordBatch]:
+            codes, n = added_up(held)
+            for low in range(0, len(codes), 1 << 16):
+                some = slice(low, low + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes[some]), at[1], np.int32)), pa.array(codes[some]), pa.array(n[some])], names=["kind", "code", "n"])
+
+        for batch in batches:
+            for bucket, kind, data in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
+                if (bucket, kind) != at:
+                    if held:
+                        yield from totals()
+                    held, size, at = [], 0, (bucket, kind)
+                steps, n = unsqueezed(data.as_py(), 2)
+                held.append((np.cumsum(steps), n))
+                size += len(n)
+                if size > HELD and len(held) > 1:
+                    held = [added_up(held)]
+                    size = 0
+        if held:
+            yield from totals()
+
+    packs = docs.select("text").mapInArrow(count, "bucket long, kind int, data binary")
+    return packs.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(add_up, "kind int, code long, n long")
 
 
 class Short:
@@ -348,11 +408,11 @@ class GramLogs:
 
     def __init__(self, short: Short, grams: np.ndarray, n: np.ndarray):
         order = np.argsort(grams)
-        self.short, self.grams, self.levels = short, grams[order], {}
+        self.short, self.grams, self.n, self.levels = short, grams[order], n[order], {}
         self.logs = np.zeros(len(grams))
         if not len(grams):
             return
-        levels, above, taken = grown(short.code, self.grams // CLASSES, self.grams % CLASSES, n[order])
+        levels, above, taken = grown(short.code, self.grams // CLASSES, self.grams % CLASSES, self.n)
         for depth, p in seen_from_top(levels, above):
             key = levels[depth][0]
             at, node = key // CLASSES % CLASSES**2, key % CLASSES - 1
@@ -431,8 +491,7 @@ def open_scores(spark: SparkSession, short: Short, grams: DataFrame, open_: Data
         bucket, counts, logs, found, size = -1, [], None, {}, 0
 
         def handed_on() -> pa.RecordBatch:
-            rows = [first + np.arange(len(x)) for first, x in found.items()]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate([*found.values()]))], names=["_row", "_deep"])
+            return pa.RecordBatch.from_arrays([pa.array([*found]), pa.array([x.tobytes() for x in found.values()])], names=["_row", "data"])
 
         for batch in batches:
             keys, row = batch.column("bucket").to_numpy(), batch.column("_row").to_numpy()
@@ -455,21 +514,74 @@ def open_scores(spark: SparkSession, short: Short, grams: DataFrame, open_: Data
                         had, size = np.concatenate((had, np.zeros(len(add) - len(had)))), size + len(add) - len(had)
                     had[: len(add)] += add
                     found[first] = had
-                if size > DIFFERENT:
+                if size > FOUND:
                     yield handed_on()
                     found, size = {}, 0
         if found:
             yield handed_on()
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(0)
+        of_block = lambda: pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(total))), pa.array(total)], names=["_row", "_deep"])
+        for batch in batches:
+            for first, data in zip(batch.column("_row").to_pylist(), batch.column("data")):
+                if first != at:
+                    if at is not None:
+                        yield of_block()
+                    at, total = first, np.zeros(0)
+                add = np.frombuffer(data.as_py())
+                if len(total) < len(add):
+                    total = np.concatenate((total, np.zeros(len(add) - len(total))))
+                total[: len(add)] += add
+        if at is not None:
+            yield of_block()
+
     both = grams.select(gram_bucket(buckets).alias("bucket"), F.lit(-1).cast("long").alias("_row"), "code", "n", F.lit(None).cast("binary").alias("data")).unionByName(
         open_.select("bucket", "_row", "data"), allowMissingColumns=True
     )
     return (
-        both.repartition("bucket").sortWithinPartitions("bucket", "_row").mapInArrow(score, "_row long, _deep double")
-        .groupBy("_row").agg(F.sum("_deep").alias("_deep"))
+        both.repartition("bucket").sortWithinPartitions("bucket", "_row").mapInArrow(score, "_row long, data binary")
+        .repartition("_row").sortWithinPartitions("_row").mapInArrow(add_up, "_row long, _deep double")
     )
 
 
+def frequent_grams(spark: SparkSession, short: Short, grams: DataFrame, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams met most often, ascending, and their log10 probabilities: all of those met so many times or
+    more that they are ``most`` at most. ``grams``: (code, n)."""
+    times = grams.groupBy("n").agg(F.count(F.lit(1)).alias("grams")).orderBy(F.desc("n")).toArrow()
+    fit = int(np.searchsorted(np.cumsum(times.column("grams").to_numpy()), most, "right"))
+    none = np.zeros(0, np.int64)
+    if not fit:
+        return none, none.astype(float)
+    least, held = times.column("n")[fit - 1].as_py(), spark.sparkContext.broadcast(short)
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def known(counts: list) -> pa.RecordBatch:
+            found = GramLogs(held.value, *map(np.concatenate, zip(*counts)))
+            often = np.flatnonzero(found.n >= least)
+            return pa.RecordBatch.from_arrays([pa.array([found.grams[often].tobytes()]), pa.array([found.logs[often].tobytes()])], names=["grams", "logs"])
+
+        at, counts = -1, []
+        for batch in batches:
+            keys = batch.column("bucket").to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            for low, high in zip(cuts, [*cuts[1:], len(keys)]):
+                if keys[low] != at and counts:
+                    yield known(counts)
+                    counts = []
+                at, part = keys[low], batch.slice(low, high - low)
+                counts.append((part.column("code").to_numpy(), part.column("n").to_numpy()))
+        if counts:
+            yield known(counts)
+
+    dealt = grams.select(gram_bucket(buckets).alias("bucket"), "code", "n").repartition("bucket").sortWithinPartitions("bucket")
+    got = dealt.mapInArrow(logs, "grams binary, logs binary").toArrow()
+    found = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in got.column(c)] or [none.astype(kind)]) for c, kind in (("grams", np.int64), ("logs", float))]
+    del got
+    order = np.argsort(found[0])
+    return found[0][order], found[1][order]
+
+
 class TreeModel:
     """The kept contexts with their predictions, as they are broadcast; ``open`` makes the tables.
 
@@ -518,12 +630,18 @@ class TreeModel:
         self.below = kept.column("p").combine_chunks().flatten().to_numpy() if some else np.zeros(0, np.float32)
         self.bytes = self.byte_table(counts)
         self.short = Short(code, self.two, self.base, self.share)
-        self.logs = None
+        self.logs, self.often = None, None
+
+    def keep(self, grams: np.ndarray, logs: np.ndarray) -> None:
+        """Hold ``frequent_grams``, compressed as they are broadcast."""
+        self.often = squeezed(np.diff(grams, prepend=0)), logs
 
     def open(self) -> TreeModel:
         """Make the tables, once per worker: a context starts as its ending and takes what it knows itself."""
         if self.logs is not None:
             return self
+        self.grams, self.gram_logs = (np.cumsum(unsqueezed(self.often[0], 1)[0]), self.often[1]) if self.often else (np.zeros(0, np.int64), np.zeros(0))
+        self.often = None
         size = len(self.codes)
         longer = np.full((1 + CLASSES + size, CLASSES), -1, np.int32)
         longer[0] = 1 + np.arange(CLASSES)
@@ -551,9 +669,9 @@ class TreeModel:
 
     def rows(self, classes: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Row of the longest kept context before each place."""
-        row, alive = np.zeros(len(where), np.int32), np.ones(len(where), bool)
+        row, alive, table = np.zeros(len(where), np.int64), np.ones(len(where), bool), self.longer.ravel()
         for back in range(1, DEPTH + 1):
-            longer = self.longer[row, classes[where - back]]
+            longer = table.take(row * CLASSES + classes[where - back])
             alive &= longer >= 0
             row = np.where(alive, longer, row)
         return row
@@ -575,21 +693,31 @@ class TreeModel:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of every text, its end included, but for the grams of contexts that
-        aren't kept at full depth; these grams, and their texts."""
+        aren't kept at full depth and that aren't frequent themselves; these grams, and their texts."""
         symbols, classes, here = framed(data, offsets, self.class_of)
         where = np.flatnonzero(here)
         row = self.rows(classes, where)
-        each = self.logs[row, classes[where]].astype(np.float64)
+        each = self.logs.ravel().take(row * CLASSES + classes[where]).astype(np.float64)
         left = np.zeros(0, np.int64) if self.whole else np.flatnonzero(~self.full[row])
-        each[left] = 0
+        grams = context_codes(classes, where[left]) * CLASSES + classes[where[left]]
+        order = np.argsort(grams)
+        left, grams = left[order], grams[order]
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(grams)), bool), grams[1:] != grams[:-1])))
+        hit, logs = np.zeros(len(head), bool), np.zeros(len(head))
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, grams[head]), len(self.grams) - 1)
+            hit = self.grams[at] == grams[head]
+            logs[hit] = self.gram_logs[at[hit]]
+        times = np.diff(np.concatenate((head, [len(grams)])))
+        each[left] = np.repeat(logs, times)
+        open_ = np.flatnonzero(~np.repeat(hit, times))
         rare = where[classes[where] == SHARED]
         each[classes[where] == SHARED] += self.bytes[classes[rare - 2] * CLASSES + classes[rare - 1], symbols[rare]]
         firsts = offsets + np.arange(len(offsets))
-        grams = context_codes(classes, where[left]) * CLASSES + classes[where[left]]
-        return sums(each, firsts), grams, np.searchsorted(firsts, left, "right") - 1
+        return sums(each, firsts), grams[open_], np.searchsorted(firsts, left[open_], "right") - 1
 
 
-def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON, contexts: int = CONTEXTS) -> DataFrame:
+def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
     """``docs`` without its text, with word and model scores; learned from ``training``.
 
     Adds ``n_tokens`` (words and one end), ``n_known`` (of them, met in training),
@@ -599,15 +727,18 @@ def language_scores(docs: DataFrame, training: DataFrame, common: int = COMMON,
     ``docs`` with the name of a result are replaced, all others are kept under any name.
     """
     code = class_code(training)
-    counts = materialize(training_counts(training, code.class_of), "counts")
+    counts = materialize(training_counts(training, code.class_of, max(1, -(-code.total // COUNTED))), "counts")
     words = counts.where(F.col("kind") == WORDS).select(F.col("code").alias("word"), "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = words.orderBy(F.desc("n"), "word").limit(common).toArrow()
     keys, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
-    held = docs.sparkSession.sparkContext.broadcast((model := TreeModel(code, counts, contexts), keys[order], n[order]))
+    model = TreeModel(code, counts, contexts)
     grams = counts.where(F.col("kind") == GRAMS).select("code", "n")
     buckets = 1 if model.whole else max(1, -(-grams.count() // STEP))
+    if not model.whole:
+        model.keep(*frequent_grams(docs.sparkSession, model.short, grams, frequent, buckets))
+    held = docs.sparkSession.sparkContext.broadcast((model, keys[order], n[order]))
     results = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte", "text"]
     names = [c for c in docs.columns if c.lower() not in results]
     carried = [f"kept_{i}" for i in range(len(names))]

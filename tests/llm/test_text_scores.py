@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -177,6 +178,55 @@ def test_contexts_beyond_the_broadcast_count_in_full(spark, contexts, monkeypatc
     assert [r["score"] for r in got] == pytest.approx([r["score"] for r in expected], rel=1e-6)
 
 
+@pytest.mark.parametrize("frequent", [0, 500, 1 << 20])
+def test_grams_beyond_the_broadcast_count_in_full(spark, frequent):
+    """Scores are those of all counted grams, however few of them are broadcast."""
+    docs = documents(spark).limit(40)
+    train = docs.where(textblocks.crc_fold("doc_id", 5) != 1)
+    rows = docs.unionByName(odd_documents(spark).select(docs.columns))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["bits_per_byte"])
+    expected = sorted(tree_lm.language_scores(rows, train, contexts=1 << 20).collect(), key=key)
+    got = sorted(tree_lm.language_scores(rows, train, contexts=50, frequent=frequent).collect(), key=key)
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in expected]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in expected], rel=1e-6)
+
+
+def test_scored_rows_take_a_fraction_of_the_text(spark, monkeypatch):
+    """What follows contexts that aren't broadcast isn't written down for every place it is met at."""
+    written = {}
+
+    def materialize(df, label, keep=tree_lm.materialize):
+        kept = keep(df, label)
+        written[label] = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in kept.inputFiles())
+        return kept
+
+    monkeypatch.setattr(tree_lm, "materialize", materialize)
+    docs = documents(spark).select("doc_id", "text")
+    tree_lm.language_scores(docs, docs.where(textblocks.crc_fold("doc_id", 5) != 1), contexts=300).count()
+    assert written["scored"] < 0.4 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_training_counts_equal_brute_force(spark, buckets, monkeypatch):
+    monkeypatch.setattr(tree_lm, "HELD", 3000)
+    monkeypatch.setattr(tree_lm, "DIFFERENT", 1000)
+    monkeypatch.setattr(tree_lm, "TEXT", 4096)
+    docs = documents(spark).select("text").limit(30).unionByName(odd_documents(spark).select("text"))
+    class_of, expected = tree_lm.class_code(docs).class_of, Counter()
+    for (text,) in docs.collect():
+        f = [tree_lm.END] * tree_lm.DEPTH + [int(tree_lm.FOLD[b]) for b in (text or "").encode()] + [tree_lm.END]
+        for i in range(tree_lm.DEPTH, len(f)):
+            code = sum(int(class_of[f[i - k]]) * tree_lm.CLASSES**k for k in range(tree_lm.DEPTH + 1))
+            expected[tree_lm.GRAMS, code] += 1
+            if class_of[f[i]] == tree_lm.SHARED:
+                expected[tree_lm.BYTES, code // tree_lm.CLASSES % tree_lm.CLASSES**2 * 256 + f[i]] += 1
+    rows = tree_lm.training_counts(docs, class_of, buckets).collect()
+    assert len({(r["kind"], r["code"]) for r in rows}) == len(rows)
+    assert {(r["kind"], r["code"]): r["n"] for r in rows if r["kind"] != tree_lm.WORDS} == expected
+    n_words = sum(len(words(text)) + 1 for (text,) in docs.collect())
+    assert sum(r["n"] for r in rows if r["kind"] == tree_lm.WORDS) == n_words
+
+
 def test_tree_probabilities_add_up_to_one(spark):
     docs = documents(spark)
     code = tree_lm.class_code(docs)
